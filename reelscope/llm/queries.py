@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelscope.llm.decontaminate import decontaminate
 from reelscope.llm.shared import table
 from reelscope.llm.substring_dedup import substring_dedup
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    sha = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", sha, (F.col("n_items") >= 2).alias("contaminated"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -18,5 +25,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_decontaminate": op5_decontaminate,
         "op10_substring_dedup": op10_substring_dedup,
     }
