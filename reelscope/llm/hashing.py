@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a chunk grows only to hold a single longer word.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 
 
@@ -149,7 +149,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``most`` bytes of text each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
     total = np.concatenate([[0], np.cumsum(size.to_numpy(zero_copy_only=False), dtype=np.int64)])

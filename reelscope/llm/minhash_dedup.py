@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from reelscope.llm import hashing as H
 from reelscope.llm.components import components
-from reelscope.llm.shared import written
+from reelscope.llm.shared import small_batches, written
 
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<bigint>"
 #: Shingles that are hashed by all functions at once.
@@ -143,6 +143,7 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: i
     hashes = bands * rows
     if hashes % 2:
         raise ValueError("bands * rows must be even, as two values share a byte")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = written(docs.mapInArrow(_sketch(shingle, bands, rows), _SKETCH), "sketches")
     sets = seen.where("n_shingles > 0 and doc_id is not null")

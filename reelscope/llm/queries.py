@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.llm.decontaminate import decontaminate
+from reelscope.llm.minhash_dedup import minhash_dedup
 from reelscope.llm.shared import table
 from reelscope.llm.substring_dedup import substring_dedup
 
@@ -18,6 +19,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", sha, (F.col("n_items") >= 2).alias("contaminated"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -26,5 +31,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_decontaminate": op5_decontaminate,
+        "op7_minhash_dedup": op7_minhash_dedup,
         "op10_substring_dedup": op10_substring_dedup,
     }

@@ -5,7 +5,7 @@ grams. A repeated window has the same anchor wherever it stands, so a window can
 anchors. Each anchor *owns* the windows it is the minimum of; they form one run, and everything the owned windows span
 is the anchor's context, the furthest that a match through this anchor can be extended to both sides.
 
-1. Count equal (anchor, context) pairs, then the contexts of each anchor. An anchor that stands alone is dropped.
+1. Count each anchor, and whether its contexts differ. An anchor that stands alone is dropped.
 2. Where all contexts of an anchor are equal, every owned window repeats: the match extends to both ends.
 3. Where contexts differ (the edges of passages, edited copies), the owned windows are hashed one by one and counted by
    (anchor, window), 128 bits in all.
@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelscope.llm import hashing as H
-from reelscope.llm.shared import written
+from reelscope.llm.shared import small_batches, written
 
-ANCHORS = "doc_id long, part long, anchor long, context long, first int, last int"
+ANCHORS = "doc_id long, part int, anchor long, context long, first int, last int"
+WINDOWS = "doc_id long, part int, anchor long, content long, first int"
 
 
 def _owned(batch: pa.RecordBatch, window: int, seed: int):
@@ -140,7 +141,7 @@ def _cut(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 12) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 8) -> DataFrame:
     """Remove every word inside a run of ``window`` words that also starts anywhere else, in any text or the same one.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Returns one row for each input row: doc_id,
@@ -152,27 +153,24 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 12) -> DataFr
     """
     if not 1 <= seed <= window:
         raise ValueError("seed must lie between 1 and window")
+    small_batches(docs.sparkSession)
     # part tells apart rows that share a doc_id; equal rows have equal windows, so they can share their spans.
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), F.col("text").cast("string").alias("text"))
-    found = written(base.mapInArrow(_anchors(window, seed), ANCHORS), "anchors")
-    contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"))
-    groups = contexts.groupBy("anchor").agg(F.sum("n").alias("n"), (F.count(F.lit(1)) > 1).alias("differ")).where("n > 1").select("anchor", "differ")
-    shared = written(found.drop("context").join(groups, "anchor"), "shared")
-    keys = ["doc_id", "part"]
-
-    def gathered(df: DataFrame, **lists: str) -> DataFrame:
-        return df.groupBy(*keys).agg(*[F.collect_list(v).alias(k) for k, v in lists.items()])
-
-    def beside(right: DataFrame) -> DataFrame:
-        return right.withColumnsRenamed({k: f"_{k}" for k in keys}).hint("shuffle_hash")
-
-    on = F.expr("doc_id <=> _doc_id and part = _part")
-    wanted = gathered(shared.where("differ").distinct(), wanted="first")
-    singles = base.join(beside(wanted), on).select(*keys, "text", "wanted").mapInArrow(_windows(window, seed), "doc_id long, part long, anchor long, content long, first int")
-    singles = written(singles, "windows")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("part"), F.col("text").cast("string").alias("text"))
+    keys, on = ["doc_id", "part"], F.expr("doc_id <=> _doc_id and part = _part")
+    beside = lambda right: right.withColumnsRenamed({k: f"_{k}" for k in keys}).hint("shuffle_hash")
+    # Anchors are hashed twice, once to be counted and once to be found again: cheaper than to keep them all on disk.
+    found = base.mapInArrow(_anchors(window, seed), ANCHORS)
+    groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
+    groups = groups.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ"))
+    shared = found.drop("context").join(groups, "anchor")
+    runs = F.collect_set(F.when(~F.col("differ"), F.struct("first", "last")))
+    per_doc = shared.groupBy(*keys).agg(runs.alias("runs"), F.collect_set(F.when(F.col("differ"), F.col("first"))).alias("wanted"))
+    texts = written(base.join(beside(per_doc), on, "left").select(*keys, "text", "runs", "wanted"), "texts")
+    unsure = F.size("wanted") > 0
+    singles = written(texts.where(unsure).select(*keys, "text", "wanted").mapInArrow(_windows(window, seed), WINDOWS), "windows")
     repeated = singles.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "content")
-    edges = singles.join(repeated, ["anchor", "content"]).select(*keys, "first", F.col("first").alias("last"))
-    hits = gathered(shared.where("not differ").select(*keys, "first", "last").unionByName(edges).distinct().withColumn("run", F.struct("first", "last")), runs="run")
-    hits = hits.select(*keys, F.col("runs.first").alias("firsts"), F.col("runs.last").alias("lasts"))
+    edges = singles.join(repeated, ["anchor", "content"]).groupBy(*keys).agg(F.collect_set(F.struct("first", F.col("first").alias("last"))).alias("edges"))
+    rest = texts.where(unsure).drop("wanted").join(beside(edges), on, "left").withColumn("runs", F.concat("runs", F.coalesce("edges", F.array().cast("array<struct<first: int, last: int>>"))))
+    every = texts.where(~F.coalesce(unsure, F.lit(False))).select("doc_id", "text", "runs").unionByName(rest.select("doc_id", "text", "runs"))
     out = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<first: bigint, last: bigint>>"
-    return base.join(beside(hits), on, "left").select("doc_id", "text", "firsts", "lasts").mapInArrow(_cut(window), out)
+    return every.select("doc_id", "text", F.col("runs.first").alias("firsts"), F.col("runs.last").alias("lasts")).mapInArrow(_cut(window), out)
