@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.llm.decontaminate import decontaminate
 from reelscope.llm.minhash_dedup import minhash_dedup
+from reelscope.llm.packing import pack
 from reelscope.llm.shared import table
 from reelscope.llm.substring_dedup import substring_dedup
+from reelscope.llm.toxicity import fit, score
+
+
+def fold(of: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``of``; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +36,13 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(fold(3) != 1))
+    out = score(docs, model)
+    return out.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -30,7 +50,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
         "op5_decontaminate": op5_decontaminate,
         "op7_minhash_dedup": op7_minhash_dedup,
+        "op9_toxicity": op9_toxicity,
         "op10_substring_dedup": op10_substring_dedup,
     }
