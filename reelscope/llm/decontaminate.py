@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.shared import written
+from reelscope.llm.shared import let, written
 
 #: Item fingerprints are broadcast up to this many rows, about 200 bytes each.
 BROADCAST_ROWS = 500_000
@@ -28,15 +28,10 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.array_remove(F.split(F.translate(F.col(text), UPPER, LOWER), GAP), ""), F.array().cast("array<string>"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once: the optimizer cannot copy it into the lambdas inside ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _grams(w: Column, k: int) -> Column:
     hashes = F.transform(w, lambda x: F.xxhash64(x))
     each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-    return F.when(F.size(w) >= k, _let(hashes, each)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(w) >= k, let(hashes, each)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _places(grams: Column, span: int) -> Column:
@@ -54,13 +49,13 @@ def _places(grams: Column, span: int) -> Column:
 
         return F.filter(F.sequence(F.lit(0), F.size(grams) - 1), smallest)
 
-    return F.when(F.size(grams) >= span, _let(lows, chosen)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(grams) >= span, let(lows, chosen)).otherwise(F.array().cast("array<int>"))
 
 
 def _fingerprinted(df: DataFrame, k: int, span: int) -> DataFrame:
     """Adds ``w`` (words), ``g`` (gram hashes) and ``places``; each is computed once for a row."""
     df = df.withColumn("w", words())
-    df = df.withColumn("both", _let(_grams(F.col("w"), k), lambda g: F.struct(g.alias("g"), _places(g, span).alias("places"))))
+    df = df.withColumn("both", let(_grams(F.col("w"), k), lambda g: F.struct(g.alias("g"), _places(g, span).alias("places"))))
     return df.withColumn("g", F.col("both.g")).withColumn("places", F.col("both.places")).drop("both", "text")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelscope.llm.decontaminate import decontaminate
+from reelscope.llm import language_id
+from reelscope.llm.line_dedup import line_dedup
 from reelscope.llm.minhash_dedup import minhash_dedup
 from reelscope.llm.packing import pack
 from reelscope.llm.shared import table
@@ -26,6 +28,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = F.col("lang").isNotNull() & (F.coalesce(fold(4), F.lit(2)) != 2)
+    model = language_id.fit(docs.where(known).select("text", "lang"))
+    out = language_id.predict(docs, model, known)
+    return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     sha = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
@@ -36,6 +46,11 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(fold(3) != 1))
@@ -51,8 +66,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op4_language_id": op4_language_id,
         "op5_decontaminate": op5_decontaminate,
         "op7_minhash_dedup": op7_minhash_dedup,
+        "op8_line_dedup": op8_line_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_substring_dedup": op10_substring_dedup,
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fields(df: DataFrame, **columns: str) -> DataFrame:
-    """Exactly the named columns cast to the given types, so that further columns of the input cannot clash."""
-    return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: the optimizer cannot copy it into the lambdas inside ``body``."""
+    return F.transform(F.array(value), body)[0]
