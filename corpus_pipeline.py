@@ -14,27 +14,25 @@ from reelscope.llm.line_dedup import line_dedup
 from reelscope.llm.minhash_dedup import minhash_dedup
 from reelscope.llm.packing import pack
 from reelscope.llm.shared import written
-from reelscope.llm.toxicity import fit, score
+from reelscope.llm.toxicity import fit, scored
 
 #: SQL can express neither the toxicity model nor MinHash candidates; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_part", F.hash(F.col("text").cast("string")))
+#: Names for columns of our own, apart from those a table may bring.
+KEY, SCORE, PLACE = "__row_key", "__score", "__place"
 
 
-def _kept(docs: DataFrame, marks: DataFrame, keep) -> DataFrame:
-    """Rows of ``docs`` that ``keep`` holds for, over the columns of ``marks``: one row for each doc_id, or none."""
-    marks = marks.withColumnRenamed("doc_id", "_doc")
-    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").where(keep).select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key that rows share only if they are alike in doc_id and text."""
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under 0.7. The model learns from the labelled documents among ``docs``."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    worst = score(docs, model).groupBy("doc_id").agg(F.max("score").alias("_score"))
-    return _kept(docs, worst, F.col("_score") < 0.7)
+    return scored(docs, model, SCORE, PLACE).where(F.col(SCORE) < 0.7).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     edited = line_dedup(docs).dropDuplicates(["doc_id", "part"])
     edited = edited.select(F.col("doc_id").alias("_doc"), F.col("part").alias("_of"), F.col("text").alias("_text"), F.col("n_deleted").alias("_deleted"))
     edited = edited.where("_deleted > 0")
-    rows = _keyed(docs).join(edited, F.expr("doc_id <=> _doc and _part = _of"), "left")
+    rows = docs.join(edited, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.hash(docs["text"]) == F.col("_of")), "left")
     changed = F.col("_deleted") > 0
     rows = rows.where(~F.coalesce(changed & (F.trim("_text") == ""), F.lit(False)))
     text = F.when(changed, F.col("_text")).otherwise(F.col("text"))
@@ -52,15 +50,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest doc_id."""
-    marks = minhash_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("_kept"))
-    return _kept(docs, marks, F.coalesce("_kept", F.lit(True)))
+    marks = minhash_dedup(docs).where("not kept").select(F.col("doc_id").alias(KEY)).distinct()
+    return docs.join(marks, docs["doc_id"] == F.col(KEY), "left_anti")
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of eight words with a benchmark item."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = found.groupBy("doc_id").agg(F.max("n_items").alias("_items"))
-    return _kept(docs, found, F.coalesce("_items", F.lit(0)) == 0)
+    rows = _keyed(docs)
+    found = decontaminate(rows.select(F.col(KEY).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.where("n_items > 0").select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

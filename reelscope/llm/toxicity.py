@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelscope.llm import hashing as H
 from reelscope.llm.shared import small_batches
@@ -217,19 +218,25 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
     return train(rows["text"].tolist(), rows["toxic"].tolist())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) and first_word (where the most toxic passage begins) of each row of doc_id and text.
+def scored(docs: DataFrame, model: Model, score: str = "score", first_word: str = "first_word", text: str = "text") -> DataFrame:
+    """``docs`` with two more columns: the score (0 to 1) and where the most toxic passage begins, counted in words.
 
-    Whole texts are scored. Texts that are null or have no word get 0. Null and repeated doc_ids come back as they are.
+    Rows stay where they are: nothing is shuffled. Whole texts are scored. Texts that are null or have no word get 0.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in H.blocks(whole):
-                z, place = shared.value.largest(*H.texts(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.probability(z)), pa.array(place)], names=["doc_id", "score", "first_word"])
+            for batch in H.blocks(whole, text):
+                z, place = shared.value.largest(*H.texts(batch.column(at)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.probability(z)), pa.array(place)], names=[*batch.schema.names, score, first_word])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(first_word, T.LongType())])
+    return docs.mapInArrow(run, schema)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, score double, first_word long")
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score and first_word of each row of doc_id and text; null and repeated doc_ids come back as they are."""
+    return scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model).drop("text")
