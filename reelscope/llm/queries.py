@@ -11,7 +11,9 @@ from reelscope.llm.decontaminate import decontaminate
 from reelscope.llm import language_id
 from reelscope.llm.line_dedup import line_dedup
 from reelscope.llm.minhash_dedup import minhash_dedup
+from reelscope.llm.nn_descent import search
 from reelscope.llm.packing import pack
+from reelscope.llm.preference import conversations, preference_format
 from reelscope.llm.shared import table
 from reelscope.llm.substring_dedup import substring_dedup
 from reelscope.llm.toxicity import fit, score
@@ -28,6 +30,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation up to its last assistant turn is chosen; rejected is the same with the last assistant turn of
+    its neighbour (conv_id with the lowest bit flipped) in that turn's place. Conversations without one, or without
+    such a neighbour, make no pair."""
+    whole = conversations(table(spark, sf_dir, "conversations"))
+    cut = whole.withColumn("n", F.expr("size(turns) + 1 - array_position(reverse(transform(turns, t -> t.role = 'assistant')), true)").cast("int"))
+    cut = cut.where("exists(turns, t -> t.role = 'assistant')").select("conv_id", F.slice("turns", F.lit(1), F.col("n")).alias("chosen"))
+    other = cut.select(F.expr("conv_id ^ 1").alias("conv_id"), F.element_at("chosen", -1).alias("reply"))
+    pairs = cut.join(other, "conv_id").select(F.col("conv_id").alias("pair_id"), "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array("reply")).alias("rejected"))
+    out = preference_format(pairs)
+    return out.withColumn("mask", F.array_join(F.transform("mask", lambda r: F.concat_ws("-", r["first"].cast("string"), r["past"].cast("string"))), ";"))
+
+
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = F.col("lang").isNotNull() & (F.coalesce(fold(4), F.lit(2)) != 2)
@@ -66,6 +86,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_preference": op2_preference,
+        "op3_nn_descent": op3_nn_descent,
         "op4_language_id": op4_language_id,
         "op5_decontaminate": op5_decontaminate,
         "op7_minhash_dedup": op7_minhash_dedup,
