@@ -14,6 +14,7 @@ from reelscope.llm.minhash_dedup import minhash_dedup
 from reelscope.llm.nn_descent import search
 from reelscope.llm.packing import pack
 from reelscope.llm.preference import conversations, preference_format
+from reelscope.llm.quality import quality
 from reelscope.llm.shared import table
 from reelscope.llm.substring_dedup import substring_dedup
 from reelscope.llm.toxicity import fit, score
@@ -62,6 +63,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", sha, (F.col("n_items") >= 2).alias("contaminated"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), trusted)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
 
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_nn_descent": op3_nn_descent,
         "op4_language_id": op4_language_id,
         "op5_decontaminate": op5_decontaminate,
+        "op6_quality": op6_quality,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_toxicity": op9_toxicity,
