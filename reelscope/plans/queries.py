@@ -1,7 +1,599 @@
-"""Registered queries of the media operators."""
+"""Registered queries of the media operators, each bound to the fixture tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from reelscope.functions import media as M
+from reelscope.operators import audio, compare, delivery, images, metadata, timing, video
+from reelscope.plans import adapters as A
+from reelscope.plans import rules, store, views
+
+S = ["stream"]
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+# timing
+
+
+@query
+def pts_scan(spark, d):
+    return timing.presentation_scan(A.frames(spark, d), S, A.DAY * 30)
+
+
+@query
+def dts_scan(spark, d):
+    return timing.decode_scan(A.frames(spark, d), S)
+
+
+@query
+def modal_delta(spark, d):
+    return timing.modal_delta(A.frames(spark, d), S)
+
+
+@query
+def frame_rate_changes(spark, d):
+    rows = A.read(spark, d, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("idx"), (F.floor(F.col("event_id") / 700) * 1000 + F.col("event_id") * 40).alias("pts_us"))
+    step = F.row_number().over(Window.partitionBy("stream").orderBy("idx"))
+    rows = rows.select("stream", "idx", (step * 40_000 + F.when(step % 97 == 0, 7_000).otherwise(0)).cast("long").alias("pts_us"))
+    return timing.rate_changes(rows, S, 2_000)
+
+
+@query
+def av_sync(spark, d):
+    e = A.samples(spark, d)
+    side = lambda kind: e.where(F.col("event_type") == kind).select(F.lit(1).cast("long").alias("asset"), "idx", "pts_us")
+    return timing.nearest_after(side("view"), side("click"), ["asset"], "pts_us", "idx").select("idx", "pts_us", "key_us", "match_us")
+
+
+@query
+def av_sync_report(spark, d):
+    e = A.read(spark, d, "events").select((F.col("user_id") % 16).alias("asset"), F.col("event_id").alias("idx"), M.micros("ts").alias("pts_us"), "event_type")
+    return timing.sync_report(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["asset"])
+
+
+@query
+def sample_times(spark, d):
+    runs = A.read(spark, d, "lineitem").where("l_orderkey <= 2000").groupBy(F.col("l_orderkey").alias("stream"), F.col("l_linenumber").alias("seq")).agg(F.sum(F.col("l_quantity")).cast("long").alias("n"), (F.max("l_linenumber") * 100).cast("long").alias("delta"))
+    return timing.expand_runs(runs, S, "seq", "n", "delta")
+
+
+@query
+def measured_duration(spark, d):
+    """Sum of count times step, and the step if all agree."""
+    runs = A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("stream"), F.col("l_quantity").cast("long").alias("n"), F.col("l_linenumber").cast("long").alias("delta"))
+    return runs.groupBy("stream").agg(F.sum(F.col("n") * F.col("delta")).alias("duration"), F.when(F.min("delta") == F.max("delta"), F.min("delta")).alias("step"))
+
+
+# video
+
+
+@query
+def gop_segments(spark, d):
+    return video.gop_segments(A.frames(spark, d), S)
+
+
+@query
+def gop_changes(spark, d):
+    return video.gop_changes(video.gop_segments(A.frames(spark, d), S), S, 2)
+
+
+@query
+def gop_summary(spark, d):
+    return video.gop_summary(video.gop_segments(A.frames(spark, d), S), S)
+
+
+@query
+def repeated_runs(spark, d):
+    rows = A.read(spark, d, "events").select((F.col("user_id") % 4).alias("stream"), F.col("event_id").alias("idx"), F.col("event_type").alias("digest"), (F.col("event_id") % 3 == 0).alias("is_key"))
+    return video.repeated_runs(rows, S)
+
+
+@query
+def sliding_bitrate(spark, d):
+    out = video.sliding_bitrate(A.samples(spark, d), S, 12, 0.8)
+    return out.select("stream", "idx", "start_us", "end_us", F.round("bits", 6).alias("bits"), "keyframes")
+
+
+@query
+def whole_bitrate(spark, d):
+    return video.whole_bitrate(A.samples(spark, d), S).select("stream", "samples", F.round("average", 6).alias("average"))
+
+
+@query
+def byte_positions(spark, d):
+    return video.byte_positions(A.samples(spark, d), S, 48).select("stream", "idx", "size", "byte_offset")
+
+
+@query
+def offset_asof(spark, d):
+    at = video.byte_positions(A.samples(spark, d), S, 48)
+    probes = A.read(spark, d, "events").where("event_id % 50 = 0").select(F.col("event_type").alias("stream"), (F.col("event_id") * 977).alias("offset"))
+    return video.position_at(probes, at, S)
+
+
+@query
+def near_duplicate_frames(spark, d):
+    rows = A.read(spark, d, "events").select((F.col("user_id") % 4).alias("stream"), F.col("event_id").alias("idx"), (F.floor("value") % 32).alias("hash"))
+    return video.near_duplicates(rows, S, 8)
+
+
+@query
+def scene_changes(spark, d):
+    out = video.scene_changes(A.planes(spark, d), S, 0.25)
+    return out.select("stream", "idx", F.round("mean_abs", 6).alias("mean_abs"), F.round("changed", 6).alias("changed"))
+
+
+@query
+def largest_scene_change(spark, d):
+    out = video.scene_changes(A.planes(spark, d), S, 0.25).withColumn("mean_abs", F.round("mean_abs", 6))
+    return out.groupBy("stream").agg(F.max("mean_abs").alias("mean_abs"), F.max_by("idx", F.struct("mean_abs", -F.col("idx"))).alias("idx"))
+
+
+@query
+def decode_resync(spark, d):
+    rows = A.read(spark, d, "events").select((F.col("user_id") % 4).alias("stream"), F.col("event_id").alias("idx"), (F.col("event_id") % 9 == 0).alias("is_key"), (F.floor("value") % 11 != 0).alias("ok"))
+    return video.resync(rows, S)
+
+
+@query
+def lost_intervals(spark, d):
+    return video.lost_intervals(decode_resync(spark, d), S)
+
+
+@query
+def unexplained_packets(spark, d):
+    states = decode_resync(spark, d)
+    expected = A.read(spark, d, "events").select((F.col("user_id") % 4).alias("stream"), F.col("event_id").alias("idx"))
+    lost = video.lost_intervals(states, S).where("skipped >= 2").select("stream", "from_idx", F.lit(2).alias("skipped"))
+    return video.unexplained(expected, states.where("state = 'decoded'"), lost, S)
+
+
+@query
+def bit_hashes(spark, d):
+    return A.read(spark, d, "embeddings").select("vec_id", images.bit_hash("embedding", F.lit(0.0)).alias("hash"))
+
+
+@query
+def hamming_distance(spark, d):
+    h = bit_hashes(spark, d)
+    pairs = h.join(h.select((F.col("vec_id") - 1).alias("vec_id"), F.col("hash").alias("other")), "vec_id")
+    return pairs.select("vec_id", M.hamming(F.col("hash"), F.col("other")).alias("distance"))
+
+
+@query
+def frame_diff(spark, d):
+    e = A.read(spark, d, "embeddings")
+    pairs = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    out = images.frame_diff(pairs, ["vec_id"], 0.2)
+    return out.select("vec_id", F.round("mean_abs", 6).alias("mean_abs"), F.round("changed", 6).alias("changed"), F.round("largest", 6).alias("largest"), "identical")
+
+
+# audio
+
+
+@query
+def level_stats(spark, d):
+    out = audio.level_stats(A.pcm(spark, d), S)
+    return out.select("stream", "slots", *[F.round(c, 6).alias(c) for c in ("peak", "rms", "mean", "peak_dbfs", "rms_dbfs")])
+
+
+@query
+def silence_regions(spark, d):
+    return audio.silence_regions(A.pcm(spark, d), S, 0.1, 2)
+
+
+@query
+def silence_totals(spark, d):
+    return audio.silence_totals(silence_regions(spark, d), S)
+
+
+@query
+def waveform(spark, d):
+    out = audio.waveform(A.pcm(spark, d), S, 8)
+    return out.select("stream", "column", *[F.round(c, 6).alias(c) for c in ("low", "high", "rms")])
+
+
+def _levels(spark, d):
+    return A.read(spark, d, "events").select(F.col("event_type").alias("stream"), F.least(F.floor(F.col("value")), F.lit(255)).cast("int").alias("level"))
+
+
+@query
+def level_histogram(spark, d):
+    return audio.histogram(_levels(spark, d), S).select("stream", F.col("level").cast("long").alias("level"), "n")
+
+
+@query
+def histogram_summary(spark, d):
+    out = audio.histogram_summary(audio.histogram(_levels(spark, d), S), S)
+    return out.select("stream", F.round("black", 6).alias("black"), F.round("white", 6).alias("white"), *[F.col(c).cast("long").alias(c) for c in ("lowest", "highest", "peak_level")])
+
+
+def _blocks(spark, d):
+    return A.read(spark, d, "events").select(F.col("user_id").alias("stream"), (F.col("value") / 3 - 100).alias("loudness"))
+
+
+@query
+def loudness_gate(spark, d):
+    return audio.integrated_loudness(_blocks(spark, d), S).select("stream", F.round("lufs", 6).alias("lufs"), "blocks")
+
+
+@query
+def loudness_range(spark, d):
+    return audio.loudness_range(_blocks(spark, d), S).select("stream", F.round("lra", 6).alias("lra"))
+
+
+@query
+def block_spans(spark, d):
+    n = A.read(spark, d, "events").groupBy(F.col("user_id").alias("stream")).agg((F.count(F.lit(1)) * 100).alias("slots"))
+    return audio.block_spans(n, S, "slots", 1000, 250).select("stream", F.col("block").cast("long").alias("block"), "first_slot")
+
+
+# assets and metadata
+
+
+@query
+def content_hash(spark, d):
+    return A.read(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+
+
+@query
+def integrity(spark, d):
+    """Recorded hashes against the texts at hand: intact, hash_mismatch, or unverifiable where nothing was recorded."""
+    now = content_hash(spark, d)
+    then = A.read(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary"), 256).alias("recorded"))
+    out = now.join(then, "doc_id", "left")
+    return out.select("doc_id", F.when(F.col("recorded").isNull(), "unverifiable").when(F.col("recorded") == F.col("sha256"), "intact").otherwise("hash_mismatch").alias("state"))
+
+
+@query
+def asset_dedupe(spark, d):
+    return store.first_of_each(A.read(spark, d, "documents").select(F.lit("case-1").alias("case_id"), F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")), ["case_id", "sha256"], "id").select("id", "sha256")
+
+
+@query
+def metadata_conflicts(spark, d):
+    return metadata.conflicts(A.metadata(spark, d), ["asset"])
+
+
+@query
+def metadata_diff(spark, d):
+    m = A.metadata(spark, d)
+    return metadata.difference(m.where("scope = 'container'"), m.where("scope = 'track'"), ["asset", "key"])
+
+
+@query
+def missing_creation(spark, d):
+    return metadata.missing_creation(A.metadata(spark, d), ["asset"], ("de", "es"))
+
+
+@query
+def encoder_marks(spark, d):
+    rows = A.read(spark, d, "pages").select("page_id", F.col("html").alias("value"))
+    parts = A.read(spark, d, "documents").select((F.col("doc_id") + 1_000_000).alias("page_id"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Lavf58 "), F.col("source"))).when(F.col("doc_id") % 9 == 0, F.lit("x264 - core; HandBrake")).otherwise(F.col("source")).alias("value"))
+    return metadata.encoder_marks(rows.unionByName(parts), ["page_id"])
+
+
+@query
+def codec_families(spark, d):
+    names = F.element_at(F.array(*[F.lit(x) for x in ("avc1", "HEVC", " mp4a", "sowt", "vp09", "zzz", ".mp3", "Apch")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return A.read(spark, d, "part").select("p_partkey", names.alias("name")).select("p_partkey", "name", M.codec_family(F.col("name")).alias("family"))
+
+
+# comparison
+
+
+def _pairing(spark, d):
+    o = A.read(spark, d, "orders").select(F.col("o_custkey"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("index"), "o_totalprice", "o_orderpriority")
+    asset = F.floor(F.col("o_custkey") / 2).alias("asset")
+    return o.where("o_custkey % 2 = 0").select(asset, "*"), o.where("o_custkey % 2 = 1").select(asset, "*")
+
+
+@query
+def stream_pairing(spark, d):
+    left, right = _pairing(spark, d)
+    return compare.pair_streams(left, right, ["asset"], "kind", "index").select("asset", "kind", F.col("ordinal").cast("long").alias("ordinal"), "left_index", "right_index", "matched")
+
+
+@query
+def field_diff(spark, d):
+    left, right = _pairing(spark, d)
+    pairs = compare.pair_streams(left, right, ["asset"], "kind", "index")
+    side = lambda df, s: df.select(F.col("index").alias(f"{s}_index"), F.col("o_orderpriority").alias(f"{s}_priority"), F.floor("o_totalprice").alias(f"{s}_price"))
+    pairs = pairs.join(side(left, "left"), "left_index", "left").join(side(right, "right"), "right_index", "left")
+    return compare.field_diff(pairs, ["asset", "kind", "ordinal"], {"priority": "codec", "price": "timing"}).select("asset", "kind", F.col("ordinal").cast("long").alias("ordinal"), "axis", "field", "left", "right", "verdict")
+
+
+@query
+def axis_groups(spark, d):
+    return compare.axis_groups(field_diff(spark, d), ["asset"])
+
+
+@query
+def comparison_outcome(spark, d):
+    return compare.overall(field_diff(spark, d), ["asset"])
+
+
+@query
+def same_layout(spark, d):
+    left, right = _pairing(spark, d)
+    return compare.same_layout(left, right, ["asset"], "kind", "index")
+
+
+@query
+def within_tolerance(spark, d):
+    c = A.read(spark, d, "customer").select((F.col("c_custkey") % 100).alias("k"), "c_acctbal")
+    s = A.read(spark, d, "supplier").select((F.col("s_suppkey") % 150).alias("k"), "s_acctbal")
+    both = c.groupBy("k").agg(F.max("c_acctbal").alias("l")).join(s.groupBy("k").agg(F.max("s_acctbal").alias("r")), "k", "full_outer")
+    return both.select("k", compare.within(F.col("l"), F.col("r"), 500.0).alias("verdict"))
+
+
+@query
+def packet_counts(spark, d):
+    """Declared against recovered packets of each stream."""
+    declared = A.read(spark, d, "orders").select(F.col("o_orderkey").alias("stream"), (F.col("o_orderkey") % 8).alias("declared"))
+    got = A.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("stream")).agg(F.count(F.lit(1)).alias("recovered"))
+    out = declared.join(got, "stream", "left").withColumn("recovered", F.coalesce("recovered", F.lit(0)))
+    return out.where("declared > recovered").select("stream", "declared", "recovered", (F.col("declared") - F.col("recovered")).alias("missing"))
+
+
+# delivery
+
+_REQUIREMENTS = "id string, kind string, any_of array<string>, width int, height int, fps double, tolerance double, channels int, sample_rate int, limit_ms double"
+
+
+def _checks(spark, d):
+    name = F.element_at(F.array(*[F.lit(x) for x in ("avc1", "hev1", "zzz", "ap4h")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    facts = A.read(spark, d, "part").select(
+        "p_partkey", name.alias("video_codec"), F.lit(None).cast("string").alias("audio_codec"), (F.col("p_size") * 40).alias("width"), F.lit(1080).alias("height"), (F.col("p_size") / 2).alias("fps"),
+        (F.col("p_partkey") % 3).cast("int").alias("channels"), F.lit(48000).alias("sample_rate"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_size").cast("double")).alias("av_offset_ms"), F.lit("MP4").alias("container"),
+    )
+    need = spark.createDataFrame(
+        [
+            ("r1", "video_codec", ["h264", "hevc"], None, None, None, None, None, None, None), ("r2", "resolution", None, 800, 1080, None, None, None, None, None), ("r3", "frame_rate", None, None, None, 12.5, 5.0, None, None, None),
+            ("r4", "audio_channels", None, None, None, None, None, 2, None, None), ("r5", "audio_sample_rate", None, None, None, None, None, None, 48000, None), ("r6", "max_av_offset_ms", None, None, None, None, None, None, None, 30.0),
+            ("r7", "container", ["mov", "mp4"], None, None, None, None, None, None, None), ("r8", "audio_codec", ["aac"], None, None, None, None, None, None, None),
+        ],
+        _REQUIREMENTS,
+    )
+    return delivery.check(facts, need, ["p_partkey"])
+
+
+@query
+def delivery_checks(spark, d):
+    return _checks(spark, d).select("p_partkey", "id", "kind", "outcome")
+
+
+@query
+def delivery_verdicts(spark, d):
+    return delivery.verdicts(_checks(spark, d).where("id not in ('r8', 'r6')"), ["p_partkey"])
+
+
+# findings
+
+
+def _findings(spark, d):
+    f = A.frames(spark, d).withColumnRenamed("stream", "asset_id").withColumn("stream_index", F.lit(0))
+    keys = ["asset_id", "stream_index"]
+    gops = video.gop_segments(f, keys)
+    e = A.pcm(spark, d).withColumnRenamed("stream", "asset_id").withColumn("value", F.col("value") * 1.0)
+    bundle = {
+        "timestamps": timing.presentation_scan(f, keys, A.DAY * 30),
+        "gop_changes": video.gop_changes(gops, keys, rules.Profile().gop_tolerance_frames),
+        "gop_summary": video.gop_summary(gops, keys),
+        "levels": audio.level_stats(e, ["asset_id"]).select("asset_id", "peak", F.round("mean", 6).alias("mean")),
+    }
+    return rules.evaluate(bundle)
+
+
+@query
+def rule_findings(spark, d):
+    out = rules.ordered(_findings(spark, d))
+    return out.select("asset_id", "rule_id", "severity", "confidence", "start_us", "discriminator", F.col("severity_rank").cast("long").alias("severity_rank"))
+
+
+@query
+def severity_counts(spark, d):
+    out = rules.severity_counts(_findings(spark, d), ["asset_id"])
+    return out.select("asset_id", *[F.col(c).cast("long").alias(c) for c in ("findings", "critical", "significant", "warning", "informational", "worst_rank")])
+
+
+@query
+def finding_verdicts(spark, d):
+    return delivery.finding_verdicts(_findings(spark, d), ["asset_id"])
+
+
+@query
+def combined_verdicts(spark, d):
+    a = delivery.finding_verdicts(_findings(spark, d), ["asset_id"])
+    b = delivery.verdicts(_checks(spark, d).where("id in ('r3', 'r5', 'r7')").withColumn("asset_id", F.col("p_partkey").cast("string")), ["asset_id"]).select("asset_id", "verdict")
+    return delivery.combine(a.unionByName(b), ["asset_id"])
+
+
+@query
+def dashboard(spark, d):
+    return views.dashboard(_findings(spark, d).withColumn("status", F.when(F.length("asset_id") % 2 == 0, "NEW").otherwise("CONFIRMED")))
+
+
+@query
+def batch_summary(spark, d):
+    return views.batch_summary(_batch(spark, d))
+
+
+def _batch(spark, d):
+    counts = rules.severity_counts(_findings(spark, d), ["asset_id"])
+    files = A.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("asset_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 11 == 0, "FAILED").when(F.col("c_custkey") % 13 == 0, "SKIPPED").otherwise("ANALYSED").alias("status"))
+    return files.join(counts.select("asset_id", "findings", "worst_rank"), "asset_id", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
+
+
+@query
+def batch_order(spark, d):
+    return views.batch_order(_batch(spark, d), "severity").limit(50).select("asset_id", "name", "status", "findings", F.col("worst_rank").cast("long").alias("worst_rank"))
+
+
+# store and search
+
+
+def _store(spark, d):
+    findings = A.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("Finding for "), "c_name").alias("title"), F.col("c_mktsegment").alias("detail"), F.element_at(F.array(*[F.lit(s) for s in M.SEVERITIES]), (F.col("c_custkey") % 4 + 1).cast("int")).alias("severity"))
+    assets = A.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("detail"))
+    evidence = A.read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("title"), F.lit("evidence").alias("detail"))
+    return findings, assets, evidence
+
+
+@query
+def case_search(spark, d):
+    return store.search(*_store(spark, d), term="1", least="WARNING", limit=200).select("arm", "id", "title", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def search_total(spark, d):
+    return store.search(*_store(spark, d), term="NAME#0000", least=None, limit=None).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query
+def asset_lookup(spark, d):
+    assets = A.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
+    asked = A.read(spark, d, "part").where("p_partkey % 3 = 0").select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).otherwise(F.upper("p_name")).alias("asked")).distinct()
+    return store.lookup(assets, asked)
+
+
+@query
+def latest_analysis(spark, d):
+    runs = A.read(spark, d, "orders").select(F.col("o_custkey").alias("asset"), F.col("o_orderkey").alias("id"), M.micros("o_orderdate").alias("started_us"), "o_orderstatus")
+    return store.latest(runs, ["asset"], ["started_us", "id"])
+
+
+@query
+def upsert(spark, d):
+    o = A.read(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), "o_orderstatus")
+    return store.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), ["id"], "version")
+
+
+@query
+def insert_ignore(spark, d):
+    o = A.read(spark, d, "orders").select(F.col("o_custkey").alias("analysis"), F.col("o_orderpriority").alias("rule"), F.col("o_orderkey").alias("n"))
+    return store.insert_ignore(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'"), ["analysis", "rule"], "n").select("analysis", "rule", "n")
+
+
+@query
+def timeline_retention(spark, d):
+    o = A.read(spark, d, "customer").join(A.read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    return store.retention(o.select(F.col("c_custkey").alias("asset"), "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("kept")), ["asset"], "o_orderkey", "kept")
+
+
+# timeline and navigation
+
+
+def _timeline(spark, d):
+    e = A.read(spark, d, "events").select(F.col("event_type").alias("source"), F.when(F.col("event_id") % 17 != 0, M.micros("ts")).alias("time_us"), F.col("event_id").cast("string").alias("reference"), F.col("event_type").alias("summary"))
+    o = A.read(spark, d, "orders").select(F.lit("finding").alias("source"), M.micros("o_orderdate").alias("time_us"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("reference"), F.col("o_orderpriority").alias("summary"))
+    return views.timeline(e.unionByName(o))
+
+
+@query
+def timeline(spark, d):
+    return _timeline(spark, d).select("time_us", F.col("source_rank").cast("long").alias("source_rank"), "source", "reference", "summary")
+
+
+@query
+def timeline_layers(spark, d):
+    return views.layers(_timeline(spark, d))
+
+
+@query
+def nearest_mark(spark, d):
+    marks = A.samples(spark, d).where("event_type = 'purchase'").select(F.lit(1).alias("asset"), F.col("pts_us").alias("mark_us"))
+    probes = A.samples(spark, d).where("idx % 40 = 0").select(F.lit(1).alias("asset"), F.col("idx").alias("probe"), F.col("pts_us").alias("at_us"))
+    return views.nearest_mark(probes, marks, ["asset"], 600_000_000).select("probe", "at_us", "mark_us")
+
+
+@query
+def frame_navigation(spark, d):
+    out = views.navigation(A.samples(spark, d), S, 1_000_000)
+    return out.select("stream", "idx", "next_key", "previous_key", "second_forward", "second_back")
+
+
+# scalar functions and sinks
+
+
+@query
+def timecodes(spark, d):
+    return A.read(spark, d, "events").select("event_id", M.timecode((F.col("event_id") - 5000) * 7_654_321).alias("timecode"))
+
+
+@query
+def tick_conversion(spark, d):
+    return A.read(spark, d, "orders").select("o_orderkey", M.ticks_to_micros((F.col("o_orderkey") - 7000) * 123_457, F.lit(90_000)).alias("us"))
+
+
+@query
+def saturating(spark, d):
+    big = F.lit(2**63 - 10)
+    return A.read(spark, d, "orders").select("o_orderkey", M.saturating_add(big, F.col("o_orderkey") % 20).alias("up"), M.saturating_subtract(-big, F.col("o_orderkey") % 20).alias("down"))
+
+
+@query
+def trimmed_floats(spark, d):
+    return A.read(spark, d, "events").select("event_id", M.trim_float(F.round(F.col("value"), 2)).alias("text"))
+
+
+@query
+def rational_equality(spark, d):
+    return A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", M.same_rational(F.col("l_quantity").cast("long"), F.lit(2), F.col("l_linenumber").cast("long") * 3, F.lit(1)).alias("same")).groupBy("l_linenumber").agg(F.count_if("same").alias("same")).select(F.col("l_linenumber").cast("long").alias("l_linenumber"), "same")
+
+
+@query
+def profile_slugs(spark, d):
+    return A.read(spark, d, "part").select("p_partkey", M.slug(F.col("p_type"), F.col("p_size")).alias("slug"))
+
+
+@query
+def fingerprints(spark, d):
+    return A.read(spark, d, "part").select("p_partkey", M.fingerprint(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("fingerprint"))
+
+
+@query
+def measurement_rows(spark, d):
+    from reelscope.sinks.report import measurement_rows as rows
+
+    m = A.read(spark, d, "events").select("event_id", F.array(F.concat(F.col("event_id").cast("string"), F.lit(" LUFS (BS (1770) 4)")), F.col("event_type")).alias("measurements"))
+    return rows(m, ["event_id"])
+
+
+@query
+def findings_csv(spark, d):
+    from reelscope.sinks.report import findings_table
+
+    return findings_table(_findings(spark, d)).select("asset_id", "rule_id", "severity", "measurements", "start")
+
+
+@query
+def file_names(spark, d):
+    return A.read(spark, d, "pages").select("page_id", M.file_name(F.col("url")).alias("name"), M.html_escape(F.substring("html", 1, 200)).alias("escaped"))
+
+
+@query
+def format_probe(spark, d):
+    from reelscope.sources.probe import detect
+
+    head = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("0000001C6674797069736F6D", "1A45DFA301000000", "524946460000000057415645", "464F524D0000001041494646", "4F67675300020000", "664C614300000022", "0001")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return A.read(spark, d, "part").select("p_partkey", detect(head).alias("format"))
+
+
+@query
+def severity_rollup(spark, d):
+    """Findings by severity and rule, with subtotals."""
+    return _findings(spark, d).rollup("severity", "rule_id").agg(F.count(F.lit(1)).alias("findings"))
