@@ -93,12 +93,11 @@ class KneserNey:
             left, code = left[~seen], code[~seen]
             if not len(left):
                 break
+            ctx = place(level.contexts, hashed(code >> np.uint32(WIDTH)))
+            known = ctx >= 0
+            out[left[known]] += level.weight[ctx[known]]
             if n == 1:
-                out[left] += np.float32(-WIDTH * np.log(2))
-            else:
-                ctx = place(level.contexts, hashed(code >> np.uint32(WIDTH)))
-                known = ctx >= 0
-                out[left[known]] += level.weight[ctx[known]]
+                out[left] -= np.float32(WIDTH * np.log(2))
         return out
 
 

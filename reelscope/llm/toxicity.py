@@ -158,7 +158,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, rounds: int = 6, see
         labels_ = np.array(labels)
         share = labels_.mean()
         each = np.where(labels_ == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)).astype(np.float32)
-        for _ in range(2):
+        for _ in range(min(20, max(2, 200 * 64 // max(1, len(chosen))))):
             order = rng.permutation(len(chosen))
             for at in range(0, len(order), 64):
                 batch = order[at : at + 64]
