@@ -37,7 +37,7 @@ def timecode(us: Column) -> Column:
     ms = F.floor(F.abs(us) / 1000).cast("long")
     part = lambda size, of: F.pmod(F.floor(ms / size).cast("long"), F.lit(of))
     text = F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000).cast("long"), part(60_000, 60), part(1_000, 60), F.pmod(ms, F.lit(1000)))
-    return F.concat(F.when(us < 0, F.lit("-")).otherwise(F.lit("")), text)
+    return F.when(us.isNotNull(), F.concat(F.when(us < 0, F.lit("-")).otherwise(F.lit("")), text))
 
 
 def trim_float(x: Column) -> Column:

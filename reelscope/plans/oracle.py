@@ -206,6 +206,14 @@ SELECT event_id, CASE WHEN us < 0 THEN '-' ELSE '' END || printf('%02d:%02d:%02d
     "profile_slugs": "SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]', '-', 'g') || ' v' || p_size AS slug FROM part",
     "fingerprints": "SELECT p_partkey, sha256(p_name || chr(31) || p_brand || chr(31) || p_size) AS fingerprint FROM part",
     "measurement_rows": "SELECT event_id, event_id || ' LUFS (BS (1770) 4)' AS value, '' AS method FROM events WHERE false UNION ALL SELECT event_id, event_id || ' LUFS (BS', '1770) 4' FROM events UNION ALL SELECT event_id, event_type, '' FROM events",
+    "findings_csv": f"""WITH {FINDINGS}, ms AS (
+SELECT CAST(stream AS VARCHAR) AS a, 'TIMING.NON_MONOTONIC_PTS' AS r, CAST(idx AS VARCHAR) AS d, 'observed_us ' || observed AS m FROM scan WHERE kind = 'non_monotonic'
+UNION ALL SELECT CAST(stream AS VARCHAR), 'TIMING.TIMESTAMP_GAP', CAST(idx AS VARCHAR), 'gap_us ' || size FROM scan WHERE kind = 'gap'
+UNION ALL SELECT CAST(stream AS VARCHAR), 'VIDEO.GOP_LENGTH_CHANGE', CAST(gop AS VARCHAR), 'from ' || previous_length || '; to ' || length FROM gc
+UNION ALL SELECT CAST(stream AS VARCHAR), 'VIDEO.SINGLE_KEYFRAME', '0', 'gops ' || gops FROM gs WHERE gops = 1
+UNION ALL SELECT CAST(user_id AS VARCHAR), 'AUDIO.CLIPPING', '', 'peak ' || peak FROM lv UNION ALL SELECT CAST(user_id AS VARCHAR), 'AUDIO.DC_OFFSET', '', 'mean ' || mean FROM lv)
+SELECT asset_id, rule_id, severity, m AS measurements, CASE WHEN start_us IS NULL THEN '' ELSE printf('%02d:%02d:%02d.%03d', start_us // 3600000000, start_us // 60000000 % 60, start_us // 1000000 % 60, start_us // 1000 % 1000) END AS start
+FROM fn JOIN ms ON a = asset_id AND r = rule_id AND d = discriminator""",
     "file_names": """SELECT page_id, list_last(string_split(url, '/')) AS name, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""",
     "format_probe": "SELECT p_partkey, ['iso_bmff', 'matroska', 'wav', 'aiff', 'ogg', 'flac', 'unknown'][p_partkey % 7 + 1] AS format FROM part",
     "severity_rollup": f"WITH {FINDINGS} SELECT severity, rule_id, count(*) AS findings FROM fn GROUP BY ROLLUP (severity, rule_id)",
