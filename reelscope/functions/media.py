@@ -127,3 +127,38 @@ def file_name(path: Column) -> Column:
 def luma(r: Column, g: Column, b: Column) -> Column:
     """BT.601 integer luma."""
     return F.shiftright(77 * r + 150 * g + 29 * b, 8)
+
+
+def _channel(x: Column) -> Column:
+    return F.greatest(F.least(F.shiftright(x, 8), F.lit(255)), F.lit(0))
+
+
+def yuv_to_rgb(y: Column, u: Column, v: Column) -> Column:
+    """Studio-swing BT.601 to 8-bit RGB in 8.8 fixed point, clamped."""
+    base, u, v = 298 * (y - 16) + 128, u - 128, v - 128
+    return F.struct(_channel(base + 409 * v).alias("r"), _channel(base - 100 * u - 208 * v).alias("g"), _channel(base + 516 * u).alias("b"))
+
+
+def safe_path(path: Column, most: int = 64) -> Column:
+    """A relative path that stays inside a folder: other characters become ``_``, runs of dots one, and those at the ends of a part go; at most ``most`` characters for a part."""
+    part = lambda p: F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "[^A-Za-z0-9._-]", "_"), r"\.+", "."), r"^\.|\.$", ""), 1, most)
+    joined = F.array_join(F.filter(F.transform(F.split(path, r"[/\\\\]"), part), lambda p: p != ""), "/")
+    return F.when(joined == "", "artifact").otherwise(joined)
+
+
+def escape_type(kind: Column) -> Column:
+    """A four-byte box type as text, bytes that are not printable ASCII as ``\\xNN``."""
+    at = lambda i: F.hex(F.substring(kind, i, 1))
+    one = lambda h: F.when(h.between("20", "7E"), F.decode(F.unhex(h), "US-ASCII")).otherwise(F.concat(F.lit("\\x"), F.lower(h)))
+    return F.concat(*[one(at(i)) for i in range(1, 5)])
+
+
+def measurement_text(value: Column, unit: str, citation: str) -> Column:
+    """``-23.0 LUFS (citation)``: one decimal, the unit, and how it was measured."""
+    return F.concat(F.format_string("%.1f", value), F.lit(f" {unit} ({citation})"))
+
+
+def dimensions(text: Column) -> Column:
+    """(width, height) of ``WxH``; null where either is no number."""
+    wide, high = (F.regexp_extract(text, r"^(\d{1,9})[xX](\d{1,9})$", i) for i in (1, 2))
+    return F.when(wide != "", F.struct(wide.cast("int").alias("width"), high.cast("int").alias("height")))

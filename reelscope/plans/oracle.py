@@ -216,6 +216,15 @@ SELECT asset_id, rule_id, severity, m AS measurements, CASE WHEN start_us IS NUL
 FROM fn JOIN ms ON a = asset_id AND r = rule_id AND d = discriminator""",
     "file_names": """SELECT page_id, list_last(string_split(url, '/')) AS name, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""",
     "format_probe": "SELECT p_partkey, ['iso_bmff', 'matroska', 'wav', 'aiff', 'ogg', 'flac', 'unknown'][p_partkey % 7 + 1] AS format FROM part",
+    "yuv_pixels": """WITH c AS (SELECT p_partkey, 298 * (p_partkey * 7 % 256 - 16) + 128 AS base, p_partkey * 31 % 256 - 128 AS u, p_partkey * 101 % 256 - 128 AS v FROM part)
+SELECT p_partkey, CAST(greatest(0, least(255, floor((base + 409 * v) / 256.0))) AS BIGINT) AS r, CAST(greatest(0, least(255, floor((base - 100 * u - 208 * v) / 256.0))) AS BIGINT) AS g, CAST(greatest(0, least(255, floor((base + 516 * u) / 256.0))) AS BIGINT) AS b FROM c""",
+    "safe_paths": """SELECT p_partkey, left(regexp_replace(p_name, '[^A-Za-z0-9._-]', '_', 'g'), 64) || '/x.y/' || left(regexp_replace(p_type, '[^A-Za-z0-9._-]', '_', 'g'), 64) AS path FROM part""",
+    "measurement_texts": "SELECT event_id, printf('%.1f', round(value, 0)) || ' LUFS (BS.1770-4)' AS text FROM events",
+    "frame_dimensions": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size * 16 AS BIGINT) END AS width, CASE WHEN p_partkey % 3 = 0 THEN CAST(1080 AS BIGINT) END AS height FROM part",
+    "referenced_evidence": "SELECT s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT o_orderkey % 997 FROM orders) OR s_suppkey IN (SELECT o_custkey % 50 FROM orders)",
+    "evidence_links": "SELECT event_id AS id, c_custkey AS evidence_id FROM events JOIN customer ON user_id = c_custkey % 15 AND CAST(floor(value) AS BIGINT) = c_custkey // 15 WHERE event_id % 3 = 0",
+    "against_reference": """SELECT source AS case_id, CASE WHEN count(*) FILTER (doc_id % 45 = 0) = 1 THEN min(doc_id) FILTER (doc_id % 45 = 0) END AS reference_id, CASE WHEN count(*) FILTER (doc_id % 45 = 0) = 1 THEN min(sha256(text)) FILTER (doc_id % 45 = 0) END AS sha256,
+CASE count(*) FILTER (doc_id % 45 = 0) WHEN 0 THEN 'absent' WHEN 1 THEN 'designated' ELSE 'ambiguous' END AS state FROM documents GROUP BY source""",
     "severity_rollup": f"WITH {FINDINGS} SELECT severity, rule_id, count(*) AS findings FROM fn GROUP BY ROLLUP (severity, rule_id)",
 }
 

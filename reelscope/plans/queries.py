@@ -597,3 +597,45 @@ def format_probe(spark, d):
 def severity_rollup(spark, d):
     """Findings by severity and rule, with subtotals."""
     return _findings(spark, d).rollup("severity", "rule_id").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query
+def yuv_pixels(spark, d):
+    at = lambda k: (F.col("p_partkey") * k % 256).cast("int")
+    return A.read(spark, d, "part").select("p_partkey", M.yuv_to_rgb(at(7), at(31), at(101)).alias("x")).select("p_partkey", *[F.col(f"x.{c}").cast("long").alias(c) for c in "rgb"])
+
+
+@query
+def safe_paths(spark, d):
+    return A.read(spark, d, "part").select("p_partkey", M.safe_path(F.concat(F.lit("../"), "p_name", F.lit("\\..x...y./"), "p_type", F.lit("/.."))).alias("path"))
+
+
+@query
+def measurement_texts(spark, d):
+    return A.read(spark, d, "events").select("event_id", M.measurement_text(F.round(F.col("value"), 0), "LUFS", "BS.1770-4").alias("text"))
+
+
+@query
+def frame_dimensions(spark, d):
+    text = F.concat((F.col("p_size") * 16).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "x").otherwise("by"), F.lit("1080"))
+    return A.read(spark, d, "part").select("p_partkey", M.dimensions(text).alias("x")).select("p_partkey", F.col("x.width").cast("long").alias("width"), F.col("x.height").cast("long").alias("height"))
+
+
+@query
+def referenced_evidence(spark, d):
+    evidence = A.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    findings = A.read(spark, d, "orders").select("o_orderkey", F.array(F.col("o_orderkey") % 997, F.col("o_custkey") % 50).alias("evidence"))
+    return store.referenced(evidence, findings)
+
+
+@query
+def evidence_links(spark, d):
+    findings = A.read(spark, d, "events").select(F.col("user_id").cast("string").alias("asset_id"), F.concat(F.lit("VIDEO."), F.upper("event_type")).alias("rule_id"), F.when(F.col("event_id") % 3 == 0, F.floor("value")).alias("frame_index"), F.col("event_id").alias("id"))
+    evidence = A.read(spark, d, "customer").select((F.col("c_custkey") % 15).cast("string").alias("asset_id"), F.floor(F.col("c_custkey") / 15).alias("frame_index"), F.col("c_custkey").alias("evidence_id"))
+    return store.link_frames(findings, evidence)
+
+
+@query
+def against_reference(spark, d):
+    a = A.read(spark, d, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 45 == 0, "reference").alias("role"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return store.designated_reference(a)

@@ -93,6 +93,25 @@ def lookup(assets: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(best, "asked", "left").select("asked", F.col("x.id").alias("id"))
 
 
+def referenced(evidence: DataFrame, findings: DataFrame) -> DataFrame:
+    """Evidence whose id some finding lists."""
+    return evidence.join(findings.select(F.explode("evidence").alias("id")).distinct(), "id", "left_semi")
+
+
+def link_frames(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """id, evidence_id: the frame evidence of video findings, by asset and frame; findings without a frame have none."""
+    video = findings.where(F.col("rule_id").startswith("VIDEO.") & F.col("frame_index").isNotNull())
+    return video.join(evidence, ["asset_id", "frame_index"]).select("id", "evidence_id")
+
+
+def designated_reference(assets: DataFrame) -> DataFrame:
+    """case_id, reference_id, sha256, state: the one asset with the role; ``absent`` or ``ambiguous`` otherwise."""
+    marked = F.col("role") == "reference"
+    out = assets.groupBy("case_id").agg(F.count_if(marked).alias("n"), F.min(F.when(marked, F.struct("id", "sha256"))).alias("x"))
+    one = F.col("n") == 1
+    return out.select("case_id", F.when(one, F.col("x.id")).alias("reference_id"), F.when(one, F.col("x.sha256")).alias("sha256"), F.when(F.col("n") == 0, "absent").when(one, "designated").otherwise("ambiguous").alias("state"))
+
+
 def cache_key(version: str, sha256: str, profile: str, rule_ids: list[str]) -> str:
     return ":".join([version, sha256, profile, "\n".join(sorted(rule_ids))])
 

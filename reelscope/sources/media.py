@@ -6,16 +6,23 @@ a row with ``anomalies``, never a failed task. What follows (times, key frames,
 
 from __future__ import annotations
 
+import io
 import struct
+import wave
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Longest file that is inspected, and most samples of a track. Fixed limits: they change results.
 MAX_FILE, MAX_SAMPLES = 2 << 30, 8_000_000
-TRACK = "struct<stream_index: int, track_id: bigint, kind: string, codec: string, timescale: bigint, declared_duration: bigint, edit_offset: bigint, width: int, height: int, channels: int, sample_rate: bigint, stts: array<struct<n: bigint, delta: bigint>>, ctts: array<struct<n: bigint, delta: bigint>>, stss: array<bigint>, sizes: array<bigint>>"
+#: Codes of a colour box by name, and those that mean high dynamic range. Fixed values; several codes share a transfer name.
+PRIMARIES = {1: "BT.709", 4: "BT.470M", 5: "BT.470BG", 6: "SMPTE 170M", 7: "SMPTE 240M", 8: "film (generic)", 9: "BT.2020", 10: "SMPTE ST 428", 11: "SMPTE ST 431 (DCI P3)", 12: "SMPTE ST 432 (DCI P3 D65)", 22: "EBU Tech. 3213"}
+TRANSFERS = {1: "BT.709", 4: "BT.470M (gamma 2.2)", 5: "BT.470BG (gamma 2.8)", 6: "SMPTE 170M", 7: "SMPTE 240M", 8: "linear", 9: "logarithmic (100:1 range)", 10: "BT.2020 10-bit", 11: "BT.2020 12-bit", 12: "PQ (SMPTE ST 2084)", 13: "SMPTE ST 428", 14: "HLG (ARIB STD-B67)", 15: "PQ (SMPTE ST 2084)", 16: "PQ (SMPTE ST 2084)", 17: "reserved", 18: "HLG (ARIB STD-B67)"}
+HDR_PRIMARIES, HDR_TRANSFERS = {9}, {12, 14, 15, 16, 18}
+TRACK = "struct<primaries: string, transfer: string, is_hdr: boolean, hdr_metadata: string, stream_index: int, track_id: bigint, kind: string, codec: string, timescale: bigint, declared_duration: bigint, edit_offset: bigint, width: int, height: int, channels: int, sample_rate: bigint, stts: array<struct<n: bigint, delta: bigint>>, ctts: array<struct<n: bigint, delta: bigint>>, stss: array<bigint>, sizes: array<bigint>>"
 INSPECTION = f"path string, format string, next_track_id bigint, tracks array<{TRACK}>, metadata array<struct<scope: string, track_index: int, key: string, value: string>>, damage array<struct<kind: string, offset: bigint, detail: string>>, anomalies array<string>"
 
 
@@ -91,6 +98,7 @@ def _full(data: bytes, span: tuple[int, int] | None, entry: str, count_at: int =
 
 def _track(data: bytes, a: int, b: int, index: int) -> dict:
     out = dict.fromkeys(("kind", "codec", "declared_duration", "edit_offset", "width", "height", "channels", "sample_rate"))
+    out |= {"primaries": None, "transfer": None, "is_hdr": False, "hdr_metadata": None}
     out |= {"stream_index": index, "track_id": 0, "timescale": 0, "stts": [], "ctts": [], "stss": None, "sizes": []}
     if t := find(data, a, b, b"tkhd"):
         wide = data[t[0]] == 1
@@ -114,6 +122,7 @@ def _track(data: bytes, a: int, b: int, index: int) -> dict:
         body = s[0] + 16
         if out["kind"] == "video" and s[1] - body >= 28:
             out["width"], out["height"] = struct.unpack_from(">HH", data, body + 24)
+            out |= _colour(data, body + 78, s[1])  # boxes follow the fixed part of the entry
         if out["kind"] == "audio" and s[1] - body >= 28:
             out["channels"] = struct.unpack_from(">H", data, body + 16)[0]
             out["sample_rate"] = struct.unpack_from(">I", data, body + 24)[0] >> 16
@@ -127,6 +136,16 @@ def _track(data: bytes, a: int, b: int, index: int) -> dict:
     return out
 
 
+def _colour(data: bytes, a: int, b: int) -> dict:
+    """Names of the colour box, whether they mean high dynamic range, and its mastering metadata as text."""
+    out: dict = {}
+    if (c := find(data, a, b, b"colr")) and data[c[0] : c[0] + 4] in (b"nclx", b"nclc") and c[1] - c[0] >= 8:
+        primaries, transfer = struct.unpack_from(">HH", data, c[0] + 4)
+        out = {"primaries": PRIMARIES.get(primaries, "unspecified"), "transfer": TRANSFERS.get(transfer, "unspecified"), "is_hdr": primaries in HDR_PRIMARIES or transfer in HDR_TRANSFERS}
+    found = [f"{kind.decode()} {e - s} bytes" for kind, s, e in boxes(data, a, b) if kind in (b"mdcv", b"clli")]
+    return out | ({"hdr_metadata": ", ".join(found)} if found else {})
+
+
 _ATOMS = {b"\xa9nam": "©nam", b"\xa9too": "©too", b"\xa9cmt": "©cmt"}
 
 
@@ -215,7 +234,7 @@ def inspect_matroska(data: bytes) -> dict:
                         by_number[number(*f[NUMBER])] = index
                     kind_ = {1: "video", 2: "audio"}.get(number(*f[TYPE]) if TYPE in f else 0, "other")
                     codec = data[slice(*f[CODEC])].decode("latin-1") if CODEC in f else None
-                    out["tracks"].append({"stream_index": index, "track_id": number(*f[NUMBER]) if NUMBER in f else 0, "kind": kind_, "codec": codec, "timescale": 1_000_000, "declared_duration": None, "edit_offset": None, "width": None, "height": None, "channels": None, "sample_rate": None, "stts": [], "ctts": [], "stss": [], "sizes": []})
+                    out["tracks"].append({"stream_index": index, "track_id": number(*f[NUMBER]) if NUMBER in f else 0, "kind": kind_, "codec": codec, "timescale": 1_000_000, "declared_duration": None, "edit_offset": None, "width": None, "height": None, "channels": None, "sample_rate": None, "primaries": None, "transfer": None, "is_hdr": False, "hdr_metadata": None, "stts": [], "ctts": [], "stss": [], "sizes": []})
         elif kind == CLUSTER:
             clock = 0
             for k, s, e in elements(data, a, b):
@@ -316,7 +335,7 @@ def streams(inspections: DataFrame) -> DataFrame:
     total = F.aggregate("t.stts", F.lit(0).cast("long"), lambda s, r: s + r["n"] * r["delta"])
     return t.select(
         "asset_id", "t.stream_index", "t.kind", "t.codec", us(F.when(F.col("t.declared_duration") > 0, F.col("t.declared_duration"))).alias("duration_us"), us(total).alias("measured_us"), us(F.col("t.edit_offset")).alias("edit_us"), F.lit(0).cast("long").alias("start_us"),
-        "t.width", "t.height", "t.channels", "t.sample_rate", F.col("t.stss").isNull().alias("all_key"), F.lit(False).alias("is_hdr"), F.lit(None).cast("string").alias("hdr_metadata"),
+        "t.width", "t.height", "t.channels", "t.sample_rate", F.col("t.stss").isNull().alias("all_key"), "t.primaries", "t.transfer", "t.is_hdr", "t.hdr_metadata",
     )
 
 
@@ -343,3 +362,34 @@ def analyse(inspections: DataFrame, profile=None) -> dict[str, DataFrame]:
         "metadata_conflicts": metadata.conflicts(tags, ["asset_id"]), "missing_creation": metadata.missing_creation(tags, ["asset_id"]),
         "sync": timing.sync_report(pictures.select("asset_id", "idx", "pts_us"), every.where("kind = 'audio'").select("asset_id", "idx", "pts_us"), ["asset_id"]),
     }
+
+
+def decode_wav(files: DataFrame) -> DataFrame:
+    """asset_id, sample_rate, channels, pcm (interleaved, -1 to 1) and reason, from ``binaryFile`` rows of 8, 16, 24 or 32-bit PCM WAV.
+
+    What is no such file has a reason and nulls: not measured.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, data in zip(part["path"], part["content"], strict=True):
+                row = {"asset_id": path, "sample_rate": None, "channels": None, "pcm": None, "reason": None}
+                try:
+                    with wave.open(io.BytesIO(data)) as w:
+                        raw, size = w.readframes(w.getnframes()), w.getsampwidth()
+                        row |= {"sample_rate": w.getframerate(), "channels": w.getnchannels()}
+                    if size == 1:
+                        x = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
+                    elif size == 3:
+                        b = np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
+                        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
+                    else:
+                        x = np.frombuffer(raw, f"<i{size}").astype(np.float32) / (1 << 8 * size - 1)
+                    row["pcm"] = x.tolist()
+                except Exception as e:  # bad bytes are not measured
+                    row["reason"] = f"{type(e).__name__}: {e}"
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=["asset_id", "sample_rate", "channels", "pcm", "reason"])
+
+    return files.select("path", "content").mapInPandas(run, "asset_id string, sample_rate int, channels int, pcm array<float>, reason string")

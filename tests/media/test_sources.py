@@ -24,10 +24,10 @@ def rle(kind, rows, form):
     return full(kind, struct.pack(">I", len(rows)), *[struct.pack(form, *r) for r in rows])
 
 
-def track(handler=b"vide", timescale=25_000, stts=((100, 1000),), declared=None, sync=(1, 13, 25), ctts=None, tag=None, edit=None):
+def track(handler=b"vide", timescale=25_000, stts=((100, 1000),), declared=None, sync=(1, 13, 25), ctts=None, tag=None, edit=None, colour=b""):
     n = sum(c for c, _ in stts)
     declared = sum(c * d for c, d in stts) if declared is None else declared
-    entry = box(b"avc1", b"\0" * 24, struct.pack(">HH", 640, 360), b"\0" * 50) if handler == b"vide" else box(b"mp4a", b"\0" * 16, struct.pack(">HHHHI", 2, 16, 0, 0, 48_000 << 16))
+    entry = box(b"avc1", b"\0" * 24, struct.pack(">HH", 640, 360), b"\0" * 50, colour) if handler == b"vide" else box(b"mp4a", b"\0" * 16, struct.pack(">HHHHI", 2, 16, 0, 0, 48_000 << 16))
     stbl = [full(b"stsd", struct.pack(">I", 1), entry), rle(b"stts", stts, ">II"), full(b"stsz", struct.pack(">II", 0, n), *[struct.pack(">I", 100 + i % 7) for i in range(n)])]
     if sync is not None:
         stbl.append(rle(b"stss", [(x,) for x in sync], ">I"))
@@ -72,6 +72,8 @@ FILES = {
     "empty.mp4": mp4(),
     "cut.mp4": mp4(track())[:-400][:60] + struct.pack(">I4s", 5000, b"free"),
     "bad.mp4": box(b"ftyp", b"isom", b"\0" * 8) + struct.pack(">I4s", 5, b"free"),
+    "hdr.mp4": mp4(track(colour=box(b"colr", b"nclx", struct.pack(">HHHB", 9, 16, 9, 0)))),
+    "mastered.mp4": mp4(track(colour=box(b"colr", b"nclx", struct.pack(">HHHB", 9, 16, 9, 0)) + box(b"mdcv", b"\0" * 24))),
     "clip.webm": webm(),
     "nokey.webm": webm(keys=(False,) * 4),
     "back.webm": webm(times=(0, 80, 40, 120)),
@@ -122,6 +124,7 @@ def test_rules_fire_on_their_fixtures_only(found):
     assert "gap.mp4" in got["TIMING.TIMESTAMP_GAP"] and "clean.mp4" not in got["TIMING.TIMESTAMP_GAP"]
     assert got["TIMING.NON_MONOTONIC_PTS"] == {"reordered.mp4", "back.webm"}
     assert got["METADATA.TIMESTAMP_CONFLICT"] == {"tags.mp4"}
+    assert got["VIDEO.HDR_METADATA_MISSING"] == {"hdr.mp4"}
     assert got["CONTAINER.STREAM_START_OFFSET"] == {"late.mp4"}
     assert got["VIDEO.ALL_FRAMES_KEYFRAMES"] == {"keys.mp4"}
     assert "single.mp4" in got["VIDEO.SINGLE_KEYFRAME"] and "clean.mp4" not in got["VIDEO.SINGLE_KEYFRAME"]
@@ -144,3 +147,21 @@ def test_arbitrary_bytes_never_fail(spark):
     for r in out:
         size = next(b for a, b, _ in rows if a == r.path)
         assert all(0 <= d.offset <= size for d in r.damage)
+
+
+def test_wav(spark):
+    import io
+    import wave
+
+    def sound(width: int) -> bytes:
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((2, width, 48_000, 2, "NONE", ""))
+            half = (1 << 8 * width - 2) if width > 1 else 192
+            w.writeframes(half.to_bytes(width, "little") * 4)
+        return out.getvalue()
+
+    rows = [(str(w), bytearray(sound(w))) for w in (1, 2, 3, 4)] + [("bad", bytearray(b"RIFF"))]
+    got = {r.asset_id: r for r in media.decode_wav(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert all(got[str(w)].pcm == pytest.approx([0.5] * 4) and got[str(w)].channels == 2 for w in (1, 2, 3, 4))
+    assert got["bad"].pcm is None and got["bad"].reason
