@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelscope.llm.shared import written
+from reelscope.llm.shared import small_batches, written
 
 BLOCK = 256
 
@@ -142,6 +142,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = 24
     for each different vector. Fewer than ``k`` candidates are all listed. Each step expands, for each query, up to
     ``width`` of its ``breadth`` nearest nodes.
     """
+    small_batches(vectors.sparkSession)
     rows = written(usable(vectors).distinct(), "vectors")
     asked = usable(queries).distinct()
     if not rows.take(1):

@@ -107,7 +107,7 @@ def _bags(texts: list[str]) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndar
     for text in texts:
         buf, offsets = H.texts(pa.array([text], pa.string()))
         start, kinds, _, _ = features(buf)
-        at, bucket = np.concatenate([k[0] for k in kinds]), np.concatenate([k[1] for k in kinds])
+        at, bucket = np.concatenate([k[0] for k in kinds]), np.concatenate([k[1] for k in kinds]).astype(np.int32)
         word = np.maximum(np.searchsorted(start, at, side="right") - 1, 0) if len(start) else at
         order = np.argsort(word, kind="stable")
         bucket, word = bucket[order], word[order]
@@ -203,7 +203,7 @@ def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2000) -> Model:
     """Train on up to ``most`` labelled documents of each class, those with the smallest hashes of their ids.
 
     ``labels`` needs doc_id and toxic (0, 1, or null for unknown); of several labels of a document the largest counts.
