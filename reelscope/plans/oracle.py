@@ -86,13 +86,13 @@ _SQL = {
 t AS (SELECT stream, idx, step * 40000 + CASE WHEN step % 97 = 0 THEN 7000 ELSE 0 END AS pts_us FROM e),
 d AS (SELECT *, pts_us - lag(pts_us) OVER (PARTITION BY stream ORDER BY pts_us, idx) AS delta FROM t)
 SELECT stream, pts_us, delta, CAST(40000 AS BIGINT) AS dominant FROM d WHERE abs(delta - 40000) > 2000""",
-    "av_sync": """WITH v AS (SELECT event_id AS idx, epoch_us(ts) AS pts_us, max(epoch_us(ts)) OVER (ORDER BY event_id) AS key_us FROM events WHERE event_type = 'view'),
-a AS (SELECT epoch_us(ts) AS a_us FROM events WHERE event_type = 'click')
-SELECT idx, pts_us, key_us, coalesce(n.a_us, (SELECT max(a_us) FROM a)) AS match_us FROM v ASOF LEFT JOIN (SELECT DISTINCT a_us FROM a) n ON v.key_us <= n.a_us""",
+    "av_sync": """WITH v AS (SELECT user_id % 64 AS asset, event_id AS idx, epoch_us(ts) AS pts_us, max(epoch_us(ts)) OVER (PARTITION BY user_id % 64 ORDER BY event_id) AS key_us FROM events WHERE event_type = 'view'),
+a AS (SELECT DISTINCT user_id % 64 AS asset, epoch_us(ts) AS a_us FROM events WHERE event_type = 'click'), m AS (SELECT asset, max(a_us) AS last_us FROM a GROUP BY asset),
+n AS (SELECT v.*, a.a_us FROM v ASOF LEFT JOIN a ON v.asset = a.asset AND v.key_us <= a.a_us)
+SELECT n.asset, idx, pts_us, key_us, coalesce(a_us, last_us) AS match_us FROM n LEFT JOIN m ON m.asset = n.asset""",
     "av_sync_report": f"""WITH {SYNC} SELECT asset, CAST(max(CASE WHEN half = 0 THEN med END) AS BIGINT) AS initial_us, CAST(max(CASE WHEN half = 1 THEN med END) AS BIGINT) AS final_us,
 CAST(max(CASE WHEN half = 1 THEN med END) - max(CASE WHEN half = 0 THEN med END) AS BIGINT) AS drift_us FROM me GROUP BY asset""",
-    "sample_times": """WITH r AS (SELECT l_orderkey AS stream, l_linenumber AS seq, CAST(sum(l_quantity) AS BIGINT) AS n, max(l_linenumber) * 100 AS delta FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL),
-x AS (SELECT stream, seq, delta, unnest(range(n)) AS k FROM r)
+    "sample_times": """WITH x AS (SELECT o_custkey AS stream, o_orderkey AS seq, o_custkey % 7 * 100 + 40 AS delta, unnest(range(o_orderkey % 5)) AS k FROM orders)
 SELECT stream, row_number() OVER w - 1 AS idx, CAST(coalesce(sum(delta) OVER (PARTITION BY stream ORDER BY seq, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS dts FROM x WINDOW w AS (PARTITION BY stream ORDER BY seq, k)""",
     "measured_duration": """SELECT l_orderkey AS stream, CAST(sum(CAST(l_quantity AS BIGINT) * l_linenumber) AS BIGINT) AS duration, CASE WHEN min(l_linenumber) = max(l_linenumber) THEN CAST(min(l_linenumber) AS BIGINT) END AS step FROM lineitem GROUP BY l_orderkey""",
     "gop_segments": f"WITH {FRAMES}, {GOPS} SELECT * FROM gops",
@@ -108,7 +108,7 @@ SELECT w.stream, idx, start_us, pts_us AS end_us, round(bytes * 8e6 / (pts_us -
 WHERE n > 12 AND place >= 12 AND pts_us > start_us AND bytes * 8e6 / (pts_us - start_us) < 0.8 * average""",
     "whole_bitrate": f"WITH {SAMPLES} SELECT stream, count(*) AS samples, round(sum(size) * 8e6 / (arg_max(pts_us, idx) - arg_min(pts_us, idx)), 6) AS average FROM sa GROUP BY stream",
     "byte_positions": f"WITH {SAMPLES}, {POS} SELECT * FROM bp",
-    "offset_asof": f"""WITH {SAMPLES}, {POS}, pb AS (SELECT event_type AS stream, event_id * 977 AS "offset" FROM events WHERE event_id % 50 = 0),
+    "offset_asof": f"""WITH {SAMPLES}, {POS}, pb AS (SELECT event_type AS stream, event_id * 977 AS "offset" FROM events),
 b1 AS (SELECT stream, byte_offset, max(idx) AS idx FROM bp GROUP BY stream, byte_offset)
 SELECT pb.stream, pb."offset", b1.idx, b1.byte_offset FROM pb ASOF LEFT JOIN b1 ON pb.stream = b1.stream AND pb."offset" >= b1.byte_offset""",
     "near_duplicate_frames": """WITH e AS (SELECT user_id % 4 AS stream, event_id AS idx, CAST(floor(value) AS BIGINT) % 32 AS hash, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS place FROM events)
@@ -174,13 +174,13 @@ SELECT asset_id, CASE max(CASE verdict WHEN 'PASS' THEN 0 WHEN 'FAIL' THEN 2 ELS
     "dashboard": f"""WITH {FINDINGS}, d AS (SELECT count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'SIGNIFICANT') AS significant, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'INFORMATIONAL') AS informational,
 count(*) FILTER (length(asset_id) % 2 = 0) AS awaiting_review, count(*) FILTER (length(asset_id) % 2 = 1) AS reviewed FROM fn) SELECT *, CASE WHEN critical + significant + awaiting_review > 0 THEN 'REVIEW REQUIRED' ELSE 'COMPLETE' END AS review_status FROM d""",
     "batch_summary": f"WITH {BATCH} SELECT status, count(*) AS files, CAST(sum(findings) AS BIGINT) AS findings, ['CRITICAL', 'SIGNIFICANT', 'WARNING', 'INFORMATIONAL'][min(worst_rank) + 1] AS worst_severity FROM ba GROUP BY status",
-    "batch_order": f"WITH {BATCH} SELECT * FROM ba ORDER BY worst_rank NULLS LAST, name LIMIT 50",
+    "batch_order": f"WITH {BATCH} SELECT * FROM ba",
     "case_search": """WITH s AS (SELECT 'finding' AS arm, CAST(c_custkey AS VARCHAR) AS id, 'Finding for ' || c_name AS title, c_mktsegment AS detail, c_custkey % 4 AS rank FROM customer WHERE c_custkey % 4 <= 2
 UNION ALL SELECT 'asset', CAST(p_partkey AS VARCHAR), p_name, p_type, 3 FROM part UNION ALL SELECT 'evidence', CAST(s_suppkey AS VARCHAR), s_name, 'evidence', 3 FROM supplier)
 SELECT arm, id, title, CAST(rank AS BIGINT) AS rank FROM s WHERE contains(lower(title), '1') OR contains(lower(detail), '1') ORDER BY rank, id, arm LIMIT 200""",
     "search_total": """SELECT CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) AS n FROM customer WHERE contains(lower('Finding for ' || c_name), 'name#0000') OR contains(lower(c_mktsegment), 'name#0000')
 UNION ALL SELECT count(*) FROM part WHERE contains(lower(p_name), 'name#0000') OR contains(lower(p_type), 'name#0000') UNION ALL SELECT count(*) FROM supplier WHERE contains(lower(s_name), 'name#0000'))""",
-    "asset_lookup": """WITH a AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part), q AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE upper(p_name) END AS asked FROM part WHERE p_partkey % 3 = 0),
+    "asset_lookup": """WITH a AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part), q AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE upper(p_name) END AS asked FROM part),
 x AS (SELECT name, min(id) AS id FROM a GROUP BY name), l AS (SELECT lower(name) AS name, min(id) AS id FROM a GROUP BY lower(name) HAVING count(*) = 1)
 SELECT asked, coalesce(a.id, x.id, l.id) AS id FROM q LEFT JOIN a ON a.id = asked LEFT JOIN x ON x.name = asked LEFT JOIN l ON l.name = lower(asked)""",
     "latest_analysis": """SELECT asset, id, started_us, o_orderstatus FROM (SELECT o_custkey AS asset, o_orderkey AS id, epoch_us(o_orderdate) AS started_us, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""",
@@ -190,9 +190,9 @@ SELECT * FROM s UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHER
     "timeline_retention": """SELECT asset, runs, missing, CASE WHEN runs = 0 THEN 'no_runs' WHEN missing = 0 THEN 'complete' ELSE 'partial' END AS state FROM (SELECT c_custkey AS asset, count(o_orderkey) AS runs, count(*) FILTER (o_orderstatus = 'P') AS missing FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)""",
     "timeline": f"WITH {TIMELINE} SELECT time_us, source_rank, source, reference, summary FROM tr",
     "timeline_layers": f"WITH {TIMELINE} SELECT CASE WHEN source = 'error' THEN 'error' ELSE 'finding' END AS layer, count(time_us) AS entries, min(time_us) AS first_us, max(time_us) AS last_us, count(*) FILTER (time_us IS NULL) AS unplaced FROM tr GROUP BY 1",
-    "nearest_mark": f"""WITH {SAMPLES}, k AS (SELECT DISTINCT pts_us AS m FROM sa WHERE event_type = 'purchase'), p AS (SELECT idx AS probe, pts_us AS at_us FROM sa WHERE idx % 40 = 0),
-b AS (SELECT p.*, k.m AS b FROM p ASOF LEFT JOIN k ON p.at_us >= k.m), a AS (SELECT b.*, k.m AS a FROM b ASOF LEFT JOIN k ON b.at_us <= k.m),
-c AS (SELECT probe, at_us, CASE WHEN b IS NULL OR a - at_us < at_us - b THEN a ELSE b END AS m FROM a) SELECT probe, at_us, CASE WHEN abs(m - at_us) <= 600000000 THEN m END AS mark_us FROM c""",
+    "nearest_mark": """WITH k AS (SELECT DISTINCT user_id % 16 AS asset, epoch_us(ts) AS m FROM events WHERE event_type = 'purchase'), p AS (SELECT user_id % 16 AS asset, event_id AS probe, epoch_us(ts) AS at_us FROM events WHERE event_type <> 'purchase'),
+b AS (SELECT p.*, k.m AS b FROM p ASOF LEFT JOIN k ON p.asset = k.asset AND p.at_us >= k.m), a AS (SELECT b.*, k.m AS a FROM b ASOF LEFT JOIN k ON b.asset = k.asset AND b.at_us <= k.m),
+c AS (SELECT asset, probe, at_us, CASE WHEN b IS NULL OR a - at_us < at_us - b THEN a ELSE b END AS m FROM a) SELECT asset, probe, at_us, CASE WHEN abs(m - at_us) <= 600000000 THEN m END AS mark_us FROM c""",
     "frame_navigation": f"""WITH {SAMPLES}, n AS (SELECT stream, idx, pts_us, min(CASE WHEN is_key THEN idx END) OVER (PARTITION BY stream ORDER BY pts_us, idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_key,
 max(CASE WHEN is_key THEN idx END) OVER (PARTITION BY stream ORDER BY pts_us, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_key FROM sa),
 f AS (SELECT n.*, s.idx AS second_forward FROM n ASOF LEFT JOIN sa s ON n.stream = s.stream AND n.pts_us + 1000000 <= s.pts_us)
@@ -214,7 +214,7 @@ UNION ALL SELECT CAST(stream AS VARCHAR), 'VIDEO.SINGLE_KEYFRAME', '0', 'gops '
 UNION ALL SELECT CAST(user_id AS VARCHAR), 'AUDIO.CLIPPING', '', 'peak ' || peak FROM lv UNION ALL SELECT CAST(user_id AS VARCHAR), 'AUDIO.DC_OFFSET', '', 'mean ' || mean FROM lv)
 SELECT asset_id, rule_id, severity, m AS measurements, CASE WHEN start_us IS NULL THEN '' ELSE printf('%02d:%02d:%02d.%03d', start_us // 3600000000, start_us // 60000000 % 60, start_us // 1000000 % 60, start_us // 1000 % 1000) END AS start
 FROM fn JOIN ms ON a = asset_id AND r = rule_id AND d = discriminator""",
-    "file_names": """SELECT page_id, list_last(string_split(url, '/')) AS name, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""",
+    "file_names": """SELECT page_id, list_last(string_split(url, '/')) AS name, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""",
     "format_probe": "SELECT p_partkey, ['iso_bmff', 'matroska', 'wav', 'aiff', 'ogg', 'flac', 'unknown'][p_partkey % 7 + 1] AS format FROM part",
     "yuv_pixels": """WITH c AS (SELECT p_partkey, 298 * (p_partkey * 7 % 256 - 16) + 128 AS base, p_partkey * 31 % 256 - 128 AS u, p_partkey * 101 % 256 - 128 AS v FROM part)
 SELECT p_partkey, CAST(greatest(0, least(255, floor((base + 409 * v) / 256.0))) AS BIGINT) AS r, CAST(greatest(0, least(255, floor((base - 100 * u - 208 * v) / 256.0))) AS BIGINT) AS g, CAST(greatest(0, least(255, floor((base + 516 * u) / 256.0))) AS BIGINT) AS b FROM c""",

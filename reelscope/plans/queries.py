@@ -45,7 +45,7 @@ def modal_delta(spark, d):
 
 @query
 def frame_rate_changes(spark, d):
-    rows = A.read(spark, d, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("idx"), (F.floor(F.col("event_id") / 700) * 1000 + F.col("event_id") * 40).alias("pts_us"))
+    rows = A.read(spark, d, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("idx"))
     step = F.row_number().over(Window.partitionBy("stream").orderBy("idx"))
     rows = rows.select("stream", "idx", (step * 40_000 + F.when(step % 97 == 0, 7_000).otherwise(0)).cast("long").alias("pts_us"))
     return timing.rate_changes(rows, S, 2_000)
@@ -53,9 +53,9 @@ def frame_rate_changes(spark, d):
 
 @query
 def av_sync(spark, d):
-    e = A.samples(spark, d)
-    side = lambda kind: e.where(F.col("event_type") == kind).select(F.lit(1).cast("long").alias("asset"), "idx", "pts_us")
-    return timing.nearest_after(side("view"), side("click"), ["asset"], "pts_us", "idx").select("idx", "pts_us", "key_us", "match_us")
+    e = A.read(spark, d, "events").select((F.col("user_id") % 64).alias("asset"), F.col("event_id").alias("idx"), M.micros("ts").alias("pts_us"), "event_type")
+    side = lambda kind: e.where(F.col("event_type") == kind).drop("event_type")
+    return timing.nearest_after(side("view"), side("click"), ["asset"], "pts_us", "idx").select("asset", "idx", "pts_us", "key_us", "match_us")
 
 
 @query
@@ -66,7 +66,7 @@ def av_sync_report(spark, d):
 
 @query
 def sample_times(spark, d):
-    runs = A.read(spark, d, "lineitem").where("l_orderkey <= 2000").groupBy(F.col("l_orderkey").alias("stream"), F.col("l_linenumber").alias("seq")).agg(F.sum(F.col("l_quantity")).cast("long").alias("n"), (F.max("l_linenumber") * 100).cast("long").alias("delta"))
+    runs = A.read(spark, d, "orders").select(F.col("o_custkey").alias("stream"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 5).alias("n"), (F.col("o_custkey") % 7 * 100 + 40).alias("delta"))
     return timing.expand_runs(runs, S, "seq", "n", "delta")
 
 
@@ -120,7 +120,7 @@ def byte_positions(spark, d):
 @query
 def offset_asof(spark, d):
     at = video.byte_positions(A.samples(spark, d), S, 48)
-    probes = A.read(spark, d, "events").where("event_id % 50 = 0").select(F.col("event_type").alias("stream"), (F.col("event_id") * 977).alias("offset"))
+    probes = A.read(spark, d, "events").select(F.col("event_type").alias("stream"), (F.col("event_id") * 977).alias("offset"))
     return video.position_at(probes, at, S)
 
 
@@ -253,7 +253,8 @@ def content_hash(spark, d):
 def integrity(spark, d):
     """Recorded hashes against the texts at hand: intact, hash_mismatch, or unverifiable where nothing was recorded."""
     now = content_hash(spark, d)
-    then = A.read(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary"), 256).alias("recorded"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    then = A.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.sha2(text.cast("binary"), 256)).alias("recorded"))
     out = now.join(then, "doc_id", "left")
     return out.select("doc_id", F.when(F.col("recorded").isNull(), "unverifiable").when(F.col("recorded") == F.col("sha256"), "intact").otherwise("hash_mismatch").alias("state"))
 
@@ -440,7 +441,7 @@ def _batch(spark, d):
 
 @query
 def batch_order(spark, d):
-    return views.batch_order(_batch(spark, d), "severity").limit(50).select("asset_id", "name", "status", "findings", F.col("worst_rank").cast("long").alias("worst_rank"))
+    return views.batch_order(_batch(spark, d), "severity").select("asset_id", "name", "status", "findings", F.col("worst_rank").cast("long").alias("worst_rank"))
 
 
 # store and search
@@ -466,7 +467,7 @@ def search_total(spark, d):
 @query
 def asset_lookup(spark, d):
     assets = A.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"))
-    asked = A.read(spark, d, "part").where("p_partkey % 3 = 0").select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).otherwise(F.upper("p_name")).alias("asked")).distinct()
+    asked = A.read(spark, d, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).otherwise(F.upper("p_name")).alias("asked")).distinct()
     return store.lookup(assets, asked)
 
 
@@ -515,9 +516,9 @@ def timeline_layers(spark, d):
 
 @query
 def nearest_mark(spark, d):
-    marks = A.samples(spark, d).where("event_type = 'purchase'").select(F.lit(1).alias("asset"), F.col("pts_us").alias("mark_us"))
-    probes = A.samples(spark, d).where("idx % 40 = 0").select(F.lit(1).alias("asset"), F.col("idx").alias("probe"), F.col("pts_us").alias("at_us"))
-    return views.nearest_mark(probes, marks, ["asset"], 600_000_000).select("probe", "at_us", "mark_us")
+    e = A.read(spark, d, "events").select((F.col("user_id") % 16).alias("asset"), F.col("event_id").alias("probe"), M.micros("ts").alias("at_us"), "event_type")
+    marks = e.where("event_type = 'purchase'").select("asset", F.col("at_us").alias("mark_us"))
+    return views.nearest_mark(e.where("event_type <> 'purchase'"), marks, ["asset"], 600_000_000)
 
 
 @query
@@ -582,7 +583,7 @@ def findings_csv(spark, d):
 
 @query
 def file_names(spark, d):
-    return A.read(spark, d, "pages").select("page_id", M.file_name(F.col("url")).alias("name"), M.html_escape(F.substring("html", 1, 200)).alias("escaped"))
+    return A.read(spark, d, "pages").select("page_id", M.file_name(F.col("url")).alias("name"), M.html_escape(F.col("html")).alias("escaped"))
 
 
 @query
