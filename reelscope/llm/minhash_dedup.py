@@ -6,9 +6,11 @@
    to its smallest id, then, where it still holds several components, to a member drawn anew for each bucket.
 3. A proposed pair is estimated from its signatures by counting equal bits, corrected for the 1 in 16 that agree by
    chance; those ``slack`` standard errors below the threshold go, all others are confirmed on their full sets.
-4. What is left: buckets whose members are in different components. There every pair across components is proposed
-   (each pair has a member outside the bucket's largest component), so that no bucket pair which could join two
-   components goes untested. Only pairs within one component, which cannot change a result, are skipped.
+4. What is left: nodes of buckets that still hold several components. Their shingles are ordered, the rarest among these
+   nodes first; two sets of the wanted similarity must share one of the first few (``prefix``), so every pair across
+   components that shares one is proposed. A passage that very many of them hold comes last in that order, so it does
+   not pair them all. Pairs within one component, which cannot change a result, are skipped: each proposed pair has a
+   member outside the shingle's largest component.
 
 With 30 bands of 5 rows a pair of similarity 0.8 shares no band once in 150,000 times, one of 0.85 once in ten million.
 """
@@ -91,6 +93,23 @@ def _sketch(k: int, bands: int, rows: int):
     return run
 
 
+def _listed(k: int):
+    """node, component, number of shingles, and each shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in H.blocks(whole):
+                sets = list(shingle_sets(batch, k))
+                n = np.array([len(x) for x in sets], dtype=np.int64)
+                of = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(of), batch.column(1).take(of), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))],
+                    names=["node", "component", "n", "shingle"],
+                )
+
+    return run
+
+
 _BITS = np.array([(i & 15 == 0) + (i >> 4 == 0) for i in range(256)], dtype=np.uint8)
 
 
@@ -183,9 +202,16 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: i
         if centre is not None:
             pairs = proposed(members, centre)
         else:
-            most = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
-            outside = members.join(most, "key").where("component <> most").select("key", F.col("node").alias("x"), F.col("component").alias("its"), "most")
-            pairs = outside.join(members, "key").where("component <> its and (component = most or x > node)")
+            unsettled = texts.join(members.select("node", "component").distinct(), "node").select("node", "component", "text")
+            rows = written(unsettled.mapInArrow(_listed(shingle), "node long, component long, n long, shingle long"), "shingles")
+            many = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+            ranked = rows.join(many, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
+            prefix = F.expr(f"CAST(n - ceil({percent} * n / 100.0) + 1 AS int)")
+            heads = written(ranked.select("node", "component", F.explode(F.slice("x.shingle", F.lit(1), prefix)).alias("shingle")), "heads")
+            each = heads.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+            most = each.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            outside = heads.join(most, "shingle").where("component <> most").select("shingle", F.col("node").alias("x"), F.col("component").alias("its"), "most")
+            pairs = outside.join(heads, "shingle").where("component <> its and (component = most or x > node)")
             pairs = pairs.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
