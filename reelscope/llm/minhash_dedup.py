@@ -8,8 +8,8 @@
    chance; those ``slack`` standard errors below the threshold go, all others are confirmed on their full sets.
 4. What is left: nodes of buckets that still hold several components. Their shingles are ordered, the rarest among these
    nodes first; two sets of the wanted similarity must share one of the first few (``prefix``), so every pair across
-   components that shares one is proposed. A passage that very many of them hold comes last in that order, so it does
-   not pair them all. Pairs within one component, which cannot change a result, are skipped: each proposed pair has a
+   components that shares one is proposed. A passage that very many of them hold comes last in that order, and how
+   far down the first shared shingle stands bounds what two sets can share, so it does not pair them all. Pairs within one component, which cannot change a result, are skipped: each proposed pair has a
    member outside the shingle's largest component.
 
 With 30 bands of 5 rows a pair of similarity 0.8 shares no band once in 150,000 times, one of 0.85 once in ten million.
@@ -207,11 +207,13 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: i
             many = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
             ranked = rows.join(many, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
             prefix = F.expr(f"CAST(n - ceil({percent} * n / 100.0) + 1 AS int)")
-            heads = written(ranked.select("node", "component", F.explode(F.slice("x.shingle", F.lit(1), prefix)).alias("shingle")), "heads")
+            heads = written(ranked.select("node", "component", "n", F.posexplode(F.slice("x.shingle", F.lit(1), prefix)).alias("pos", "shingle")), "heads")
             each = heads.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
             most = each.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-            outside = heads.join(most, "shingle").where("component <> most").select("shingle", F.col("node").alias("x"), F.col("component").alias("its"), "most")
-            pairs = outside.join(heads, "shingle").where("component <> its and (component = most or x > node)")
+            outside = heads.join(most, "shingle").where("component <> most").select("shingle", F.col("node").alias("x"), F.col("component").alias("its"), F.col("n").alias("nx"), F.col("pos").alias("px"), "most")
+            # The first shingle that two sets share bounds what they can share from there on.
+            room = f"{100 + percent} * (1 + least(n - 1 - pos, nx - 1 - px)) >= {percent} * (n + nx)"
+            pairs = outside.join(heads, "shingle").where(f"component <> its and (component = most or x > node) and {room}")
             pairs = pairs.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -144,3 +144,24 @@ def test_components(spark):
     out = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.component for r in out} == {1: 1, 2: 1, 3: 1, 9: 9, 4: 4, 5: 4, 7: 4, 8: 4, 20: 20, 21: 20, 22: 20, 23: 20, 24: 20}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_documents_around_a_shared_passage(spark):
+    import random
+
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"u{i}x{j}" for j in range(rng.randint(1, 30))]), "en", "s", 0) for i in range(90)]
+    sets = [{tuple(r[1].split()[j : j + 4]) for j in range(len(r[1].split()) - 3)} for r in rows]
+    low = list(range(90))
+    for _ in range(90):
+        for a in range(90):
+            for b in range(a):
+                n = len(sets[a] & sets[b])
+                if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                    low[a] = low[b] = min(low[a], low[b])
+        if _ > 3:
+            break
+    assert 20 < len(set(low)) < 90
+    out = minhash_dedup(cases.table(spark, rows), shingle=4).collect()
+    assert {r.doc_id: r.component_id for r in out} == dict(enumerate(low))
