@@ -49,9 +49,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest doc_id."""
-    marks = minhash_dedup(docs).where("not kept").select(F.col("doc_id").alias(KEY)).distinct()
-    return docs.join(marks, docs["doc_id"] == F.col(KEY), "left_anti")
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest doc_id. Rows that share a doc_id stay or go by their texts."""
+    marks = minhash_dedup(docs).where("not kept").select(F.col("doc_id").alias(KEY), F.col("part").alias(PLACE)).distinct()
+    return docs.join(marks, (docs["doc_id"].cast("long") == F.col(KEY)) & (F.xxhash64(docs["text"].cast("string")) == F.col(PLACE)), "left_anti")
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

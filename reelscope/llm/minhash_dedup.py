@@ -28,7 +28,7 @@ from reelscope.llm import hashing as H
 from reelscope.llm.components import components
 from reelscope.llm.shared import small_batches, written
 
-_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<bigint>"
+_SKETCH = "doc_id long, part long, n_shingles long, set_a long, set_b long, signature binary, bands array<bigint>"
 #: Shingles that are hashed by all functions at once.
 _PART = 2048
 
@@ -84,10 +84,10 @@ def _sketch(k: int, bands: int, rows: int):
                 size = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(packed, pa.binary()),
+                        batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("part")), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(packed, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
+                    names=["doc_id", "part", "n_shingles", "set_a", "set_b", "signature", "bands"],
                 )
 
     return run
@@ -150,31 +150,35 @@ def _confirmed(k: int, percent: int):
 
 
 def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, slack: float = 5.0) -> DataFrame:
-    """Near-duplicate components: doc_id, n_shingles (set size), component_id (smallest doc_id reachable), kept.
+    """Near-duplicate components: doc_id, part (hash of the text), n_shingles (set size), component_id (smallest doc_id
+    reachable), kept.
 
     ``docs`` needs doc_id and text; other columns are ignored. Words part at space and controls 9 to 13, A-Z count as
     lower case. Two documents link if 100 * shared shingles >= percent * all shingles of both, confirmed on full sets.
 
     One row for each input row. Null, empty and blank texts have no shingles and link with nothing: component_id is
     their own doc_id and they are kept. A row without doc_id takes no part: component_id null, kept. Rows that repeat a
-    doc_id are judged by their own texts. An empty table gives an empty result.
+    doc_id are judged by their own texts, and told apart by ``part``. An empty table gives an empty result.
     """
     hashes = bands * rows
     if hashes % 2:
         raise ValueError("bands * rows must be even, as two values share a byte")
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("part"), text.alias("text"))
     seen = written(docs.mapInArrow(_sketch(shingle, bands, rows), _SKETCH), "sketches")
     sets = seen.where("n_shingles > 0 and doc_id is not null")
-    # A node for each distinct set, named by its smallest document.
-    nodes = sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("x"))
-    nodes = written(nodes.select("set_a", "set_b", "n_shingles", F.col("x.doc_id").alias("node"), "x.signature", "x.bands"), "nodes")
+    # A node for each distinct set, with its smallest document. A doc_id may have several sets, so nodes have numbers of
+    # their own, in the order of their documents: the smallest node of a bucket is then its first document.
+    nodes = sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "part", "signature", "bands")).alias("x"))
+    nodes = nodes.select("set_a", "set_b", "n_shingles", F.col("x.doc_id").alias("low"), F.col("x.part").alias("part"), "x.signature", "x.bands")
+    nodes = written(nodes.orderBy("low", "set_a", "set_b", "n_shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("key"))
     crowded = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     buckets = written(spread.join(crowded.select("key"), "key").distinct(), "buckets")
     signatures = nodes.select("node", "signature")
-    texts = docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
-    texts = written(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
+    of = nodes.join(buckets.select("node").distinct(), "node").select("node", F.col("low").alias("doc_id"), "part")
+    texts = written(docs.join(of, ["doc_id", "part"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     least = percent / 100 - slack * (percent / 100 * (1 - percent / 100) / hashes) ** 0.5
 
     def test(pairs: DataFrame) -> DataFrame:
@@ -224,9 +228,14 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: i
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         named = components(links)
-    of = nodes.select("set_a", "set_b", "n_shingles", "node")
-    of = of.withColumn("component", F.col("node")) if named is None else of.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of = of.select("set_a", "set_b", F.col("n_shingles").alias("n"), "component").where("component is not null")
-    out = seen.select("doc_id", "n_shingles", "set_a", "set_b").join(of.withColumnsRenamed({"set_a": "_a", "set_b": "_b"}), F.expr("set_a = _a and set_b = _b and n_shingles = n and doc_id is not null"), "left")
+    of = nodes.select("set_a", "set_b", F.col("n_shingles").alias("n"), "node", "low")
+    if named is None:
+        of = of.withColumn("component", F.col("low"))
+    else:
+        of = of.join(named, "node", "left")
+        least_doc = of.where("component is not null").groupBy("component").agg(F.min("low").alias("least_doc"))
+        of = of.join(least_doc, "component", "left").withColumn("component", F.coalesce("least_doc", "low"))
+    of = of.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "n", "component")
+    out = seen.select("doc_id", "part", "n_shingles", "set_a", "set_b").join(of, F.expr("set_a = _a and set_b = _b and n_shingles = n and doc_id is not null"), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "part", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

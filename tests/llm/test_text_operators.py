@@ -165,3 +165,16 @@ def test_documents_around_a_shared_passage(spark):
     assert 20 < len(set(low)) < 90
     out = minhash_dedup(cases.table(spark, rows), shingle=4).collect()
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(low))
+
+
+def test_texts_that_share_a_doc_id_link_each_by_its_own_text(spark):
+    import corpus_pipeline
+
+    near = lambda tag, i: " ".join([f"{tag}{j}" for j in range(100)] + [f"e{tag}{i}"])
+    # 50 has a near copy of 1 and one of 2, and a text whose only near copy comes later
+    texts = [(1, near("a", 0)), (2, near("b", 0)), (50, near("a", 1)), (50, near("b", 1)), (50, near("c", 0)), (60, near("c", 1)), (70, near("b", 2))]
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts]
+    out = minhash_dedup(cases.table(spark, rows), shingle=4).collect()
+    same([(1, 1, True), (2, 2, True), (50, 1, False), (50, 2, False), (50, 50, True), (60, 50, False), (70, 2, False)], [(r.doc_id, r.component_id, r.kept) for r in out])
+    left = corpus_pipeline.near_duplicates(spark, cases.table(spark, rows), "").collect()
+    same([texts[0], texts[1], texts[4]], [(r.doc_id, r.text) for r in left])
