@@ -3,8 +3,9 @@
 Equal vectors are one node, named by its smallest id. The graph starts from small random-projection blocks, each compared
 within. Then every round joins neighbours of neighbours: each node gathers its neighbours, and a sample of the nodes it
 is a neighbour of (``sample`` of them on average, by a hash of the link), compares them with each other, and passes on
-the pairs that are nearer than the farthest neighbour either has. Vectors travel as 8-bit numbers with a scale of their
-own; these estimates only steer the graph.
+the pairs that are nearer than the farthest neighbour either has. Vectors travel whole and pairs are ranked by double
+distances, so that near copies are told apart; equal distances are ranked by a hash of the pair, so that a group of
+vectors all equally far from each other is linked at random and not to its smallest ids.
 
 A query walks the graph: from its own node, or nodes drawn by hash, it expands its nearest unexpanded nodes in rounds of
 joins, with exact double distances. Results list every id of the nodes found, nearest first, ties to smaller ids.
@@ -18,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
+from reelscope.llm import hashing as H
 from reelscope.llm.shared import small_batches, written
 
 BLOCK = 256
@@ -40,17 +43,16 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def _quantised(seeds: list[int], bits: int):
-    """node, its 8-bit form, and for each seed the signs of ``bits`` random projections."""
+def _formed(seeds: list[int], bits: int, narrow: bool):
+    """node, its vector as bytes, and for each seed the signs of ``bits`` random projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            form = [x.tobytes() for x in v.astype("<f4" if narrow else "<f8")]
             unit = v / np.abs(v).max(axis=1, keepdims=True)
-            scale = np.abs(v).max(axis=1).astype("<f4")
-            form = [s.tobytes() + x.tobytes() for s, x in zip(scale, np.rint(unit * 127).astype(np.int8), strict=True)]
             marks = []
             for seed in seeds:
                 signs = unit @ np.random.default_rng(seed).normal(size=(v.shape[1], bits)) > 0
@@ -60,8 +62,20 @@ def _quantised(seeds: list[int], bits: int):
     return run
 
 
-def _compared(keep: int | None):
-    """Pairs within each group of (x, form, worst): those nearer than x's worst, or x's ``keep`` nearest."""
+def _apart(w: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (w[i], w[j]), from their differences."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 8192):
+        x = w[i[at : at + 8192]] - w[j[at : at + 8192]]
+        out[at : at + 8192] = np.einsum("ij,ij->i", x, x)
+    return out
+
+
+def _compared(keep: int | None, narrow: bool):
+    """Pairs within each group of (x, form, worst): those nearer than x's worst, or x's ``keep`` nearest, ties by hash.
+
+    Products only sort out what is farther than ``worst`` whatever their rounding; the rest is measured.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,29 +85,35 @@ def _compared(keep: int | None):
             ids, worst, form = inner.field(0).to_numpy(), inner.field(2).to_numpy(), inner.field(1)
             if not len(ids):
                 continue
-            size = len(form[0].as_py())
-            raw = np.frombuffer(b"".join(form.to_pylist()), dtype=np.uint8).reshape(len(ids), size)
-            scale = raw[:, :4].copy().view("<f4")[:, 0]
-            v = raw[:, 4:].view(np.int8).astype(np.float32) * (scale / 127)[:, None]
+            raw = np.frombuffer(b"".join(form.to_pylist()), dtype="<f4" if narrow else "<f8").reshape(len(ids), -1)
             cut = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                x, w = ids[s:e], v[s:e]
-                q = (w * w).sum(axis=1)
-                d = np.maximum(q[:, None] + q[None, :] - 2 * w @ w.T, 0)
-                np.fill_diagonal(d, np.inf)
+                x, w = ids[s:e], raw[s:e].astype(np.float64)
+                if len(x) < 2:
+                    continue
                 if keep is None:
-                    i, j = np.nonzero(d < worst[s:e, None])
-                elif len(x) > 1:
-                    j = np.argsort(d, axis=1, kind="stable")[:, : min(keep, len(x) - 1)]
+                    q = (w * w).sum(axis=1)
+                    both = q[:, None] + q[None, :]
+                    close = both - 2 * w @ w.T - (len(w[0]) + 8) * 1e-15 * both < worst[s:e, None]
+                    np.fill_diagonal(close, False)
+                    i, j = np.nonzero(close)
+                    d = _apart(w, i, j)
+                    nearer = d < worst[s:e][i]
+                    i, j, d = i[nearer], j[nearer], d[nearer]
+                else:
+                    i, j = (g.ravel() for g in np.indices((len(x), len(x))))
+                    full = _apart(w, i, j).reshape(len(x), len(x))
+                    np.fill_diagonal(full, np.inf)
+                    tie = H.mix(H.mix(x.astype(np.uint64))[:, None] + x.astype(np.uint64)[None, :])
+                    j = np.lexsort((tie, full), axis=1)[:, : min(keep, len(x) - 1)]
                     i = np.repeat(np.arange(len(x)), j.shape[1])
                     j = j.ravel()
-                else:
-                    continue
+                    d = full[i, j]
                 a.append(x[i])
                 b.append(x[j])
-                near.append(d[i, j])
+                near.append(d)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(near).astype(np.float64))], names=["a", "b", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(near))], names=["a", "b", "d"])
 
     return run
 
@@ -104,23 +124,26 @@ _PAIRS = "a long, b long, d double"
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     """node, near (its k nearest as (d, b)), worst (squared distance that a new neighbour must beat)."""
     one = pairs.groupBy("a", "b").agg(F.min("d").alias("d"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", F.xxhash64("a", "b"), "b"))
     near = one.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("a").agg(F.array_sort(F.collect_list(F.struct("d", "b"))).alias("near"))
     return near.select(F.col("a").alias("node"), "near", F.when(F.size("near") < k, float("inf")).otherwise(F.element_at("near", -1)["d"]).alias("worst"))
 
 
-def build(nodes: DataFrame, k: int = 24, sample: int = 24, rounds: int = 4, tables: int = 3) -> DataFrame:
-    """The graph over (node, v): node, near, worst. Every node is in it; one that stands alone has no neighbours."""
+def build(nodes: DataFrame, k: int = 24, sample: int = 24, rounds: int = 4, tables: int = 3, narrow: bool = False) -> DataFrame:
+    """The graph over (node, v): node, near, worst. Every node is in it; one that stands alone has no neighbours.
+
+    ``narrow`` says that all numbers of ``v`` are floats, so that they travel in four bytes.
+    """
     n = nodes.count()
     bits = max(0, (max(n, 1) // BLOCK).bit_length())
-    forms = written(nodes.select("node", "v").mapInArrow(_quantised(list(range(1, tables + 1)), bits), "node long, form binary, marks array<bigint>"), "forms")
+    forms = written(nodes.select("node", "v").mapInArrow(_formed(list(range(1, tables + 1)), bits, narrow), "node long, form binary, marks array<bigint>"), "forms")
     marks = forms.select("node", "form", F.posexplode("marks").alias("table", "mark"))
     # A crowded block is dealt out by hash into blocks of about BLOCK nodes.
     counts = marks.groupBy("table", "mark").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).alias("parts"))
     dealt = marks.join(counts, ["table", "mark"]).withColumn("part", F.pmod(F.xxhash64("node", "table"), F.col("parts")))
     member = lambda x: F.struct(F.col(x).alias("x"), "form", F.lit(float("inf")).alias("worst"))
     blocks = dealt.groupBy("table", "mark", "part").agg(F.collect_list(member("node")).alias("group")).select("group")
-    graph = written(_nearest(blocks.mapInArrow(_compared(k), _PAIRS), k), "graph")
+    graph = written(_nearest(blocks.mapInArrow(_compared(k, narrow), _PAIRS), k), "graph")
     for turn in range(rounds):
         links = graph.select(F.col("node").alias("u"), F.explode("near.b").alias("x"))
         degree = links.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
@@ -128,7 +151,7 @@ def build(nodes: DataFrame, k: int = 24, sample: int = 24, rounds: int = 4, tabl
         members = links.unionByName(back.select(F.col("x").alias("u"), F.col("u").alias("x"))).distinct()
         held = forms.select(F.col("node").alias("x"), "form").join(graph.select(F.col("node").alias("x"), "worst"), "x", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
         groups = members.join(held, "x").groupBy("u").agg(F.collect_list(F.struct("x", "form", "worst")).alias("group")).select("group")
-        found = groups.mapInArrow(_compared(None), _PAIRS)
+        found = groups.mapInArrow(_compared(None, narrow), _PAIRS)
         old = graph.select(F.col("node").alias("a"), F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.d").alias("d"))
         graph = written(_nearest(found.unionByName(old), k), "graph")
     return graph
@@ -150,7 +173,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = 24
     nodes = written(rows.groupBy("v").agg(F.min("vec_id").alias("node")).select("node", "v"), "nodes")
     nodes = nodes.groupBy("node").agg(F.min("v").alias("v")) if nodes.count() != nodes.select("node").distinct().count() else nodes
     of = rows.join(nodes, "v", "left").select("vec_id", "v", F.coalesce("node", "vec_id").alias("node"))
-    graph = build(nodes, degree, degree, rounds)
+    graph = build(nodes, degree, degree, rounds, narrow=vectors.schema["embedding"].dataType.elementType == FloatType())
     asked = written(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "asked")
     own = asked.join(of.select(F.col("vec_id").alias("query_id"), "node"), "query_id").select("query_id", "node").distinct()
     # Every query also starts from nodes drawn by hash, so that it need not be a row itself; at most ``starts`` rows.

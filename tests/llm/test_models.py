@@ -121,6 +121,20 @@ def test_neighbours(spark):
     assert search(df.where("vec_id = 1000"), df).count() == 0
 
 
+def test_neighbours_within_a_dense_group(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 64))
+    v[:2500] = v[0] + v[:2500] * 1e-5  # near copies
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    hits = []
+    for q, g in search(df, df.where("vec_id % 100 = 7 and vec_id < 2500")).toPandas().groupby("query_id"):
+        d = ((v.astype(float) - v[q].astype(float)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits.append(len(set(np.argsort(d, kind="stable")[:10]) & set(g["vec_id"])) / 10)
+    assert len(hits) == 25 and np.mean(hits) >= 0.9
+
+
 def texts(n, seed, alphabet, bad=()):
     rng = random.Random(seed)
     words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 7))) for _ in range(200)]
