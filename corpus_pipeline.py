@@ -24,6 +24,10 @@ ORACLE_SQL = None
 KEY, SCORE, PLACE = "__row_key", "__score", "__place"
 
 
+#: Words from which a line is a passage of its own in line dedup.
+LONG = 50
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """With a key that rows share only if they are alike in doc_id and text."""
     return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
@@ -36,8 +40,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their later repeated lines; one that loses all of its lines goes. n_chars follows the text."""
-    edited = line_dedup(docs).dropDuplicates(["doc_id", "part"])
+    """Documents without their later repeated lines (two in a row, or one of ``LONG`` words or more); one that loses all of its lines goes. n_chars follows the text."""
+    edited = line_dedup(docs, long=LONG).dropDuplicates(["doc_id", "part"])
     edited = edited.select(F.col("doc_id").alias("_doc"), F.col("part").alias("_of"), F.col("text").alias("_text"), F.col("n_deleted").alias("_deleted"))
     edited = edited.where("_deleted > 0")
     rows = docs.join(edited, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.hash(docs["text"]) == F.col("_of")), "left")

@@ -178,3 +178,16 @@ def test_texts_that_share_a_doc_id_link_each_by_its_own_text(spark):
     same([(1, 1, True), (2, 2, True), (50, 1, False), (50, 2, False), (50, 50, True), (60, 50, False), (70, 2, False)], [(r.doc_id, r.component_id, r.kept) for r in out])
     left = corpus_pipeline.near_duplicates(spark, cases.table(spark, rows), "").collect()
     same([texts[0], texts[1], texts[4]], [(r.doc_id, r.text) for r in left])
+
+
+def test_long_lines_repeat_by_themselves(spark):
+    import corpus_pipeline
+
+    long, short = " ".join(f"l{i}" for i in range(50)), " ".join(f"s{i}" for i in range(49))
+    texts = [f"a\n{long}\nb\n{short}\nc", f"d\n  {long}\n\ne\n{short}", long, f"f\n{long}\ng\n{long} more", f"a\n{long}\nh"]
+    expected = [texts[0], f"d\n\ne\n{short}", "", f"f\ng\n{long} more", "h"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    out = line_dedup(cases.table(spark, rows), long=50)
+    same(enumerate(expected), [(r.doc_id, r.text) for r in out.collect()])
+    out = corpus_pipeline.lines(spark, cases.table(spark, rows), "").collect()
+    same([(i, t) for i, t in enumerate(expected) if t], [(r.doc_id, r.text) for r in out])
