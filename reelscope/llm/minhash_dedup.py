@@ -203,6 +203,8 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: i
     tested = links = named = None
     for centre in (F.struct("node", "component"), F.struct(F.xxhash64("key", "node"), "node", "component"), None):
         members = labelled(named)
+        if named is not None and not members.take(1):
+            break
         if centre is not None:
             pairs = proposed(members, centre)
         else:
@@ -222,8 +224,8 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: i
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if not pairs.take(1):
-            break
+        if not pairs.take(1):  # every bucket drew a centre it had before
+            continue
         found = written(test(pairs), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)

@@ -191,3 +191,13 @@ def test_long_lines_repeat_by_themselves(spark):
     same(enumerate(expected), [(r.doc_id, r.text) for r in out.collect()])
     out = corpus_pipeline.lines(spark, cases.table(spark, rows), "").collect()
     same([(i, t) for i, t in enumerate(expected) if t], [(r.doc_id, r.text) for r in out])
+
+
+@pytest.mark.parametrize("seed", [3, 11])
+def test_a_bucket_that_draws_its_smallest_node_again(spark, seed):
+    # one bucket of 1, 2 and 3; only 2 and 3 are near, and its second draw is 1 again
+    w = [f"{seed}w{i}" for i in range(20)]
+    texts = [w[:16] + [f"{seed}x{i}" for i in range(4)], w, w[:19] + [f"{seed}y"]]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts, start=1)]
+    out = minhash_dedup(cases.table(spark, rows), shingle=1, bands=1, rows=2).collect()
+    assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 2, 3: 2}
