@@ -9,7 +9,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.functions.media import timecode
+from reelscope.functions.media import severity_rank, timecode
 
 DISCLAIMER = "Findings are measurements, not conclusions."
 
@@ -38,18 +38,27 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def render_html(title: str, sections: dict[str, DataFrame], most: int = 10_000) -> str:
-    """A page with a table for each section, of up to ``most`` rows: a report for people, rendered on the driver."""
+    """A page with a table for each section, of up to ``most`` rows: a report for people, rendered on the driver.
+
+    Where rows have a severity the gravest are shown. A section that is longer says how many rows it has.
+    """
     out = [f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, df in sections.items():
-        rows = df.limit(most).collect()
-        out.append(f"<h2>{html.escape(name)}</h2><table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in df.columns) + "</tr>")
+        if "severity" in df.columns:
+            df = df.orderBy(severity_rank(F.col("severity")))
+        rows = df.limit(most + 1).collect()
+        note = f"<p>{most} of {df.count()} rows shown</p>" if len(rows) > most else ""
+        rows = rows[:most]
+        out.append(f"<h2>{html.escape(name)}</h2>{note}<table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in df.columns) + "</tr>")
         out += ["<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows]
         out.append("</table>")
     return "".join(out) + f"<p>{html.escape(DISCLAIMER)}</p></body></html>"
 
 
-def render_json(title: str, sections: dict[str, DataFrame], most: int = 10_000) -> str:
-    return json.dumps({"title": title, "disclaimer": DISCLAIMER} | {k: [r.asDict(True) for r in df.limit(most).collect()] for k, df in sections.items()}, indent=2, default=str, sort_keys=True)
+def render_json(title: str, sections: dict[str, DataFrame]) -> str:
+    """The whole report: every row of every section."""
+    rows = lambda df: [r.asDict(True) for r in df.toLocalIterator()]
+    return json.dumps({"title": title, "disclaimer": DISCLAIMER} | {k: rows(df) for k, df in sections.items()}, indent=2, default=str, sort_keys=True)
 
 
 def bundle(files: dict[str, bytes]) -> list[dict[str, object]]:

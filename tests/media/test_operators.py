@@ -204,3 +204,14 @@ def test_streams_of_samples(spark, tmp_path):
         q.stop()
         if n is not None:
             assert spark.table(name).count() == n
+
+
+def test_reports_lose_no_rows_in_silence(spark):
+    import json
+
+    df = spark.range(10_050).selectExpr("id", "IF(id = 10049, 'CRITICAL', 'WARNING') AS severity")
+    found = json.loads(report.render_json("t", {"findings": df}))["findings"]
+    assert sorted(r["id"] for r in found) == list(range(10_050))
+    page = report.render_html("t", {"findings": df}, most=3)
+    assert "3 of 10050 rows shown" in page and page.index("10049") < page.index("WARNING") and page.count("<tr>") == 4
+    assert "rows shown" not in report.render_html("t", {"findings": df.limit(3)}, most=3)
