@@ -6,7 +6,7 @@ keys, so many assets run in one job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,18 +52,18 @@ def nearest_after(left: DataFrame, right: DataFrame, keys: list[str], time: str,
     tagged = probes.select(*keys, F.col("key_us").alias("at"), F.lit(0).alias("side"), F.struct(*probes.columns).alias("row"), F.lit(None).cast("long").alias("mark"))
     marks = right.select(*keys, F.col(time).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(tagged.schema["row"].dataType).alias("row"), F.col(time).cast("long").alias("mark"))
     both = tagged.unionByName(marks)
-    ahead = Window.partitionBy(*keys).orderBy("at", "side").rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("next", F.first("mark", ignorenulls=True).over(ahead)).withColumn("last", F.max("mark").over(Window.partitionBy(*keys)))
+    # Read backwards, the next mark is the last one met: a frame that only grows, so the pass is linear.
+    behind = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("next", F.last("mark", ignorenulls=True).over(behind)).withColumn("last", F.max("mark").over(Window.partitionBy(*keys)))
     return both.where("side = 0").select("row.*", F.coalesce("next", "last").alias("match_us"))
 
 
-def lower_half_median(values: Column) -> Column:
-    """Median of an array of longs; of an even number the truncated mean of the middle two."""
-    s = F.array_sort(values)
-    n = F.size(s)
-    mid = F.floor(n / 2).cast("int")
-    both = F.get(s, mid - 1) + F.get(s, mid)
-    return F.when(n == 0, None).when(n % 2 == 1, F.get(s, mid)).otherwise(F.when(both < 0, -F.floor(-both / 2)).otherwise(F.floor(both / 2)).cast("long"))
+def middle(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median: of an even number of longs the truncated mean of the middle two. Ranks, no gathered arrays."""
+    by = Window.partitionBy(*keys)
+    ranked = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.row_number().over(by.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(by).alias("_n"))
+    two = ranked.where("_r = (_n + 1) div 2 or _r = _n div 2 + 1").groupBy(*keys).agg(F.sum("_v").alias("sum"), F.count(F.lit(1)).alias("of"))
+    return two.select(*keys, F.when(F.col("of") == 1, F.col("sum")).otherwise(F.expr("sum div 2")).alias("median"))
 
 
 def sync_report(video: DataFrame, audio: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,7 +78,7 @@ def sync_report(video: DataFrame, audio: DataFrame, keys: list[str]) -> DataFram
     halves = video.join(n, keys).join(enough, keys, "left_semi").withColumn("half", F.when(rank < F.floor(F.col("n") / 2), 0).otherwise(1)).select(*keys, "half", "idx", "pts_us")
     sides = audio.select(*keys, "pts_us").withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
     matched = nearest_after(halves, sides, [*keys, "half"], "pts_us", "idx").withColumn("residual", F.col("match_us") - F.col("pts_us"))
-    medians = matched.groupBy(*keys, "half").agg(lower_half_median(F.collect_list("residual")).alias("m"))
+    medians = middle(matched, [*keys, "half"], "residual").withColumnRenamed("median", "m")
     out = medians.groupBy(*keys).agg(F.max(F.when(F.col("half") == 0, F.col("m"))).alias("initial_us"), F.max(F.when(F.col("half") == 1, F.col("m"))).alias("final_us"))
     return out.withColumn("drift_us", F.col("final_us") - F.col("initial_us"))
 

@@ -53,8 +53,9 @@ def nearest_mark(probes: DataFrame, marks: DataFrame, keys: list[str], tolerance
     The marks before and after each probe come from ignore-null windows over a sorted union, not from a theta join.
     """
     tagged = probes.select(*keys, "probe", F.col("at_us"), F.lit(None).cast("long").alias("m"), F.lit(1).alias("side")).unionByName(marks.select(*keys, F.lit(None).cast("long").alias("probe"), F.col("mark_us").alias("at_us"), F.col("mark_us").alias("m"), F.lit(0).alias("side")))
-    w = Window.partitionBy(*keys).orderBy("at_us", "side")
-    before, after = F.last("m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Marks sort before probes of their time both ways, and each frame only grows.
+    ways = [Window.partitionBy(*keys).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0) for at in (F.asc("at_us"), F.desc("at_us"))]
+    before, after = (F.last("m", ignorenulls=True).over(w) for w in ways)
     rows = tagged.withColumn("b", before).withColumn("a", after).where("side = 1")
     best = F.when(F.col("b").isNull() | (F.col("a") - F.col("at_us") < F.col("at_us") - F.col("b")), F.col("a")).otherwise(F.col("b"))
     return rows.select(*keys, "probe", "at_us", F.when(F.abs(best - F.col("at_us")) <= tolerance_us, best).alias("mark_us"))
@@ -62,14 +63,16 @@ def nearest_mark(probes: DataFrame, marks: DataFrame, keys: list[str], tolerance
 
 def navigation(frames: DataFrame, keys: list[str], step_us: int) -> DataFrame:
     """Frames with next_key and previous_key (idx of the key frames beside it) and second_forward and second_back (the nearest frame at least a step away)."""
-    rows = Window.partitionBy(*keys).orderBy("pts_us", "idx")
     key = F.when(F.col("is_key"), F.col("idx"))
-    span = Window.partitionBy(*keys).orderBy("pts_us")
-    far, near = Window.unboundedFollowing, Window.unboundedPreceding
+    passed = Window.unboundedPreceding
+    # What lies ahead is what was passed when read backwards: all four frames only grow, so each pass is linear.
+    on = Window.partitionBy(*keys).orderBy("pts_us", "idx").rowsBetween(passed, -1)
+    back = Window.partitionBy(*keys).orderBy(F.desc("pts_us"), F.desc("idx")).rowsBetween(passed, -1)
+    earlier = Window.partitionBy(*keys).orderBy("pts_us").rangeBetween(passed, -step_us)
+    later = Window.partitionBy(*keys).orderBy(F.desc("pts_us")).rangeBetween(passed, -step_us)
     return (
-        frames.withColumn("next_key", F.first(key, ignorenulls=True).over(rows.rowsBetween(1, far))).withColumn("previous_key", F.last(key, ignorenulls=True).over(rows.rowsBetween(near, -1)))
-        .withColumn("second_forward", F.min(F.struct("pts_us", "idx")).over(span.rangeBetween(step_us, far))["idx"])
-        .withColumn("second_back", F.max(F.struct("pts_us", (-F.col("idx")).alias("i"))).over(span.rangeBetween(near, -step_us))["i"] * -1)
+        frames.withColumn("previous_key", F.last(key, ignorenulls=True).over(on)).withColumn("second_back", F.max(F.struct("pts_us", (-F.col("idx")).alias("i"))).over(earlier)["i"] * -1)
+        .withColumn("next_key", F.last(key, ignorenulls=True).over(back)).withColumn("second_forward", F.min(F.struct("pts_us", "idx")).over(later)["idx"])
     )
 
 
