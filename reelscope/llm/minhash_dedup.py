@@ -12,6 +12,10 @@
    far down the first shared shingle stands bounds what two sets can share, so it does not pair them all. Pairs within one component, which cannot change a result, are skipped: each proposed pair has a
    member outside the shingle's largest component.
 
+Joins by a band key, by a shingle, by the centre of a star or by a set of very many copies deal its rows out over copies of
+what they are joined with (``dealt_join``), so that no task holds a hot one; the text of a centre is fetched once for many
+of its pairs.
+
 With 30 bands of 5 rows a pair of similarity 0.8 shares no band once in 150,000 times, one of 0.85 once in ten million.
 """
 
@@ -26,9 +30,9 @@ from pyspark.sql import functions as F
 
 from reelscope.llm import hashing as H
 from reelscope.llm.components import components
-from reelscope.llm.shared import small_batches, written
+from reelscope.llm.shared import dealt_join, part_of, small_batches, written
 
-_SKETCH = "doc_id long, part long, n_shingles long, set_a long, set_b long, signature binary, bands array<bigint>"
+_SKETCH = "doc_id long, part binary, n_shingles long, set_a long, set_b long, signature binary, bands array<bigint>"
 #: Shingles that are hashed by all functions at once.
 _PART = 2048
 
@@ -149,9 +153,9 @@ def _confirmed(k: int, percent: int):
     return run
 
 
-def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, slack: float = 5.0) -> DataFrame:
-    """Near-duplicate components: doc_id, part (hash of the text), n_shingles (set size), component_id (smallest doc_id
-    reachable), kept.
+def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, slack: float = 5.0, exact: bool = False) -> DataFrame:
+    """Near-duplicate components: doc_id, part (128 bits of the text), n_shingles (set size), group (a number of the
+    component, null without shingles), component_id (smallest doc_id reachable), kept.
 
     ``docs`` needs doc_id and text; other columns are ignored. Words part at space and controls 9 to 13, A-Z count as
     lower case. Two documents link if 100 * shared shingles >= percent * all shingles of both, confirmed on full sets.
@@ -159,68 +163,97 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: i
     One row for each input row. Null, empty and blank texts have no shingles and link with nothing: component_id is
     their own doc_id and they are kept. A row without doc_id takes no part: component_id null, kept. Rows that repeat a
     doc_id are judged by their own texts, and told apart by ``part``. An empty table gives an empty result.
+
+    A pair just at the threshold shares no band, or falls under the estimate's slack, once in some 100,000 times. With
+    ``exact`` the prefix join starts from the sets of all documents, not those of unsettled buckets, and finds every one.
     """
     hashes = bands * rows
     if hashes % 2:
         raise ValueError("bands * rows must be even, as two values share a byte")
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("part"), text.alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part_of(text).alias("part"), text.alias("text"))
     seen = written(docs.mapInArrow(_sketch(shingle, bands, rows), _SKETCH), "sketches")
     sets = seen.where("n_shingles > 0 and doc_id is not null")
     # A node for each distinct set, with its smallest document. A doc_id may have several sets, so nodes have numbers of
     # their own, in the order of their documents: the smallest node of a bucket is then its first document.
-    nodes = sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "part", "signature", "bands")).alias("x"))
-    nodes = nodes.select("set_a", "set_b", "n_shingles", F.col("x.doc_id").alias("low"), F.col("x.part").alias("part"), "x.signature", "x.bands")
-    nodes = written(nodes.orderBy("low", "set_a", "set_b", "n_shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    of_set = ["set_a", "set_b", "n_shingles"]
+    nodes = sets.groupBy(*of_set).agg(F.min(F.struct("doc_id", "part", "signature", "bands")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    nodes = nodes.select(*of_set, "copies", F.col("x.doc_id").alias("low"), F.col("x.part").alias("part"), "x.signature", "x.bands")
+    nodes = written(nodes.orderBy("low", *of_set).withColumn("node", F.monotonically_increasing_id()), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("key"))
-    crowded = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    buckets = written(spread.join(crowded.select("key"), "key").distinct(), "buckets")
+    crowded = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "n"), "crowded")
+    entries = crowded.agg(F.sum("n")).first()[0] or 0
+    # ``size`` goes with each entry of a bucket, so that later joins by key know the hot ones.
+    buckets = written(dealt_join(spread, crowded.withColumn("size", F.col("n")), ["key"], entries).distinct(), "buckets")
+    entries = buckets.count()
     signatures = nodes.select("node", "signature")
-    of = nodes.join(buckets.select("node").distinct(), "node").select("node", F.col("low").alias("doc_id"), "part")
+    of = nodes.select("node", F.col("low").alias("doc_id"), "part")
+    if not exact:
+        of = of.join(buckets.select("node").distinct(), "node", "left_semi")
     texts = written(docs.join(of, ["doc_id", "part"]).dropDuplicates(["node"]).select("node", "text"), "texts")
     least = percent / 100 - slack * (percent / 100 * (1 - percent / 100) / hashes) ** 0.5
 
+    def beside(pairs: DataFrame, end: str, table: DataFrame, column: str, total: int) -> DataFrame:
+        """``pairs`` with a column of the node at one end. The centre of a star is fetched once for many of its pairs."""
+        often = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+        ones = table.withColumnRenamed("node", end).withColumnRenamed(column, f"{column}_{end}").join(often, end)
+        return dealt_join(pairs, ones, [end], total, by=["a", "b"])
+
     def test(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a").join(signatures.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
-        pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated(hashes, least), "a long, b long")
-        pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return pairs.select("a", "b", "text_b", "text_a").mapInArrow(_confirmed(shingle, percent), "a long, b long")
+        total = pairs.count()
+        sides = beside(beside(pairs, "a", signatures, "signature", total), "b", signatures, "signature", total)
+        likely = written(sides.select("a", "b", "signature_a", "signature_b").mapInArrow(_estimated(hashes, least), "a long, b long"), "likely")
+        total = likely.count()
+        sides = beside(beside(likely, "a", texts, "text", total), "b", texts, "text", total)
+        return sides.select("a", "b", "text_b", "text_a").mapInArrow(_confirmed(shingle, percent), "a long, b long")
 
     def proposed(members: DataFrame, centre) -> DataFrame:
         """Each member of a bucket with the bucket's centre, unless both are in one component already."""
-        centres = members.groupBy("key").agg(F.min(centre).alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.component").alias("its"))
-        pairs = members.join(centres, "key").where("node <> b and component <> its")
+        centres = members.groupBy("key").agg(F.min(centre).alias("c"), F.count(F.lit(1)).alias("n")).select("key", F.col("c.node").alias("b"), F.col("c.component").alias("its"), "n")
+        pairs = dealt_join(members, centres, ["key"], entries).where("node <> b and component <> its")
         return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
     def labelled(named: DataFrame | None) -> DataFrame:
         if named is None:
-            return buckets.withColumn("component", F.col("node"))
-        found = buckets.join(named, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = found.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("key")
-        return written(found.join(mixed, "key"), "mixed")
+            return buckets.drop("size").withColumn("component", F.col("node"))
+        found = written(buckets.join(named, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component")), "found")
+        mixed = found.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed"), F.max("size").alias("n")).where("mixed").select("key", "n")
+        return written(dealt_join(found.drop("size"), mixed, ["key"], entries), "mixed")
+
+    def remaining(members: DataFrame) -> DataFrame:
+        """Every pair across components that the rarest shingles of two sets propose."""
+        unsettled = texts.join(members, "node").select("node", "component", "text")
+        rows = written(unsettled.mapInArrow(_listed(shingle), "node long, component long, n long, shingle long"), "shingles")
+        many = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+        # A shingle that stands in one set alone joins nothing: it keeps its place in the order and is dropped.
+        ranked = dealt_join(rows, many.withColumn("n_of", F.col("df")), ["shingle"], rows.count(), "n_of", "left", ["node"])
+        ranked = ranked.groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("x"))
+        prefix = F.expr(f"CAST(n - ceil({percent} * n / 100.0) + 1 AS int)")
+        heads = ranked.select("node", "component", "n", F.posexplode(F.slice("x", F.lit(1), prefix)).alias("pos", "y"))
+        heads = written(heads.where("y.df > 1").select("node", "component", "n", "pos", F.col("y.shingle").alias("shingle")), "heads")
+        each = heads.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+        most = each.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("components"), F.sum("n").alias("n")).where("components > 1").drop("components")
+        most = written(most, "most")
+        told = dealt_join(heads.withColumnRenamed("n", "size"), most, ["shingle"], heads.count(), by=["node"]).withColumnRenamed("size", "n")
+        outside = told.where("component <> most").select("shingle", F.col("node").alias("x"), F.col("component").alias("its"), F.col("n").alias("nx"), F.col("pos").alias("px"), "most")
+        # The first shingle that two sets share bounds what they can share from there on.
+        room = f"{100 + percent} * (1 + least(n - 1 - pos, nx - 1 - px)) >= {percent} * (n + nx)"
+        pairs = outside.join(heads, "shingle").where(f"component <> its and (component = most or x > node) and {room}")
+        return pairs.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
 
     tested = links = named = None
     for centre in (F.struct("node", "component"), F.struct(F.xxhash64("key", "node"), "node", "component"), None):
-        members = labelled(named)
-        if named is not None and not members.take(1):
-            break
-        if centre is not None:
-            pairs = proposed(members, centre)
+        if centre is None and exact:
+            every = nodes.select("node")
+            members = every.withColumn("component", F.col("node")) if named is None else every.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         else:
-            unsettled = texts.join(members.select("node", "component").distinct(), "node").select("node", "component", "text")
-            rows = written(unsettled.mapInArrow(_listed(shingle), "node long, component long, n long, shingle long"), "shingles")
-            many = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-            ranked = rows.join(many, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
-            prefix = F.expr(f"CAST(n - ceil({percent} * n / 100.0) + 1 AS int)")
-            heads = written(ranked.select("node", "component", "n", F.posexplode(F.slice("x.shingle", F.lit(1), prefix)).alias("pos", "shingle")), "heads")
-            each = heads.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
-            most = each.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-            outside = heads.join(most, "shingle").where("component <> most").select("shingle", F.col("node").alias("x"), F.col("component").alias("its"), F.col("n").alias("nx"), F.col("pos").alias("px"), "most")
-            # The first shingle that two sets share bounds what they can share from there on.
-            room = f"{100 + percent} * (1 + least(n - 1 - pos, nx - 1 - px)) >= {percent} * (n + nx)"
-            pairs = outside.join(heads, "shingle").where(f"component <> its and (component = most or x > node) and {room}")
-            pairs = pairs.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
+            members = labelled(named)
+            if named is not None and not members.take(1):
+                if exact:
+                    continue
+                break
+        pairs = remaining(members.select("node", "component").distinct()) if centre is None else proposed(members, centre)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -230,14 +263,16 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: i
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         named = components(links)
-    of = nodes.select("set_a", "set_b", F.col("n_shingles").alias("n"), "node", "low")
+    of = nodes.select(*of_set, "copies", "node", "low")
     if named is None:
-        of = of.withColumn("component", F.col("low"))
+        of = of.withColumn("group", F.col("node")).withColumn("component", F.col("low"))
     else:
-        of = of.join(named, "node", "left")
+        of = of.join(named, "node", "left").withColumn("group", F.coalesce("component", "node"))
         least_doc = of.where("component is not null").groupBy("component").agg(F.min("low").alias("least_doc"))
         of = of.join(least_doc, "component", "left").withColumn("component", F.coalesce("least_doc", "low"))
-    of = of.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "n", "component")
-    out = seen.select("doc_id", "part", "n_shingles", "set_a", "set_b").join(of, F.expr("set_a = _a and set_b = _b and n_shingles = n and doc_id is not null"), "left")
+    of = written(of.select(*of_set, "copies", "group", "component"), "named")
+    mine = F.col("n_shingles") > 0
+    out = seen.select("doc_id", "part", "n_shingles", *[F.when(mine & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("set_a", "set_b")])
+    out = dealt_join(out, of, of_set, seen.count(), "copies", "left", ["doc_id", "part"])
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "part", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "part", "n_shingles", "group", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -69,7 +69,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4).drop("part")
+    return minhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4).drop("part", "group")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ is the anchor's context, the furthest that a match through this anchor can be ex
 4. Overlapping windows merge into maximal repeats; covered words go.
 
 Nothing is paired within a group: groups are only counted, with partial sums before each shuffle, and the counts are
-joined back many-to-one, so a hot passage costs one row for each place it stands, and Spark may split its partition.
+joined back many-to-one, so a hot passage costs one row for each place it stands, and those rows are dealt out over tasks
+(``dealt_join``).
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelscope.llm import hashing as H
-from reelscope.llm.shared import small_batches, written
+from reelscope.llm.shared import dealt_join, part_of, small_batches, written
 
-ANCHORS = "doc_id long, part int, anchor long, context long, first int, last int"
-WINDOWS = "doc_id long, part int, anchor long, content long, first int"
+ANCHORS = "doc_id long, part binary, anchor long, context long, first int, last int"
+WINDOWS = "doc_id long, part binary, anchor long, content long, first int"
 
 
 def _owned(batch: pa.RecordBatch, window: int, seed: int):
@@ -141,6 +142,10 @@ def _cut(window: int):
     return run
 
 
+def _sum(counted: DataFrame) -> int:
+    return counted.agg(F.sum("n")).first()[0] or 0
+
+
 def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 8) -> DataFrame:
     """Remove every word inside a run of ``window`` words that also starts anywhere else, in any text or the same one.
 
@@ -155,21 +160,21 @@ def substring_dedup(docs: DataFrame, window: int = 35, seed: int = 8) -> DataFra
         raise ValueError("seed must lie between 1 and window")
     small_batches(docs.sparkSession)
     # part tells apart rows that share a doc_id; equal rows have equal windows, so they can share their spans.
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("part"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part_of("text").alias("part"), F.col("text").cast("string").alias("text"))
     keys, on = ["doc_id", "part"], F.expr("doc_id <=> _doc_id and part = _part")
     beside = lambda right: right.withColumnsRenamed({k: f"_{k}" for k in keys}).hint("shuffle_hash")
     # Anchors are hashed twice, once to be counted and once to be found again: cheaper than to keep them all on disk.
     found = base.mapInArrow(_anchors(window, seed), ANCHORS)
     groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
-    groups = groups.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ"))
-    shared = found.drop("context").join(groups, "anchor")
+    groups = written(groups.where("n > 1").select("anchor", "n", (F.col("low") != F.col("high")).alias("differ")), "anchors")
+    shared = dealt_join(found.drop("context"), groups, ["anchor"], _sum(groups), by=["doc_id", "first"])
     runs = F.collect_set(F.when(~F.col("differ"), F.struct("first", "last")))
     per_doc = shared.groupBy(*keys).agg(runs.alias("runs"), F.collect_set(F.when(F.col("differ"), F.col("first"))).alias("wanted"))
     texts = written(base.join(beside(per_doc), on, "left").select(*keys, "text", "runs", "wanted"), "texts")
     unsure = F.size("wanted") > 0
     singles = written(texts.where(unsure).select(*keys, "text", "wanted").mapInArrow(_windows(window, seed), WINDOWS), "windows")
-    repeated = singles.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "content")
-    edges = singles.join(repeated, ["anchor", "content"]).groupBy(*keys).agg(F.collect_set(F.struct("first", F.col("first").alias("last"))).alias("edges"))
+    repeated = written(singles.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    edges = dealt_join(singles, repeated, ["anchor", "content"], _sum(repeated), by=["doc_id", "first"]).groupBy(*keys).agg(F.collect_set(F.struct("first", F.col("first").alias("last"))).alias("edges"))
     rest = texts.where(unsure).drop("wanted").join(beside(edges), on, "left").withColumn("runs", F.concat("runs", F.coalesce("edges", F.array().cast("array<struct<first: int, last: int>>"))))
     every = texts.where(~F.coalesce(unsure, F.lit(False))).select("doc_id", "text", "runs").unionByName(rest.select("doc_id", "text", "runs"))
     out = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<first: bigint, last: bigint>>"
