@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.shared import let, written
+from reelscope.llm.shared import let, part_of, written
 
 #: Item fingerprints are broadcast up to this many rows, about 200 bytes each.
 BROADCAST_ROWS = 500_000
@@ -104,13 +104,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, gram:
     """Words of each document that lie in a window of ``window`` consecutive words of a benchmark item.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. One row for each input
-    row: doc_id, n_words, n_hit (words hit), n_items (items with windows found), items (their ids as sorted strings),
-    spans (merged, first and last word). A null text has no words and no hit; null ids stay null; items that repeat
+    row: doc_id, part (128 bits of the text), n_words, n_hit (words hit), n_items (items with windows found), items (their ids as sorted strings),
+    spans (merged, first and last word). Benchmark rows without item_id cannot be named and are no items. A null text has no words and no hit; null ids stay null; items that repeat
     each other are all listed; rows that share a doc_id but not a text are judged apart; either table may be empty.
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("part"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part_of("text").alias("part"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull())
     sized = items.withColumn("n", F.size(words())).where("n > 0")
     # At most window - 1 values come to the driver: the lengths of items shorter than a window.
@@ -140,7 +140,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, gram:
     out = base.join(out.select("_d", "_p", merged.alias("runs"), "items"), F.expr("doc_id <=> _d and part = _p"), "left")
     none = F.array().cast("array<string>")
     return out.select(
-        "doc_id", "n_words",
+        "doc_id", "part", "n_words",
         F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + (r["past"] - r["first"])), F.lit(0).cast("long")).alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"),
         F.coalesce(F.transform("runs", lambda r: F.struct(r["first"].cast("long").alias("first"), (r["past"] - 1).cast("long").alias("last"))), F.array().cast("array<struct<first: bigint, last: bigint>>")).alias("spans"),
