@@ -29,8 +29,6 @@ PASSAGE = 16
 _SEP = H.separators(lambda b: b >= 128 or chr(b).isalnum())
 _FOLD = np.where(_SEP, 32, H.LOWER).astype(np.uint8)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-#: The longest text that training looks at; longer ones are scored, but not learned from.
-LONGEST = 1 << 16
 
 
 def _buckets(x: np.ndarray, kind: int) -> np.ndarray:
@@ -101,20 +99,54 @@ class Model:
         return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(self.slope * np.where(np.isneginf(z), 0, z) + self.shift, -500, 500))))
 
 
-def _bags(texts: list[str]) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray]:
-    """Each text's passages as arrays of buckets."""
-    out = []
-    for text in texts:
-        buf, offsets = H.texts(pa.array([text], pa.string()))
-        start, kinds, _, _ = features(buf)
-        at, bucket = np.concatenate([k[0] for k in kinds]), np.concatenate([k[1] for k in kinds]).astype(np.int32)
-        word = np.maximum(np.searchsorted(start, at, side="right") - 1, 0) if len(start) else at
-        order = np.argsort(word, kind="stable")
-        bucket, word = bucket[order], word[order]
-        s, e, _ = _passages(H.by_row(start, offsets))
-        cut = np.searchsorted(word, np.concatenate([s, e]))
-        out.append([bucket[a:b] for a, b in zip(cut[: len(s)], cut[len(s) :], strict=True)])
-    return out
+@dataclass
+class Bags:
+    """The passages of one text: passage ``i`` holds the subwords ``bucket[first[i] : past[i]]``. Passages overlap, buckets do not repeat."""
+
+    bucket: np.ndarray
+    first: np.ndarray
+    past: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.bucket[self.first[i] : self.past[i]]
+
+    def margins(self, margin: np.ndarray) -> np.ndarray:
+        """Mean margin of each passage, 0 for one without subwords."""
+        total = np.concatenate([[0.0], np.cumsum(margin[self.bucket], dtype=np.float64)])
+        return (total[self.past] - total[self.first]) / np.maximum(self.past - self.first, 1)
+
+
+def bags(text: str | None) -> Bags:
+    buf, offsets = H.texts(pa.array([text], pa.string()))
+    start, kinds, _, _ = features(buf)
+    at, bucket = np.concatenate([k[0] for k in kinds]).astype(np.int32), np.concatenate([k[1] for k in kinds]).astype(np.int32)
+    word = np.maximum(np.searchsorted(start, at, side="right") - 1, 0).astype(np.int32) if len(start) else at
+    order = np.argsort(word, kind="stable")
+    s, e, _ = _passages(H.by_row(start, offsets))
+    cut = np.searchsorted(word[order], np.concatenate([s, e])).astype(np.int32)
+    return Bags(bucket[order], cut[: len(s)], cut[len(s) :])
+
+
+def loss(vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, passages: list[np.ndarray], labels: np.ndarray, each: np.ndarray):
+    """Weighted cross-entropy of a batch, and its gradients: to each subword in turn (row by row), to ``weights`` and ``bias``.
+
+    A passage is the mean of its vectors. The gradient to a subword counts once for each time it stands in a passage.
+    """
+    size = np.array([len(p) for p in passages])
+    index = np.concatenate(passages)
+    mean = np.add.reduceat(vectors[index], np.cumsum(size) - size, axis=0) / size[:, None]
+    z = mean @ weights + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    here = np.arange(len(passages))
+    value = -(each * np.log(np.maximum(p[here, labels], 1e-30))).sum()
+    p[here, labels] -= 1
+    p *= each[:, None]
+    grad = (p @ weights.T) / size[:, None]
+    return value, index, np.repeat(grad, size, axis=0), mean.T @ p, p.sum(axis=0)
 
 
 def train(texts: list[str], toxic: list[int], dim: int = 8, rounds: int = 6, seed: int = 7) -> Model:
@@ -125,7 +157,6 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, rounds: int = 6, see
         flat.shift = 8.0 if len(y) and y[0] else -8.0
         return flat
     rng = np.random.default_rng(seed)
-    bags = _bags(texts)
     held = rng.random(len(y)) < 0.2
     for c in (0, 1):  # either side needs both classes
         of = np.flatnonzero(y == c)
@@ -133,13 +164,15 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, rounds: int = 6, see
             held[of[0]], held[of[-1]] = True, False
         else:
             held[of] = False
-    used = [i for i in np.flatnonzero(~held) if bags[i]]
+    # Held-out texts are only scored, at the end: their passages are never kept.
+    found = {i: bags(texts[i]) for i in np.flatnonzero(~held)}
+    used = [i for i, x in found.items() if len(x)]
     vectors = (rng.random((1 << BITS, dim), dtype=np.float32) - 0.5) / dim
     weights, bias = np.zeros((dim, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
     speed = np.full(1 << BITS, 1e-6, dtype=np.float32)
     seen = np.zeros(1 << BITS, dtype=np.float32)  # training documents that hold the subword
     for i in used:
-        seen[np.unique(np.concatenate(bags[i]))] += 1
+        seen[np.unique(found[i].bucket)] += 1
     trust = (seen / (seen + 5)).astype(np.float32)  # a subword of few documents says little
     speed_w = 1e-6
     for turn in range(rounds):
@@ -147,14 +180,15 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, rounds: int = 6, see
         chosen: list[np.ndarray] = []
         labels: list[int] = []
         for i in used:
-            z = np.array([margin[p].mean() if len(p) else 0 for p in bags[i]])
+            z = found[i].margins(margin)
             top = np.argsort(-z, kind="stable") if turn else rng.permutation(len(z))
             if y[i]:
                 take = top[:4] if turn == 0 else top[:1]
             else:
                 take = np.unique(np.concatenate([top[:3], rng.integers(0, len(z), 2)]))
-            chosen += [bags[i][j] for j in take if len(bags[i][j])]
-            labels += [int(y[i])] * sum(len(bags[i][j]) > 0 for j in take)
+            taken = [p for p in (found[i][j] for j in take) if len(p)]
+            chosen += taken
+            labels += [int(y[i])] * len(taken)
         labels_ = np.array(labels)
         share = labels_.mean()
         each = np.where(labels_ == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)).astype(np.float32)
@@ -162,27 +196,17 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, rounds: int = 6, see
             order = rng.permutation(len(chosen))
             for at in range(0, len(order), 64):
                 batch = order[at : at + 64]
-                size = np.array([len(chosen[j]) for j in batch])
-                index = np.concatenate([chosen[j] for j in batch])
-                mean = np.add.reduceat(vectors[index], np.cumsum(size) - size, axis=0) / size[:, None]
-                z = mean @ weights + bias
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(batch)), labels_[batch]] -= 1
-                p *= each[batch][:, None]
-                grad = (p @ weights.T) / size[:, None]
-                grad_w = mean.T @ p
+                _, index, grad, grad_w, grad_b = loss(vectors, weights, bias, [chosen[j] for j in batch], labels_[batch], each[batch])
                 speed_w += float((grad_w**2).mean())
                 # Adagrad, one rate for each vector
                 distinct, where = np.unique(index, return_inverse=True)
-                rows = np.repeat(np.arange(len(batch)), size)
-                step = np.stack([np.bincount(where, weights=grad[rows, k], minlength=len(distinct)) for k in range(dim)], axis=1).astype(np.float32)
+                step = np.stack([np.bincount(where, weights=grad[:, k], minlength=len(distinct)) for k in range(dim)], axis=1).astype(np.float32)
                 speed[distinct] += (step**2).mean(axis=1)
                 vectors[distinct] -= 0.3 * step / np.sqrt(speed[distinct])[:, None]
                 weights -= (0.3 * grad_w / np.sqrt(speed_w)).astype(np.float32)
-                bias -= 0.05 * p.sum(axis=0) / len(batch)
+                bias -= 0.05 * grad_b / len(batch)
     model = Model((trust * (vectors @ (weights[:, 1] - weights[:, 0]))).astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0)
-    z = np.array([max((float(model.margin[p].mean()) for p in bags[i] if len(p)), default=-np.inf) + model.bias for i in np.flatnonzero(held)])
+    z = np.array([model.largest(*H.texts(pa.array([texts[i]], pa.string())))[0][0] for i in np.flatnonzero(held)])
     model.slope, model.shift = _curve(z[np.isfinite(z)], y[held][np.isfinite(z)])
     return model
 
@@ -203,19 +227,22 @@ def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
     """Train on up to ``most`` labelled documents of each class, those with the smallest hashes of their ids.
 
     ``labels`` needs doc_id and toxic (0, 1, or null for unknown); of several labels of a document the largest counts.
-    Documents longer than ``LONGEST`` characters are passed over in training.
+    The sample is drawn from the documents that have a text and a label; their texts are read whole, and of several
+    texts of a doc_id the smallest.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= LONGEST)
-    one, zero = (known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (1, 0))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    have = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    one, zero = (have.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (1, 0))
     # At most 2 * most rows of two numbers.
-    rows = texts.join(F.broadcast(one.unionByName(zero)), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return train(rows["text"].tolist(), rows["toxic"].tolist())
+    rows = texts.join(F.broadcast(one.unionByName(zero)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(rows.collect(), key=lambda r: r.doc_id)
+    return train([r.text for r in rows], [r.toxic for r in rows])
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score", first_word: str = "first_word", text: str = "text") -> DataFrame:

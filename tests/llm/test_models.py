@@ -235,3 +235,68 @@ def test_pipeline(spark, tmp_path):
     out = P.run(spark, d).toPandas()
     assert set(out["doc_id"]) == set(kept["decontamination"])
     assert len(P.STAGES) == 5 and P.ORACLE_SQL is None
+
+
+def plain_features(text):
+    """Subwords of each word, the slow way: the word itself and its runs of 3 to 6 bytes, marked at its ends by one space, but for all of it with both marks."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in text.encode())
+    out = []
+    for word in raw.split():
+        marked = b" " + word + b" "
+        out.append((word, [(k, marked[i : i + k]) for k in (3, 4, 5, 6) for i in range(len(marked) - k + 1) if k < len(marked)]))
+    return out
+
+
+def plain_bucket(kind, run):
+    x = int.from_bytes(run, "little")
+    return ((x * 8 + kind) * int(toxicity._MUL) % 2**64) >> (64 - toxicity.BITS)
+
+
+def test_toxicity_scores_equal_those_by_definition():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), 0.25, 1.5, -0.5)
+    texts = ["", "a", "One Two-three, çedilla ñ", "word " * 40, " ".join(f"w{i}" for i in range(100)), "x" * 3000 + " tail", "\n\t ", "tie tie tie tie " * 12]
+    z, place = model.largest(*toxicity.H.texts(pa.array(texts)))
+    for text, got, at in zip(texts, z, place, strict=True):
+        words = plain_features(text)
+        if not words:
+            assert got == -np.inf and model.probability(np.array([got]))[0] == 0
+            continue
+        _, _, h = toxicity.H.words(*(lambda b: (b, toxicity._SEP, toxicity.H.LOWER))(toxicity.H.texts(pa.array([text]))[0]))
+        margins = [[float(model.margin[int(x) >> (64 - toxicity.BITS)])] + [float(model.margin[plain_bucket(k - 2, run)]) for k, run in runs] for (_, runs), x in zip(words, h, strict=True)]
+        starts = range(0, max(1, -(-(len(words) - toxicity.PASSAGE) // (toxicity.PASSAGE // 2)) * (toxicity.PASSAGE // 2) + 1), toxicity.PASSAGE // 2)
+        means = [(np.mean(sum(margins[s : s + toxicity.PASSAGE], [])), s) for s in starts]
+        best = max(m for m, _ in means)
+        assert got == pytest.approx(best + model.bias, abs=1e-5)
+        assert means[[s for _, s in means].index(at)][0] == pytest.approx(best, abs=1e-5)
+        found = toxicity.bags(text)
+        assert found.margins(model.margin) == pytest.approx([m for m, _ in means], abs=1e-5)
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    vectors, weights, bias = rng.normal(size=(12, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)
+    passages, labels, each = [np.array([0, 3, 3, 5]), np.array([1, 2]), np.array([3])], np.array([1, 0, 1]), np.array([0.7, 1.3, 0.5])
+    _, index, by_place, grad_w, grad_b = toxicity.loss(vectors, weights, bias, passages, labels, each)
+    grad_v = np.zeros_like(vectors)
+    np.add.at(grad_v, index, by_place)
+    for x, grad in ((vectors, grad_v), (weights, grad_w), (bias, grad_b)):
+        for i in np.ndindex(x.shape):
+            old, side = x[i], []
+            for step in (1e-6, -1e-6):
+                x[i] = old + step
+                side.append(toxicity.loss(vectors, weights, bias, passages, labels, each)[0])
+            x[i] = old
+            assert (side[0] - side[1]) / 2e-6 == pytest.approx(grad[i], abs=1e-6)
+
+
+def test_toxicity_samples_after_the_join(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)] + [(2, "another of two"), (7, None), (8, "long " * 40_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(2, 1)], "doc_id long, toxic int")
+    seen = {}
+    real, toxicity.train = toxicity.train, lambda texts, toxic: seen.update(zip(texts, toxic, strict=True))
+    try:
+        toxicity.fit(docs, labels, most=10)
+    finally:
+        toxicity.train = real
+    assert seen == {"text 0": 0, "text 1": 1, "another of two": 1, "text 3": 1, "text 4": 0, "text 5": 1, "long " * 40_000: 0}
