@@ -29,21 +29,23 @@ GAP = 0
 
 
 def codes(buf: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code of each n-gram that lies in one row, row of each); runs of the gap symbol count once."""
+    """(code of the n-gram that ends at each symbol, row of each); runs of the gap symbol count once.
+
+    ``order - 1`` gaps stand before each row, so that its first symbols count too, and the shortest text has n-grams.
+    """
     s = SYMBOL[buf]
     keep = np.ones(len(s), dtype=bool)
     keep[1:] = (s[1:] != GAP) | (s[:-1] != GAP)
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     keep[offsets[:-1][np.diff(offsets) > 0]] = True
     s, row = s[keep], row[keep]
-    n = len(s) - order + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int32)
-    x = s[:n].astype(np.uint32)
-    for j in range(1, order):
-        x = x << np.uint32(WIDTH) | s[j : j + n]
-    one = row[:n] == row[order - 1 :]
-    return x[one], row[:n][one]
+    before = np.arange(len(s)) + row.astype(np.int64) * (order - 1)  # where each n-gram begins
+    wide = np.full(len(s) + (len(offsets) - 1) * (order - 1), GAP, dtype=np.uint32)
+    wide[before + order - 1] = s
+    x = np.zeros(len(s), dtype=np.uint32)
+    for j in range(order):
+        x = x << np.uint32(WIDTH) | wide[before + j]
+    return x, row
 
 
 def place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
