@@ -6,7 +6,8 @@ they are read, into blocks of some MB, kept as compressed symbols. A block asks
 the requests are joined with the model's shards, order by order, and the answers go back to the block, which then reads
 off the perplexity of each of its documents. So what is shuffled is distinct n-grams of large blocks, not those of texts.
 
-Thresholds are quantiles of perplexity over the trusted documents of each language.
+Thresholds are quantiles of perplexity over trusted documents of each language that the model has not learned from: one
+in ``APART`` of them, by a hash of the text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ORDER = 5
 BLOCK = 32 << 20
 #: Trusted ids are thinned out beforehand by a hash of so many values: the set that is broadcast has no more.
 RESIDUES = 1 << 20
+#: One in so many trusted texts is kept out of the model and sets the thresholds.
+APART = 10
 _SYMBOL = M.SYMBOL.astype(np.uint8)
 
 
@@ -80,19 +83,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["code", "n"])
 
 
+BLOCKS = "docs array<struct<doc_id: bigint, lang: string, apart: boolean>>, sizes array<bigint>, symbols binary"
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: a name, their ids, where each begins, and all symbols compressed."""
+    """Blocks of documents: what names each, how long it is, and all symbols compressed."""
     packer = zstandard.ZstdCompressor(level=3)
     docs: list = []
     parts: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     held = 0
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("apart", pa.bool_())]))
 
     def block() -> pa.RecordBatch:
         nonlocal held
         raw = packer.compress(np.concatenate(parts).tobytes())
         size = np.concatenate(sizes)
-        out = pa.RecordBatch.from_arrays([pa.array([docs[:]], pa.list_(pa.int64())), pa.array([size.tolist()], pa.list_(pa.int64())), pa.array([raw], pa.binary())], names=["docs", "sizes", "symbols"])
+        out = pa.RecordBatch.from_arrays([pa.array([docs[:]], kind), pa.array([size.tolist()], pa.list_(pa.int64())), pa.array([raw], pa.binary())], names=["docs", "sizes", "symbols"])
         docs.clear()
         parts.clear()
         sizes.clear()
@@ -102,7 +109,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in H.blocks(whole):
             s, at = _symbols(*H.texts(batch.column(1)))
-            docs += batch.column(0).to_pylist()
+            docs.extend({"doc_id": d, "lang": x, "apart": a} for d, x, a in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True))
             parts.append(s)
             sizes.append(np.diff(at))
             held += len(s)
@@ -153,7 +160,8 @@ def _read_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     n[first : first + len(at) - 1] += np.bincount(row, minlength=len(at) - 1)
                     total[first : first + len(at) - 1] += np.bincount(row, weights=logp[np.searchsorted(keys, code)], minlength=len(at) - 1)
             perplexity = np.exp(-total / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(perplexity, mask=n == 0), pa.array(n)], names=["doc_id", "perplexity", "n_grams"])
+            named = [pa.array([d[c] for d in docs], t) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("apart", pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(perplexity, mask=n == 0), pa.array(n)], names=["doc_id", "lang", "apart", "perplexity", "n_grams"])
 
 
 def _model(counts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -184,27 +192,27 @@ def _model(counts: DataFrame, asked: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.95) -> DataFrame:
     """doc_id, lang, perplexity, n_grams, threshold, keep; one row for each row of ``docs`` (doc_id, text, lang).
 
-    ``trusted`` has the doc_ids of the text to learn from. A document is kept up to the ``quantile`` of perplexity of the
-    trusted documents of its language; a language without any has no threshold, and keeps all. Texts too short for one
-    n-gram, and null ones, have null perplexity and are kept. Null languages form a group. Rows that repeat a doc_id are
-    scored together and share their mean; those without doc_id have null perplexity. Without trusted text every n-gram is equally likely.
+    ``trusted`` has the doc_ids of the text to learn from; a tenth of their texts, by hash, sets the thresholds instead.
+    A document is kept up to the ``quantile`` of perplexity of those of its language; a language without any has no
+    threshold, and keeps all. Texts too short for one n-gram, and null ones, have null perplexity and are kept. Null
+    languages form a group. Every row is scored by its own text, whether its doc_id is null, repeated or neither; rows
+    that share a trusted doc_id are all trusted. Without trusted text every n-gram is equally likely.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    apart = F.coalesce(F.pmod(F.xxhash64(text), F.lit(APART)) == 0, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("lang").cast("string").alias("lang"), apart.alias("apart"))
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     residue = F.pmod(F.xxhash64("doc_id"), F.lit(RESIDUES)).alias("residue")
-    near = rows.withColumn("residue", residue).join(F.broadcast(ids.select(residue).distinct()), "residue", "left_semi").select("doc_id", "text")
+    near = rows.where("not apart").withColumn("residue", residue).join(F.broadcast(ids.select(residue).distinct()), "residue", "left_semi").select("doc_id", "text")
     mine = near.mapInArrow(_small, "doc_id long, symbols binary").join(ids, "doc_id", "left_semi").select("symbols")
     counts = written(mine.mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "counts")
-    blocks = rows.mapInArrow(_gather, "docs array<bigint>, sizes array<bigint>, symbols binary").withColumn("block", F.monotonically_increasing_id())
-    blocks = written(blocks, "blocks")
+    blocks = written(rows.mapInArrow(_gather, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "blocks")
     asked = written(blocks.select("block", "sizes", "symbols").mapInArrow(_ask, "block long, code long"), "asked")
     logp = _model(counts, asked.select("code").distinct())
     answers = asked.join(logp, "code").groupBy("block").agg(F.collect_list(F.struct("code", "logp")).alias("answers"))
-    scored = blocks.join(answers, "block", "left").select("docs", "sizes", "symbols", "answers").mapInArrow(_read_off, "doc_id long, perplexity double, n_grams long")
-    scored = scored.where("doc_id is not null").groupBy("doc_id").agg(F.avg("perplexity").alias("perplexity"), F.sum("n_grams").alias("n_grams"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).join(scored, "doc_id", "left").join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    out = written(out, "perplexity")
-    limits = out.where("trusted and perplexity is not null").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold")).withColumnRenamed("lang", "_lang")
+    scored = blocks.join(answers, "block", "left").select("docs", "sizes", "symbols", "answers").mapInArrow(_read_off, "doc_id long, lang string, apart boolean, perplexity double, n_grams long")
+    out = written(scored, "perplexity")
+    limits = out.where("apart and perplexity is not null").join(ids, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold")).withColumnRenamed("lang", "_lang")
     out = out.join(limits, F.expr("lang <=> _lang"), "left")
     return out.select("doc_id", "lang", "perplexity", "n_grams", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
