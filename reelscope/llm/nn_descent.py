@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, queries by greedy search on it.
 
-Equal vectors are one node, named by its smallest id. The graph starts from small random-projection blocks, each compared
+Equal vectors are one node. Vectors of different lengths have no distance: each is searched among its own kind. The graph starts from small random-projection blocks, each compared
 within. Then every round joins neighbours of neighbours: each node gathers its neighbours, and a sample of the nodes it
 is a neighbour of (``sample`` of them on average, by a hash of the link), compares them with each other, and passes on
 the pairs that are nearer than the farthest neighbour either has. Vectors travel whole and pairs are ranked by double
@@ -22,21 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 from reelscope.llm import hashing as H
-from reelscope.llm.shared import small_batches, written
+from reelscope.llm.shared import dealt_join, small_batches, written
 
 BLOCK = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part: v is double; null, zero and non-finite vectors and null ids are left out.
-
-    So are vectors of another length than the most common one (of equally common lengths, the greatest counts).
-    """
+    """(vec_id, v) of the rows that take part: v is double; null, zero and non-finite vectors and null ids are left out."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = "vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
-    rows = rows.where(finite)
-    length = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
-    return rows.where(F.size("v") == (length.n if length else 0))
+    return rows.where(finite)
 
 
 def distance(a: str, b: str) -> Column:
@@ -44,20 +39,21 @@ def distance(a: str, b: str) -> Column:
 
 
 def _formed(seeds: list[int], bits: int, narrow: bool):
-    """node, its vector as bytes, and for each seed the signs of ``bits`` random projections."""
+    """node, its vector as bytes, and for each seed its length and the signs of ``bits`` random projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            form = [x.tobytes() for x in v.astype("<f4" if narrow else "<f8")]
-            unit = v / np.abs(v).max(axis=1, keepdims=True)
-            marks = []
-            for seed in seeds:
-                signs = unit @ np.random.default_rng(seed).normal(size=(v.shape[1], bits)) > 0
-                marks.append((signs << np.arange(bits)).sum(axis=1).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(form, pa.binary()), pa.array(list(np.stack(marks, axis=1)), pa.list_(pa.int64()))], names=["node", "form", "marks"])
+        for whole in batches:
+            length = whole.column(1).value_lengths().to_numpy()
+            for n in np.unique(length):
+                batch = whole.take(pa.array(np.flatnonzero(length == n)))
+                v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                form = [x.tobytes() for x in v.astype("<f4" if narrow else "<f8")]
+                unit = v / np.abs(v).max(axis=1, keepdims=True)
+                marks = []
+                for seed in seeds:
+                    signs = unit @ np.random.default_rng(seed).normal(size=(n, bits)) > 0
+                    marks.append((signs << np.arange(bits)).sum(axis=1).astype(np.int64) | int(n) << 32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(form, pa.binary()), pa.array(list(np.stack(marks, axis=1)), pa.list_(pa.int64()))], names=["node", "form", "marks"])
 
     return run
 
@@ -85,12 +81,13 @@ def _compared(keep: int | None, narrow: bool):
             ids, worst, form = inner.field(0).to_numpy(), inner.field(2).to_numpy(), inner.field(1)
             if not len(ids):
                 continue
-            raw = np.frombuffer(b"".join(form.to_pylist()), dtype="<f4" if narrow else "<f8").reshape(len(ids), -1)
+            raw = form.to_pylist()
             cut = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                x, w = ids[s:e], raw[s:e].astype(np.float64)
+                x = ids[s:e]
                 if len(x) < 2:
                     continue
+                w = np.frombuffer(b"".join(raw[s:e]), dtype="<f4" if narrow else "<f8").reshape(len(x), -1).astype(np.float64)
                 if keep is None:
                     q = (w * w).sum(axis=1)
                     both = q[:, None] + q[None, :]
@@ -147,7 +144,7 @@ def build(nodes: DataFrame, k: int = 24, sample: int = 24, rounds: int = 4, tabl
     for turn in range(rounds):
         links = graph.select(F.col("node").alias("u"), F.explode("near.b").alias("x"))
         degree = links.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        back = links.join(degree, "x").where(F.pmod(F.xxhash64("u", "x", F.lit(turn)), F.lit(1 << 30)) < F.lit(1 << 30) * (sample / F.col("n")))
+        back = dealt_join(links, degree.withColumn("of", F.col("n")), ["x"], n * k).where(F.pmod(F.xxhash64("u", "x", F.lit(turn)), F.lit(1 << 30)) < F.lit(1 << 30) * (sample / F.col("of")))
         members = links.unionByName(back.select(F.col("x").alias("u"), F.col("u").alias("x"))).distinct()
         held = forms.select(F.col("node").alias("x"), "form").join(graph.select(F.col("node").alias("x"), "worst"), "x", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
         groups = members.join(held, "x").groupBy("u").agg(F.collect_list(F.struct("x", "form", "worst")).alias("group")).select("group")
@@ -170,19 +167,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = 24
     asked = usable(queries).distinct()
     if not rows.take(1):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    nodes = written(rows.groupBy("v").agg(F.min("vec_id").alias("node")).select("node", "v"), "nodes")
-    nodes = nodes.groupBy("node").agg(F.min("v").alias("v")) if nodes.count() != nodes.select("node").distinct().count() else nodes
-    of = rows.join(nodes, "v", "left").select("vec_id", "v", F.coalesce("node", "vec_id").alias("node"))
+    # Equal vectors are one node, found by 128 bits of the vector and numbered in the order of their smallest ids.
+    told = rows.select("vec_id", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), F.reverse("v")).alias("g"))
+    nodes = rows.groupBy(F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), F.reverse("v")).alias("g")).agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    nodes = written(nodes.orderBy("low", "h", "g").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    of = dealt_join(told, nodes.select("h", "g", "n", "node"), ["h", "g"], rows.count()).select("vec_id", "node")
     graph = build(nodes, degree, degree, rounds, narrow=vectors.schema["embedding"].dataType.elementType == FloatType())
     asked = written(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "asked")
     own = asked.join(of.select(F.col("vec_id").alias("query_id"), "node"), "query_id").select("query_id", "node").distinct()
-    # Every query also starts from nodes drawn by hash, so that it need not be a row itself; at most ``starts`` rows.
-    drawn = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(starts)
-    begin = own.unionByName(asked.select("query_id").distinct().join(F.broadcast(drawn.agg(F.collect_list("node").alias("all"))), F.lit(True)).select("query_id", F.explode("all").alias("node"))).distinct()
+    # Every query also starts from nodes of its length drawn by hash, so that it need not be a row itself: at most ``starts``.
+    drawn = nodes.groupBy(F.size("v").alias("length"), F.pmod(F.xxhash64("node"), F.lit(starts)).alias("place")).agg(F.min("node").alias("node")).drop("place")
+    begin = own.unionByName(asked.select("query_id", F.size("q").alias("length")).distinct().join(drawn, "length").select("query_id", "node")).distinct()
     place = nodes.select("node", "v")
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.join(place, "node").join(asked, "query_id").select("query_id", "node", distance("q", "v").alias("d"), F.lit(False).alias("expanded"))
+        both = pairs.join(place, "node").join(asked, "query_id").where("size(q) = size(v)")
+        return both.groupBy("query_id", "node").agg(F.min(distance("q", "v")).alias("d")).withColumn("expanded", F.lit(False))
 
     seen = written(measured(begin), "seen")
     links = graph.select("node", F.col("near.b").alias("to"))
