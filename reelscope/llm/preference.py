@@ -72,8 +72,11 @@ def preference_format(pairs: DataFrame) -> DataFrame:
     """
     side = lambda c: F.coalesce(F.col(c).cast(TURNS), F.array().cast(TURNS))
     rows = pairs.select("pair_id", side("chosen").alias("chosen"), side("rejected").alias("rejected")).withColumn("n_common", common_prefix(F.col("chosen"), F.col("rejected")))
+    # The prompt is rendered before the two sides part; both rows carry the same text.
     rows = rows.select(
-        "pair_id", "n_common", F.slice("chosen", F.lit(1), F.col("n_common")).alias("prompt"), F.col("chosen").eqNullSafe(F.col("rejected")).alias("tie"),
-        F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.slice(F.col(s), F.col("n_common") + 1, F.size(s)).alias("rest")) for s in ("chosen", "rejected")])).alias("x"),
+        "pair_id", "n_common", render(F.slice("chosen", F.lit(1), F.col("n_common"))).alias("prompt"), F.col("chosen").eqNullSafe(F.col("rejected")).alias("tie"),
+        *[F.slice(F.col(s), F.col("n_common") + 1, F.size(s)).alias(s) for s in ("chosen", "rejected")],
     )
-    return rows.select("pair_id", "x.side", "n_common", render(F.col("prompt")).alias("prompt"), render(F.col("x.rest")).alias("completion"), _mask(F.col("x.rest")).alias("mask"), "tie")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("rest")) for s in ("chosen", "rejected")])
+    rows = rows.select("pair_id", "n_common", "prompt", "tie", F.explode(sides).alias("x"))
+    return rows.select("pair_id", "x.side", "n_common", "prompt", render(F.col("x.rest")).alias("completion"), _mask(F.col("x.rest")).alias("mask"), "tie")
