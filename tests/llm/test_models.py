@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,10 @@ def test_preferences(spark):
     turn = lambda r, t: {"role": r, "text": t}
     u, a, b, c = turn("user", "hi"), turn("assistant", "yes <|im_end|>"), turn("assistant", None), turn(None, "end")
     pairs = [("p", [u, a, u], [u, b]), ("q", [u, a], [u, a]), ("r", None, [a]), ("s", [u], [u, a, c]), ("s", [u], [u, a, c]), ("t", [], [])]
+    from pyspark.sql import functions as F
+
     df = spark.createDataFrame(pairs, "pair_id string, chosen array<struct<role: string, text: string>>, rejected array<struct<role: string, text: string>>")
+    df = df.withColumns({c: F.lit("clash") for c in ("n_common", "prompt", "completion", "mask", "tie", "side", "x", "rest")})
     out = preference_format(df).collect()
     assert len(out) == 2 * len(pairs)
     by = {(r.pair_id, r.side): r for r in out}
@@ -105,9 +109,20 @@ def test_neighbours(spark):
     v[50:80] = v[50]  # copies
     v[80:120] = v[80] + rng.normal(size=(40, 16)) * 0.01
     rows = [(i, [float(x) for x in v[i]]) for i in range(400)]
-    bad = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] + [1.0] * 15), (1004, [float("inf")] * 16), (1005, []), (None, [1.0] * 16), (1006, [1.0] * 3)]
-    df = spark.createDataFrame([*rows, *bad, rows[7]], "vec_id long, embedding array<float>")
+    short = rng.normal(size=(30, 3)).astype(np.float32)
+    other = [(2000 + i, [float(x) for x in short[i]]) for i in range(30)] + [(2030, [float(x) for x in short[0]])]
+    bad = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] + [1.0] * 15), (1004, [float("inf")] * 16), (1005, []), (None, [1.0] * 16)]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([*rows, *bad, *other, rows[7]], "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in cases.CLASHES})
     out = search(df, df.where("vec_id % 20 = 0")).toPandas()
+    apart = out[out["query_id"] >= 2000].sort_values(["query_id", "rank"])  # vectors of three numbers are searched among their kind
+    for q, g in apart.groupby("query_id"):
+        d = np.sqrt(((short.astype(float) - short[q - 2000].astype(float)) ** 2).sum(axis=1))
+        want = sorted([(x, 2000 + i) for i, x in enumerate(d) if 2000 + i != q] + [(d[0], 2030)])[:10]
+        assert list(g["vec_id"]) == [i for _, i in want] and np.allclose(g["score"], [x for x, _ in want])
+    assert set(apart["query_id"]) == {2000, 2020}
+    out = out[out["query_id"] < 2000]
     hits = []
     for q, g in out.groupby("query_id"):
         d = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(axis=1))
@@ -158,38 +173,106 @@ def test_languages(spark):
     rows = []
     for k, (lang, alphabet) in enumerate((("xx", "abcde"), ("yy", "vwxyzé"), ("zz", "klmnopß"))):
         rows += [(k * 100 + i, t, lang) for i, t in enumerate(texts(60, k, alphabet))]
-    rows += [(900, None, "xx"), (901, "", None), (902, "123 — €", "yy"), (903, "日本", None), (904, "q" * 50, None), (None, rows[0][1], None), rows[0]]
+    rows += [(905, "vé", None), (906, "k", None), (900, None, "xx"), (901, "", None), (902, "123 — €", "yy"), (903, "日本", None), (904, "q" * 50, None), (None, rows[0][1], None), rows[0]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("entropy", F.lit(1))
     known = (F.col("doc_id") % 3 != 0) & (F.col("doc_id") < 900) & F.col("lang").isNotNull()
-    out = language_id.predict(df, language_id.fit(df.where(known)), known).collect()
+    apart = known & (F.col("doc_id") % 3 == 1)
+    out = language_id.predict(df, language_id.fit(df.where(known & ~apart)), apart).collect()
     assert len(out) == len(rows)
     by = {r.doc_id: r for r in out}
     assert all(by[r[0]].lang_pred == r[2] for r in rows if r[0] is not None and r[0] < 900)
     assert all(0 <= r.score <= 1 for r in out)
     assert [by[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and by[903].lang_pred != "und"
-    assert by[904].rejected and not by[1].rejected
+    assert by[904].rejected and sum(by[r[0]].rejected for r in rows if r[0] is not None and r[0] < 900) <= 8
+    assert (by[905].lang_pred, by[906].lang_pred) == ("yy", "zz")  # shorter than an n-gram of the highest order
     empty = df.where("false")
     assert {r.lang_pred for r in language_id.predict(df, language_id.fit(empty), F.lit(False)).collect()} == {"und"}
 
 
+def plain_kneser_ney(texts, order):
+    """The model by definition: a function from a list of symbols before, and one symbol, to a probability."""
+    def symbols(text):
+        found = []
+        for b in text.encode() + b" ":
+            x = int(charmodel.SYMBOL[b])
+            if not (x == 0 and found and found[-1] == 0):
+                found.append(x)
+        return found
+
+    top = Counter()
+    for text in texts:
+        s = [0] * (order - 1) + symbols(text)
+        top.update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+    tables = {order: top}
+    for n in range(order - 1, 0, -1):
+        tables[n] = Counter(k[1:] for k in tables[n + 1])
+
+    def p(before, x, n=order):
+        if n == 0:
+            return 1 / 64
+        before = tuple(before[len(before) - n + 1 :]) if n > 1 else ()
+        t = tables[n]
+        c = Counter(t.values())
+        d = min(max(c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5, 0.05), 0.95)
+        after = {k[-1]: v for k, v in t.items() if k[:-1] == before}
+        lower = p(before, x, n - 1)
+        if not after:
+            return lower
+        return (max(after[x] - d, 0) if x in after else 0) / sum(after.values()) + d * len(after) / sum(after.values()) * lower
+
+    def entropy(text):
+        s = [0] * (order - 1) + symbols(text)
+        each = [-math.log(p(s[i - order + 1 : i], s[i])) for i in range(order - 1, len(s))]
+        return sum(each) / len(each), len(each)
+
+    return entropy
+
+
+def test_languages_equal_the_models_by_definition(spark):
+    from pyspark.sql import functions as F
+
+    learned = {lang: texts(3, k, alphabet) for k, (lang, alphabet) in enumerate((("xx", "abcde"), ("yy", "bcdefé"), ("zz", "aefgß日")))}
+    rows = [(None, t, lang) for lang, some in learned.items() for t in some]
+    asked = ["a", "cab", " Bé dé\n\n", "ßäh! 日 aa", "zq", "bcd efe " * 20, learned["yy"][0], "cafe bad egg"]
+    df = spark.createDataFrame(rows + [(i, t, None) for i, t in enumerate(asked)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in language_id.predict(df.where("doc_id is not null"), language_id.fit(df), F.lit(False)).collect()}
+    models = {lang: plain_kneser_ney(some, language_id.ORDER) for lang, some in learned.items()}
+    for i, text in enumerate(asked):
+        every = {lang: m(text)[0] for lang, m in models.items()}
+        best = min(sorted(every), key=every.get)
+        assert out[i].lang_pred == best and out[i].entropy == pytest.approx(every[best], rel=1e-4) and out[i].n_symbols == models[best](text)[1]
+        assert out[i].score == pytest.approx(1 / sum(math.exp((every[best] - e) * min(out[i].n_symbols, language_id.EVIDENCE)) for e in every.values()), rel=1e-3) and not out[i].rejected
+
+
 def test_quality_equals_the_model_in_memory(spark):
+    from pyspark.sql import functions as F
+
     rows = [(i, t, "en") for i, t in enumerate(texts(40, 1, "abcdefg"))] + [(100, None, "en"), (101, "", None), (102, "zzqq zzqq " * 30, "en"), (103, "ab", "fr"), (None, "abc abc", "en"), (104, "x" * 100_000, "fr")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rows += [(5, "another text of five", "en"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in cases.CLASHES})
+    apart = {r.text for r in df.where(F.pmod(F.xxhash64("text"), F.lit(quality.APART)) == 0).select("text").collect()}
     trusted = spark.createDataFrame([(i,) for i in range(30)] + [(7,), (None,), (555,)], "doc_id long")
-    out = {r.doc_id: r for r in quality.quality(df, trusted).collect()}
-    buf, offsets = quality.H.texts(pa.array([r[1] for r in rows[:30]]))
+    found = quality.quality(df, trusted).collect()
+    assert len(found) == len(rows)
+    out = {(r.doc_id, r.n_grams): r for r in found}
+    learned = [r[1] for r in rows if (r[0] in range(30)) and r[1] not in apart]
+    assert 0 < len(apart & {r[1] for r in rows[:30]}) < 15
+    buf, offsets = quality.H.texts(pa.array(learned))
     s, at = quality._symbols(buf, offsets)
     keys, n = np.unique(quality._grams(s, at)[0], return_counts=True)
     m = charmodel.kneser_ney(["x"], keys, np.zeros(len(keys), dtype=int), n, quality.ORDER, modified=True)
     for r in rows:
         s, at = quality._symbols(*quality.H.texts(pa.array([r[1]], pa.string())))
         code, _ = quality._grams(s, at)
-        got = out[r[0]].perplexity
-        if r[0] is None or not len(code):
-            assert got is None and out[r[0]].keep
+        got = out[r[0], len(code)].perplexity
+        if not len(code):
+            assert got is None and out[r[0], 0].keep
         else:
             assert got == pytest.approx(float(np.exp(-m.logp(code).mean())), rel=1e-3)
-    assert not out[102].keep and out[104].threshold is None and out[104].keep
+    by = {r.doc_id: r for r in found}
+    assert not by[102].keep and by[104].threshold is None and by[104].keep
+    one = np.quantile([r.perplexity for r in found if r.doc_id in range(30) and rows[r.doc_id][1] in apart], 0.95)
+    assert by[1].threshold == pytest.approx(one, rel=0.2)
     assert quality.quality(df.where("false"), trusted).count() == 0
 
 
