@@ -268,8 +268,8 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: i
         of = of.withColumn("group", F.col("node")).withColumn("component", F.col("low"))
     else:
         of = of.join(named, "node", "left").withColumn("group", F.coalesce("component", "node"))
-        least_doc = of.where("component is not null").groupBy("component").agg(F.min("low").alias("least_doc"))
-        of = of.join(least_doc, "component", "left").withColumn("component", F.coalesce("least_doc", "low"))
+        least_doc = of.where("component is not null").groupBy("component").agg(F.min("low").alias("least_doc"), F.count(F.lit(1)).alias("n"))
+        of = dealt_join(of, written(least_doc, "least"), ["component"], nodes.count(), how="left", by=["node"]).withColumn("component", F.coalesce("least_doc", "low"))
     of = written(of.select(*of_set, "copies", "group", "component"), "named")
     mine = F.col("n_shingles") > 0
     out = seen.select("doc_id", "part", "n_shingles", *[F.when(mine & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("set_a", "set_b")])
