@@ -201,3 +201,42 @@ def test_a_bucket_that_draws_its_smallest_node_again(spark, seed):
     rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts, start=1)]
     out = minhash_dedup(cases.table(spark, rows), shingle=1, bands=1, rows=2).collect()
     assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 2, 3: 2}
+
+
+def test_the_exact_way_finds_what_no_band_proposes(spark):
+    # with one band of many rows hardly any near copy shares it; the prefix join starts from all sets
+    w = [f"w{i}" for i in range(60)]
+    texts = [w, [*w[:58], "x", "y"], [*w[:57], "p", "q", "r"], [f"z{i}" for i in range(60)], ["z0"], [f"z{i}" for i in range(55)]]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)] + [(9, None, "en", "s", 0), (None, " ".join(w), "en", "s", 0)]
+    out = minhash_dedup(cases.table(spark, rows), shingle=1, bands=1, rows=40, exact=True).collect()
+    same([(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 3), (9, 9), (None, None)], [(r.doc_id, r.component_id) for r in out])
+
+
+def test_joins_that_deal_out_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from reelscope.llm.shared import dealt_join
+
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") < 2000, 7).when(F.col("id") < 2990, F.col("id")).alias("key"))
+    ones = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("first % 2 = 0")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, dealt_join(rows, ones, ["key"], 3000, how=how).select("id", "first").collect()))
+        assert got == sorted(map(tuple, rows.join(ones, "key", how).select("id", "first").collect()))
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    import glob
+
+    from reelscope.llm import shared
+
+    where = shared.shared_dir(spark).removeprefix("file://")
+    count = lambda: len(glob.glob(f"{where}/reelscope/*/probe-*"))
+    since = shared.position()
+    with shared.scratch(spark):
+        shared.written(spark.range(3), "probe")
+        assert count() == 1
+    assert count() == 0
+    shared.written(spark.range(3), "probe")
+    assert shared.kept(spark.range(4), "probe", since).count() == 4 and count() == 1
+    shared.release(spark, since)
+    assert count() == 0 and shared.sweep(spark) == 0
