@@ -162,3 +162,105 @@ def dimensions(text: Column) -> Column:
     """(width, height) of ``WxH``; null where either is no number."""
     wide, high = (F.regexp_extract(text, r"^(\d{1,9})[xX](\d{1,9})$", i) for i in (1, 2))
     return F.when(wide != "", F.struct(wide.cast("int").alias("width"), high.cast("int").alias("height")))
+
+
+def micros_to_ticks(us: Column, per_second: Column) -> Column:
+    """Microseconds as ticks of a timebase: exact, truncating towards zero, saturating at the 64-bit bounds."""
+    wide = us.cast("decimal(19,0)") * per_second.cast("decimal(18,0)")
+    whole = (F.floor(F.abs(wide) / F.lit(1_000_000).cast("decimal(7,0)")) * F.when(wide < 0, -1).otherwise(1)).cast("decimal(38,0)")
+    return F.when(whole > LONG_MAX, F.lit(LONG_MAX)).when(whole < LONG_MIN, F.lit(LONG_MIN)).otherwise(whole.cast("long"))
+
+
+def reduced(n: Column, d: Column) -> Column:
+    """(num, den) of a fraction in lowest terms, den positive; null over zero. Euclid's steps are at most 92 for longs."""
+    pair = F.struct(F.abs(n).cast("long").alias("a"), F.abs(d).cast("long").alias("b"))
+    step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(F.try_mod(s["a"], s["b"])).alias("b"))
+    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, step, lambda s: s["a"])
+    sign = F.when(d < 0, -1).otherwise(1)
+    whole = lambda x: (x.cast("decimal(19,0)") / gcd).cast("long") * sign
+    return F.when(d != 0, F.struct(whole(n).alias("num"), whole(d).alias("den")))
+
+
+def rational_value(n: Column, d: Column) -> Column:
+    """A fraction as a double; null over zero."""
+    return F.when(d != 0, n.cast("double") / d.cast("double"))
+
+
+def short_digest(digest: Column, size: int = 12) -> Column:
+    """The first characters of a digest, for display beside the whole."""
+    return F.substring(digest, 1, size)
+
+
+def sniff_audio(head: Column) -> Column:
+    """Codec of an audio file by its first 256 bytes: wav, Opus, vorbis, ogg, fLaC or unknown."""
+    text = F.hex(F.substring(head, 1, 256))
+    has = lambda s: F.expr("0 = 1") if not s else F.instr(text, s.encode().hex().upper()) % 2 == 1
+    starts = lambda s: text.startswith(s.encode().hex().upper())
+    wave = starts("RIFF") & (F.substring(text, 17, 8) == "WAVE".encode().hex().upper())
+    ogg = F.when(has("OpusHead"), "Opus").when(has("vorbis"), "vorbis").otherwise("ogg")
+    return F.when(wave, "wav").when(starts("OggS"), ogg).when(starts("fLaC"), "fLaC").otherwise("unknown")
+
+
+def rgb_to_ycbcr(r: Column, g: Column, b: Column) -> Column:
+    """BT.709 full-range luma and chroma in 16.16 fixed point, clamped to a byte."""
+    byte = lambda x: F.greatest(F.least(F.shiftright(x, 16), F.lit(255)), F.lit(0))
+    return F.struct(
+        byte(19595 * r + 38470 * g + 7471 * b + 32768).alias("y"), byte(-11056 * r - 21712 * g + 32768 * b + 8388608).alias("cb"), byte(32768 * r - 27440 * g - 5328 * b + 8388608).alias("cr")
+    )
+
+
+def pdf_escape(text: Column) -> Column:
+    """Text inside a PDF string: backslash and parentheses are escaped."""
+    for raw in ("\\", "(", ")"):
+        text = F.replace(text, F.lit(raw), F.lit("\\" + raw))
+    return text
+
+
+#: Names that stand for a container format. Fixed values.
+CONTAINER_NAMES = {"iso_bmff": ("iso_bmff", "isobmff", "mp4", "m4v", "mov", "3gp", "3g2"), "matroska": ("matroska", "mkv", "webm")}
+
+
+def container_family(name: Column) -> Column:
+    """The format a container name stands for; a name of none is itself, in lower case."""
+    low = F.lower(name)
+    out = low
+    for family, names in CONTAINER_NAMES.items():
+        out = F.when(low.isin(*names), family).otherwise(out)
+    return out
+
+
+def shown_size(display_width: Column, display_height: Column, coded_width: Column, coded_height: Column) -> Column:
+    """(width, height) a picture is shown at: the display size, each side falling back to the coded one."""
+    return F.struct(F.coalesce(display_width, coded_width).alias("width"), F.coalesce(display_height, coded_height).alias("height"))
+
+
+def pixel_aspect(num: Column, den: Column) -> Column:
+    """Aspect of a pixel as a double; square where nothing, or nothing over zero, is declared."""
+    return F.coalesce(rational_value(num, den), F.lit(1.0))
+
+
+def channel_count(channels: Column) -> Column:
+    return F.coalesce(channels, F.lit(0))
+
+
+def finding_range(start_us: Column, end_us: Column) -> Column:
+    """(first, last) microsecond of a finding: from 0 where it has no start, to its start where it has no end."""
+    first = F.coalesce(start_us, F.lit(0).cast("long"))
+    return F.struct(first.alias("first"), F.coalesce(end_us, first).alias("last"))
+
+
+def unix_seconds(ts: str) -> Column:
+    """Whole seconds since 1970 of a timestamp without zone."""
+    return F.floor(micros(ts) / 1_000_000).cast("long")
+
+
+def describe_packet_damage(kind: Column, stream: Column, idx: Column, time_us: Column, declared: Column, recovered: Column, missing: Column) -> Column:
+    """One line for a damaged packet or a stream that lacks packets."""
+    empty = F.format_string("sample %s of stream %s at %s holds no bytes", idx.cast("string"), stream.cast("string"), F.coalesce(timecode(time_us), F.lit("an unknown time")))
+    short = F.format_string("stream %s declares %s samples, %s were read, %s are missing", *[c.cast("string") for c in (stream, declared, recovered, missing)])
+    return F.when(kind == "empty_sample", empty).otherwise(short)
+
+
+def describe_entry(time_us: Column, source: Column, summary: Column) -> Column:
+    """One line of a timeline: its time, or where it would stand, its source and what it says."""
+    return F.format_string("%s [%s] %s", F.coalesce(timecode(time_us), F.lit("unplaced")), source, summary)

@@ -6,6 +6,7 @@ PCM is one row for each slot: stream keys, ``slot`` (place among interleaved val
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ ABSOLUTE_GATE, RELATIVE_GATE = -70.0, -10.0
 STAGE_1 = (1.53512485958697, -2.69169618940638, 1.19839281085285, -1.69065929318241, 0.73248077421585)
 STAGE_2 = (1.0, -2.0, 1.0, -1.99004745483398, 0.99007225036621)
 RATE = 48_000
+#: Block of the loudness range.
+SHORT_TERM_MS = 3_000
 
 
 def level_stats(pcm: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,18 +70,22 @@ def histogram_summary(bins: DataFrame, keys: list[str], value: str = "level") ->
 def integrated_loudness(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, lufs, blocks: mean of block loudness in the log domain, behind an absolute gate and one 10 LU under the mean of what passes it.
 
-    ``blocks`` has ``loudness``. This mean of levels is not that of BS.1770, which averages power. No block above the
-    gates: null.
+    ``blocks`` has ``loudness``. This mean of levels is not that of BS.1770, which averages power. If no block passes the
+    absolute gate, the loudness is that gate, from no block; if none passes the relative one, the mean that set it.
     """
-    loud = blocks.where(F.col("loudness") > ABSOLUTE_GATE)
-    mean = loud.groupBy(*keys).agg((F.avg("loudness") + RELATIVE_GATE).alias("gate"))
-    kept = loud.join(mean, keys).where("loudness > gate")
-    out = kept.groupBy(*keys).agg(F.avg("loudness").alias("lufs"), F.count(F.lit(1)).alias("blocks"))
-    return blocks.select(*keys).distinct().join(out, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
+    loud = F.col("loudness") > ABSOLUTE_GATE
+    means = blocks.groupBy(*keys).agg(F.avg(F.when(loud, F.col("loudness"))).alias("mean"), F.count(F.when(loud, 1)).alias("loud"))
+    kept = blocks.where(loud).join(means, keys).where(F.col("loudness") > F.col("mean") + RELATIVE_GATE)
+    kept = kept.groupBy(*keys).agg(F.avg("loudness").alias("lufs"), F.count(F.lit(1)).alias("n"))
+    out = means.join(kept, keys, "left")
+    return out.select(*keys, F.coalesce("lufs", "mean", F.lit(ABSOLUTE_GATE)).alias("lufs"), F.coalesce("n", "loud").alias("blocks"))
 
 
 def loudness_range(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, lra: 95th less 10th percentile (linear interpolation) of the block loudness above the absolute gate."""
+    """keys, lra: 95th less 10th percentile (linear interpolation) of the block loudness above the absolute gate.
+
+    ``blocks`` are of 3 seconds (``loudness_blocks(streams, SHORT_TERM_MS)``, or 30 hops): a shorter stream has none, and no row.
+    """
     p = lambda q: F.expr(f"percentile(loudness, {q})")
     return blocks.where(F.col("loudness") > ABSOLUTE_GATE).groupBy(*keys).agg(F.greatest(p(0.95) - p(0.10), F.lit(0.0)).alias("lra"))
 
@@ -90,30 +97,90 @@ def block_spans(streams: DataFrame, keys: list[str], slots: str, block: int, hop
 
 
 def _biquad(x: np.ndarray, c: tuple[float, ...]) -> np.ndarray:
-    """A direct-form filter over each row, from rest."""
+    """A direct-form filter from rest."""
     y = np.zeros_like(x)
-    x1 = x2 = y1 = y2 = np.zeros(x.shape[0])
-    for i in range(x.shape[1]):
-        now = c[0] * x[:, i] + c[1] * x1 + c[2] * x2 - c[3] * y1 - c[4] * y2
-        x2, x1, y2, y1 = x1, x[:, i], y1, now
-        y[:, i] = now
+    x1 = x2 = y1 = y2 = 0.0
+    for i, now in enumerate(x):
+        y[i] = c[0] * now + c[1] * x1 + c[2] * x2 - c[3] * y1 - c[4] * y2
+        x2, x1, y2, y1 = x1, now, y1, y[i]
     return y
 
 
+@lru_cache(maxsize=4)
+def _response(size: int) -> np.ndarray:
+    """Spectrum of what both filters answer to an impulse, long enough for a block: from rest, filtering is its convolution."""
+    impulse = np.zeros(size)
+    impulse[0] = 1.0
+    return np.fft.rfft(_biquad(_biquad(impulse, STAGE_1), STAGE_2), 2 * size)
+
+
+#: Blocks that are filtered at once.
+_AT_ONCE = 32
+
+
+def weighted_loudness(blocks: np.ndarray) -> np.ndarray:
+    """K-weighted loudness of blocks (block, channel, frame); the filters start from rest in each, channels weigh alike."""
+    size = blocks.shape[2]
+    power = np.zeros(len(blocks))
+    for at in range(0, len(blocks), _AT_ONCE):
+        x = np.fft.rfft(blocks[at : at + _AT_ONCE].astype(float), 2 * size, axis=2) * _response(size)
+        power[at : at + _AT_ONCE] = (np.fft.irfft(x, 2 * size, axis=2)[:, :, :size] ** 2).sum(axis=(1, 2)) / size
+    # What is left of digital silence is rounding of the transform.
+    peak = np.abs(blocks).max(axis=(1, 2), initial=0.0)
+    return np.where(peak > 0, -0.691 + 10 * np.log10(np.maximum(power, 1e-300)), ABSOLUTE_GATE)
+
+
 def block_loudness(samples: np.ndarray, channels: int, block_ms: int = 400) -> np.ndarray:
-    """K-weighted loudness of blocks with 75 % overlap; the filters start from rest in each block, channels weigh alike."""
+    """``weighted_loudness`` of blocks with 75 % overlap over interleaved samples."""
     frames = samples.reshape(-1, channels)
     size = RATE * block_ms // 1000
     hop = size // 4
     if len(frames) < size:
         return np.zeros(0)
-    starts = range(0, len(frames) - size + 1, hop)
-    out = np.zeros(len(starts))
-    for c in range(channels):
-        x = np.stack([frames[s : s + size, c] for s in starts]).astype(float)
-        out += (_biquad(_biquad(x, STAGE_1), STAGE_2) ** 2).sum(axis=1)
-    power = out / size
-    return np.where(power > 0, -0.691 + 10 * np.log10(np.maximum(power, 1e-300)), ABSOLUTE_GATE)
+    every = np.lib.stride_tricks.sliding_window_view(frames, size, axis=0)[::hop]  # block, channel, frame: a view
+    return np.concatenate([weighted_loudness(every[at : at + _AT_ONCE]) for at in range(0, len(every), _AT_ONCE)])
+
+
+def chunk_levels(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """``level_stats`` from rows of ``pcm`` (array), without a row for each slot."""
+    total = lambda f: F.aggregate("pcm", F.lit(0.0), lambda s, x: s + f(x.cast("double")))
+    parts = chunks.where(F.size("pcm") > 0).select(*keys, F.array_max(F.transform("pcm", lambda x: F.abs(x.cast("double")))).alias("p"), total(lambda x: x).alias("s"), total(lambda x: x * x).alias("q"), F.size("pcm").cast("long").alias("n"))
+    out = parts.groupBy(*keys).agg(F.max("p").alias("peak"), F.sqrt(F.sum("q") / F.sum("n")).alias("rms"), (F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("slots"))
+    return out.withColumn("peak_dbfs", dbfs(F.col("peak"))).withColumn("rms_dbfs", dbfs(F.col("rms")))
+
+
+def slots_of(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, slot, value: a row for each value of rows of first_slot and ``pcm``."""
+    return chunks.select(*keys, "first_slot", F.posexplode("pcm").alias("i", "value")).select(*keys, (F.col("first_slot") + F.col("i")).alias("slot"), "value")
+
+
+def hops(chunks: DataFrame, ms: int = 100) -> DataFrame:
+    """asset_id, channels, hop, pcm: whole hops of 48 kHz audio, cut from chunks wherever these begin and end.
+
+    Other rates are left out: the weighting is defined for 48 kHz alone.
+    """
+    rows = chunks.where((F.col("sample_rate") == RATE) & (F.col("channels") > 0) & (F.size("pcm") > 0))
+    size = (F.lit(RATE * ms // 1000) * F.col("channels")).cast("long")
+    rows = rows.withColumn("size", size).withColumn("hop", F.explode(F.expr("sequence(first_slot div size, (first_slot + size(pcm) - 1) div size)")))
+    begin = F.greatest(F.col("hop") * F.col("size") - F.col("first_slot"), F.lit(0))
+    end = F.least((F.col("hop") + 1) * F.col("size") - F.col("first_slot"), F.size("pcm").cast("long"))
+    pieces = rows.select("asset_id", "channels", "size", "hop", (F.col("first_slot") + begin).alias("at"), F.slice("pcm", begin.cast("int") + 1, (end - begin).cast("int")).alias("pcm"))
+    whole = pieces.groupBy("asset_id", "channels", "size", "hop").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "pcm"))), lambda x: x["pcm"])).alias("pcm"))
+    return whole.where(F.size("pcm") == F.col("size")).select("asset_id", "channels", "hop", "pcm")
+
+
+def hop_loudness(pieces: DataFrame, count: int = 4) -> DataFrame:
+    """asset_id, block, loudness of each ``count`` consecutive hops: the overlapping blocks of a stream, block by block."""
+    w = Window.partitionBy("asset_id").orderBy("hop")
+    rows = pieces.withColumn("block_pcm", F.flatten(F.array("pcm", *[F.lead("pcm", i).over(w) for i in range(1, count)]))).withColumn("last", F.lead("hop", count - 1).over(w))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            value = [float(weighted_loudness(np.asarray(x, dtype=np.float32).reshape(-1, int(c)).T[None])[0]) for x, c in zip(part["block_pcm"], part["channels"], strict=True)]
+            yield part[["asset_id", "hop"]].assign(loudness=value).rename(columns={"hop": "block"})
+
+    rows = rows.where(F.col("last") == F.col("hop") + count - 1).select("asset_id", "channels", "hop", "block_pcm")
+    return rows.mapInPandas(run, "asset_id string, block long, loudness double")
 
 
 def loudness_blocks(streams: DataFrame, block_ms: int = 400) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,82 @@ def same_layout(left: DataFrame, right: DataFrame, keys: list[str], kind: str, o
     side = lambda df, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, kind))), lambda x: x[kind]).alias(name))
     both = side(left, "a").join(side(right, "b"), keys, "full_outer")
     return both.select(*keys, F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
+#: Axes of a comparison in report order. Fixed order.
+AXES = ("container", "stream_layout", "codec", "video_format", "colour", "audio_format", "timing", "metadata", "scene_structure", "silence", "loudness")
+#: Columns of a stream that are compared, by axis.
+STREAM_FIELDS = {"codec": "codec", "width": "video_format", "height": "video_format", "primaries": "colour", "transfer": "colour", "channels": "audio_format", "sample_rate": "audio_format", "bit_depth": "audio_format", "duration_us": "timing", "measured_us": "timing", "start_us": "timing"}
+
+
+def difference_order(fields: DataFrame) -> DataFrame:
+    """By axis in report order, then field; an axis that is not listed comes last."""
+    place = F.array_position(F.array(*[F.lit(a) for a in AXES]), F.col("axis"))
+    return fields.withColumn("axis_order", F.when(place == 0, len(AXES)).otherwise(place - 1).cast("int")).orderBy("axis_order", "field")
+
+
+def measured_differences(fields: DataFrame) -> DataFrame:
+    """Fields that were measured on both sides and disagree."""
+    return fields.where("verdict = 'different'")
+
+
+def unstable_axes(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, axis: the axes on which two analyses of one file disagree. Axes nobody measured are no sign of that."""
+    return measured_differences(fields).select(*keys, "axis").distinct()
+
+
+def loudness_of(measurements: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lufs: only integrated loudness by BS.1770 is compared; another quantity in LU counts as not measured."""
+    return measurements.where("method = 'ITU-R BS.1770-4'").groupBy(*keys).agg(F.min("value").alias("lufs"))
+
+
+def whole_file(left: DataFrame, right: DataFrame, keys: list[str], column: str, axis: str, field: str, tolerance: float) -> DataFrame:
+    """keys, axis, field, left, right, verdict of one number for each file, equal within a tolerance."""
+    both = left.select(*keys, F.col(column).alias("l")).join(right.select(*keys, F.col(column).alias("r")), keys, "full_outer")
+    told = F.when(F.col("l").isNull() | F.col("r").isNull(), "not_comparable").when(F.abs(F.col("l") - F.col("r")) <= tolerance, "equal").otherwise("different")
+    return both.select(*keys, F.lit(axis).alias("axis"), F.lit(field).alias("field"), F.col("l").cast("string").alias("left"), F.col("r").cast("string").alias("right"), told.alias("verdict"))
+
+
+def compare_files(left: dict[str, DataFrame], right: dict[str, DataFrame], keys: list[str], loudness_lu: float = 0.5, scene_changes: float = 1.0) -> DataFrame:
+    """keys, axis, field, left, right, verdict of every property of two analyses with the same keys.
+
+    A side is a dict of streams, metadata (key, value, idx), scenes and silence (keys and ``n``, how many) and
+    measurements (value, method). A table that either side lacks is not compared. Streams pair by kind and order; a stream
+    without a partner differs in layout.
+    """
+    out = []
+    have = lambda name: name in left and name in right
+    if have("streams"):
+        fields = {f: a for f, a in STREAM_FIELDS.items() if f in left["streams"].columns and f in right["streams"].columns}
+        side = lambda df, s: df.select(*keys, F.col("stream_index").alias(f"{s}_stream_index"), *[F.col(f).alias(f"{s}_{f}") for f in fields])
+        pairs = pair_streams(left["streams"], right["streams"], keys, "kind", "stream_index")
+        matched = pairs.where("matched").join(side(left["streams"], "left"), [*keys, "left_stream_index"]).join(side(right["streams"], "right"), [*keys, "right_stream_index"])
+        rows = field_diff(matched, [*keys, "kind", "ordinal"], fields)
+        out.append(rows.select(*keys, "axis", F.concat_ws(" ", "kind", "ordinal", "field").alias("field"), "left", "right", "verdict"))
+        alike = same_layout(left["streams"], right["streams"], keys, "kind", "stream_index")
+        none = F.lit(None).cast("string")
+        out.append(alike.select(*keys, F.lit("stream_layout").alias("axis"), F.lit("stream_layout").alias("field"), none.alias("left"), none.alias("right"), F.when(F.col("same"), "equal").otherwise("different").alias("verdict")))
+    if have("metadata"):
+        from reelscope.operators.metadata import difference
+
+        rows = difference(left["metadata"], right["metadata"], [*keys, "key"])
+        out.append(rows.select(*keys, F.lit("metadata").alias("axis"), F.col("key").alias("field"), F.col("left_value").alias("left"), F.col("right_value").alias("right"), "verdict"))
+    if have("scenes"):
+        out.append(whole_file(left["scenes"], right["scenes"], keys, "n", "scene_structure", "scene_changes", scene_changes))
+    if have("silence"):
+        out.append(whole_file(left["silence"], right["silence"], keys, "n", "silence", "silent_regions", 0))
+    if have("measurements"):
+        out.append(whole_file(loudness_of(left["measurements"], keys), loudness_of(right["measurements"], keys), keys, "lufs", "loudness", "integrated_loudness", loudness_lu))
+    if not out:
+        raise ValueError("the two sides share no table")
+    return reduce(DataFrame.unionByName, out)
+
+
+def integrity(now: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, state of (keys, size, sha256) against what was recorded: intact, hash_mismatch, modified where the size
+    differs, or unverifiable where either side has no digest."""
+    then = recorded.select(*keys, F.col("size").alias("_size"), F.col("sha256").alias("_sha256"))
+    out = now.join(then, keys, "left")
+    known = F.col("sha256").isNotNull() & F.col("_sha256").isNotNull()
+    state = F.when(~known, "unverifiable").when(~F.col("size").eqNullSafe(F.col("_size")), "modified").when(F.col("sha256") == F.col("_sha256"), "intact").otherwise("hash_mismatch")
+    return out.select(*keys, state.alias("state"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.functions.media import codec_family, fingerprint
+from reelscope.functions.media import codec_family, container_family, fingerprint
 
 KINDS = ("video_codec", "audio_codec", "resolution", "frame_rate", "audio_channels", "audio_sample_rate", "max_av_offset_ms", "container")
 #: A profile in JSON: name, version and requirements.
@@ -49,7 +49,7 @@ def check(facts: DataFrame, requirements: DataFrame, keys: list[str]) -> DataFra
         .when(kind == "audio_channels", met(positive("channels").isNotNull(), F.col("channels") == F.col("r_channels")))
         .when(kind == "audio_sample_rate", met(positive("sample_rate").isNotNull(), F.col("sample_rate") == F.col("r_sample_rate")))
         .when(kind == "max_av_offset_ms", met(F.col("av_offset_ms").isNotNull(), F.abs("av_offset_ms") <= F.col("limit_ms")))
-        .when(kind == "container", met(F.col("container").isNotNull(), F.array_contains(F.transform("any_of", F.lower), F.lower("container"))))
+        .when(kind == "container", met(F.col("container").isNotNull(), F.array_contains(F.transform("any_of", container_family), container_family(F.col("container")))))
         .otherwise("UNDETERMINED")
     )
     expected = (

@@ -41,12 +41,29 @@ def difference(left: DataFrame, right: DataFrame, on: list[str], value: str = "v
     return both.select(*[F.when(F.col("_left"), F.col(f"_left_{c}")).otherwise(F.col(f"_right_{c}")).alias(c) for c in on], "left_value", "right_value", verdict.alias("verdict"))
 
 
-def encoder_marks(entries: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Distinct encoders whose mark a value contains, letters A-Z without case: keys, needle, encoder."""
+def encoder_marks(entries: DataFrame, keys: list[str], value: str = "value", all_intra: DataFrame | None = None) -> DataFrame:
+    """Distinct signs of an encoder: keys, encoder, observation, evidence, confidence.
+
+    Only entries whose key ends in ``too`` declare an encoder; the whole value is the observation, and a title that names
+    a tool is none. ``all_intra`` lists the keys of assets whose every sample is a key frame: a configuration, not a tool.
+    """
     needles = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(e).alias("encoder")) for n, e in ENCODERS])
     low = F.lower(F.col(value))
     hits = F.filter(needles, lambda x: F.contains(low, x["needle"]))
-    return entries.select(*keys, F.explode(hits).alias("x")).select(*keys, "x.needle", "x.encoder").distinct()
+    out = entries.where(F.col("key").endswith("too")).select(*keys, F.explode(hits).alias("x"), F.col(value).alias("observation"))
+    out = out.select(*keys, "x.encoder", "observation", F.lit("declared_tag").alias("evidence"), F.lit("LOW").alias("confidence"))
+    if all_intra is not None:
+        every = (F.lit(x).alias(c) for c, x in (("encoder", "all-intra encoding"), ("observation", "every sample in the track is a sync sample"), ("evidence", "structure"), ("confidence", "MEDIUM")))
+        out = out.unionByName(all_intra.select(*keys, *every))
+    return out.distinct()
+
+
+def lookup(entries: DataFrame, key: str | None = None, scope: str | None = None, track: int | None = None) -> DataFrame:
+    """Entries of a key, a scope or a track, in order of scope, track, key and value."""
+    for column, wanted in (("key", key), ("scope", scope), ("track_index", track)):
+        if wanted is not None:
+            entries = entries.where(F.col(column) == wanted)
+    return entries.orderBy("scope", *(["track_index"] if "track_index" in entries.columns else []), "key", "value")
 
 
 def missing_creation(entries: DataFrame, keys: list[str], names: tuple[str, ...] = CREATION_KEYS) -> DataFrame:

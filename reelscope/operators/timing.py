@@ -103,3 +103,18 @@ def expand_runs(runs: DataFrame, keys: list[str], seq: str, count: str, delta: s
     rows = runs.where(F.col(count) > 0).withColumn("first", F.coalesce(F.sum(count).over(before), F.lit(0))).withColumn("base", F.coalesce(F.sum(F.col(count) * F.col(delta)).over(before), F.lit(0)))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)))
     return rows.select(*keys, (F.col("first") + F.col("k")).alias("idx"), (F.col("base") + F.col("k") * F.col(delta)).alias("dts"))
+
+
+def anomalies(frames: DataFrame, keys: list[str], tolerance_us: int) -> DataFrame:
+    """Both timestamp reports in one: keys, idx, kind, previous, observed, size (null for decode times)."""
+    return presentation_scan(frames, keys, tolerance_us).unionByName(decode_scan(frames, keys).withColumn("size", F.lit(None).cast("long")))
+
+
+def measured_duration(runs: DataFrame, keys: list[str], count: str = "n", delta: str = "delta") -> DataFrame:
+    """keys, duration (sum of count times step), step (the common step; null if steps differ)."""
+    return runs.groupBy(*keys).agg(F.sum(F.col(count) * F.col(delta)).alias("duration"), F.when(F.min(delta) == F.max(delta), F.min(delta)).alias("step"))
+
+
+def sync_flags(report: DataFrame, tolerance_us: int) -> DataFrame:
+    """``report`` with constant_offset (no drift at all) and drifting (beyond the tolerance, either way)."""
+    return report.withColumn("constant_offset", F.col("drift_us") == 0).withColumn("drifting", F.abs("drift_us") > tolerance_us)

@@ -145,3 +145,45 @@ def unexplained(expected: DataFrame, seen: DataFrame, intervals: DataFrame, keys
     missing = expected.join(seen.select(*keys, "idx"), [*keys, "idx"], "left_anti")
     covered = intervals.select(*keys, F.explode(F.sequence(F.col("from_idx"), F.col("from_idx") + F.col("skipped") - 1)).alias("idx"))
     return missing.join(covered, [*keys, "idx"], "left_anti")
+
+
+def first_of_kind(streams: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """The first stream of a kind of each asset, by stream_index."""
+    w = Window.partitionBy(*keys).orderBy("stream_index")
+    return streams.where(F.col("kind") == kind).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def recovered_counts(samples: DataFrame, streams: DataFrame, keys: list[str]) -> DataFrame:
+    """Streams that declare more packets than were read: keys, declared, recovered, missing. No declared count: no row."""
+    got = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("recovered"))
+    out = streams.where("packet_count is not null").select(*keys, F.col("packet_count").alias("declared")).join(got, keys, "left").withColumn("recovered", F.coalesce("recovered", F.lit(0)))
+    return out.where("declared > recovered").withColumn("missing", F.col("declared") - F.col("recovered"))
+
+
+def packet_damage(samples: DataFrame, streams: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, kind, idx, declared, recovered, missing: packets without bytes, and streams that lack declared packets."""
+    none = F.lit(None).cast("long")
+    empty = samples.where("size = 0").select(*keys, F.lit("empty_sample").alias("kind"), F.col("idx").cast("long").alias("idx"), none.alias("declared"), none.alias("recovered"), none.alias("missing"))
+    short = recovered_counts(samples, streams, keys).select(*keys, F.lit("declared_over_recovered").alias("kind"), none.alias("idx"), *[F.col(c).cast("long").alias(c) for c in ("declared", "recovered", "missing")])
+    return empty.unionByName(short)
+
+
+def largest_scene(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, idx, mean_abs of the largest change of each stream, ties to the earliest."""
+    return changes.groupBy(*keys).agg(F.max("mean_abs").alias("mean_abs"), F.max_by("idx", F.struct("mean_abs", -F.col("idx"))).alias("idx"))
+
+
+def reorder(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames with ``delay_us``, presentation less decode time."""
+    return frames.withColumn("delay_us", F.col("pts_us") - F.col("dts_us"))
+
+
+def reorder_summary(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, frames, reordered (frames presented after they are decoded), longest_us (null without frames)."""
+    return reorder(frames, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("delay_us") > 0).alias("reordered"), F.max("delay_us").alias("longest_us"))
+
+
+def zip_streams(streams: DataFrame, infos: DataFrame, keys: list[str], order: str = "stream_index") -> DataFrame:
+    """The i-th stream with the i-th info of the same keys; what has no partner is left out."""
+    at = lambda df: df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return at(streams).join(at(infos).drop(order), [*keys, "_i"]).drop("_i")

@@ -73,7 +73,7 @@ RULES = [
     Rule("VIDEO.BITRATE_DROP", "WARNING", "HIGH", "bitrate", _all, "Bitrate falls well below the average of the stream", lambda: [_m("bits_per_second", "bits")], "stream_index", "start_us", "end_us", "idx"),
     Rule("CONTAINER.TRUNCATED_MEDIA", "CRITICAL", "HIGH", "damage", lambda d, p: d.where("is_missing_data"), "Media data is missing", lambda: [_m("offset", "offset")], None, "at_us", None, "offset"),
     Rule("CONTAINER.STRUCTURAL_DEFECT", "WARNING", "MEDIUM", "damage", lambda d, p: d.where("not is_missing_data"), "The container structure is damaged", lambda: [_m("offset", "offset")], None, None, None, "offset"),
-    Rule("CONTAINER.UNREADABLE_PACKET", "SIGNIFICANT", "HIGH", "packet_damage", _all, "Packets cannot be read", lambda: [_m("kind", "kind")], "stream_index", None, None, "kind"),
+    Rule("CONTAINER.UNREADABLE_PACKET", "SIGNIFICANT", "HIGH", "packet_damage", lambda d, p: d.withColumn("place", F.concat_ws(" ", "kind", "idx")), "Packets cannot be read", lambda: [_m("kind", "kind")], "stream_index", None, None, "place"),
     Rule("VIDEO.DECODE_FAILURE", "SIGNIFICANT", "HIGH", "decode_damage", lambda d, p: d.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("asset_id"))), "Frames fail to decode", lambda: [_m("failures", "total")], "stream_index", None, None, "idx"),
     Rule("VIDEO.GOP_LENGTH_CHANGE", "SIGNIFICANT", "HIGH", "gop_changes", _all, "The length of picture groups changes", lambda: [_m("from", "previous_length"), _m("to", "length")], "stream_index", "start_us", None, "gop"),
     Rule("VIDEO.DUPLICATE_FRAME_RUN", "WARNING", "HIGH", "repeated_runs", lambda d, p: d.where(F.col("length") >= p.min_duplicate_run), "Frames repeat", lambda: [_m("length", "length")], "stream_index", "start_us", None, "first_idx"),

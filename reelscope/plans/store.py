@@ -6,6 +6,9 @@ anti-joins and ranked unions before the write. ``CaseStore`` keeps one folder fo
 
 from __future__ import annotations
 
+import json
+import secrets
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -76,9 +79,9 @@ def search(findings: DataFrame, assets: DataFrame, evidence: DataFrame, term: st
 
 
 def truncated(found: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """The first ``limit`` of up to limit + 1 hits, and whether there were more."""
-    more = found.count() > limit
-    return found.orderBy("rank", "id", "arm").limit(limit), more
+    """The first ``limit`` hits, and whether there are more: one row beyond them is looked at, not all that match."""
+    ordered = found.orderBy("rank", "id", "arm")
+    return ordered.limit(limit), len(ordered.limit(limit + 1).select("rank").collect()) > limit
 
 
 def lookup(assets: DataFrame, asked: DataFrame) -> DataFrame:
@@ -112,6 +115,40 @@ def designated_reference(assets: DataFrame) -> DataFrame:
     return out.select("case_id", F.when(one, F.col("x.id")).alias("reference_id"), F.when(one, F.col("x.sha256")).alias("sha256"), F.when(F.col("n") == 0, "absent").when(one, "designated").otherwise("ambiguous").alias("state"))
 
 
+def check_reference(reference: DataFrame, now: DataFrame) -> DataFrame:
+    """``designated_reference`` against the digests at hand (id, sha256): state ``changed`` where the file is another by now."""
+    at = now.select(F.col("id").alias("reference_id"), F.col("sha256").alias("_now"))
+    out = reference.join(at, "reference_id", "left")
+    changed = (F.col("state") == "designated") & ~F.col("_now").eqNullSafe(F.col("sha256"))
+    return out.select("case_id", "reference_id", "sha256", F.when(changed, "changed").otherwise(F.col("state")).alias("state"))
+
+
+def propagate_reviews(cached_findings: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Cached findings with the status and note of the last review of each; one without a review keeps its own."""
+    last = latest(reviews, ["finding_id"], ["id"]).select("finding_id", F.col("status").alias("_status"), F.col("note").alias("_note"))
+    out = cached_findings.join(last, cached_findings["id"] == last["finding_id"], "left").drop("finding_id")
+    return out.withColumn("status", F.coalesce("_status", "status")).withColumn("note", F.coalesce("_note", "note")).drop("_status", "_note")
+
+
+def to_payload(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ``payload``, the other columns as one JSON object."""
+    return df.select(*keys, F.to_json(F.struct(*[c for c in df.columns if c not in keys])).alias("payload"))
+
+
+def from_payload(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``payload`` beside the others; rows whose payload is null or cannot be read are passed over."""
+    bad = "_unread"
+    parsed = F.from_json("payload", f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    rows = df.where("payload is not null").withColumn("_p", parsed).where(f"_p is not null and _p.{bad} is null")
+    return rows.select(*[c for c in df.columns if c != "payload"], "_p.*").drop(bad)
+
+
+def stored_timeline(entries: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Timeline entries in stored order: when their analysis began, its id, position, id."""
+    began = analyses.select(F.col("id").alias("analysis_id"), "started_at")
+    return entries.join(began, "analysis_id").orderBy("started_at", "analysis_id", "position", "id")
+
+
 def cache_key(version: str, sha256: str, profile: str, rule_ids: list[str]) -> str:
     return ":".join([version, sha256, profile, "\n".join(sorted(rule_ids))])
 
@@ -125,6 +162,16 @@ def analysis_fingerprint(df: DataFrame) -> DataFrame:
     return df.withColumn("fingerprint", fingerprint(F.col("asset_id"), F.col("profile"), F.col("writer_schema_version")))
 
 
+_LAST = [0]
+
+
+def next_id() -> int:
+    """An id above all that this process gave before: microseconds of the clock and 10 bits by chance, so that two writers
+    need not read each other's rows and do not clash."""
+    _LAST[0] = max(_LAST[0] + 1, time.time_ns() // 1000 << 10 | secrets.randbits(10))
+    return _LAST[0]
+
+
 class CaseStore:
     """Tables of one or more cases as Parquet folders under ``path``."""
 
@@ -151,15 +198,13 @@ class CaseStore:
         """Append a review; the finding must exist."""
         if not self.table("findings").where(F.col("id") == finding_id).take(1):
             raise ValueError(f"no finding {finding_id}")
-        last = self.table("finding_reviews").agg(F.max("id")).first()[0] or 0
-        self.insert("finding_reviews", self.spark.createDataFrame([(last + 1, finding_id, status, note, at)], TABLES["finding_reviews"]))
+        self.insert("finding_reviews", self.spark.createDataFrame([(next_id(), finding_id, status, note, at)], TABLES["finding_reviews"]))
 
     def note(self, case_id: str, text: str, subject_kind: str | None = None, subject_id: str | None = None) -> None:
         """Add a note; a subject needs both kind and id."""
         if (subject_kind is None) != (subject_id is None):
             raise ValueError("a subject needs both kind and id")
-        last = self.table("notes").agg(F.max("id")).first()[0] or 0
-        self.insert("notes", self.spark.createDataFrame([(last + 1, case_id, subject_kind, subject_id, text)], TABLES["notes"]))
+        self.insert("notes", self.spark.createDataFrame([(next_id(), case_id, subject_kind, subject_id, text)], TABLES["notes"]))
 
     def reviewed_findings(self) -> DataFrame:
         """Findings with the status and note of their last review."""
@@ -181,3 +226,84 @@ class CaseStore:
         if name not in TABLES:
             raise ValueError(f"no table {name}")
         return self.table(name).count()
+
+    def assets_in_case(self, case_id: str) -> DataFrame:
+        return self.table("assets").where(F.col("case_id") == case_id).orderBy("id")
+
+    def reviews_of(self, finding_id: str) -> DataFrame:
+        """Reviews of a finding in the order they were made."""
+        return self.table("finding_reviews").where(F.col("finding_id") == finding_id).orderBy("id")
+
+    def notes_of(self, case_id: str | None = None, subject_kind: str | None = None, subject_id: str | None = None) -> DataFrame:
+        """Notes of a case, a subject or both, in the order they were made."""
+        out = self.table("notes")
+        for column, wanted in (("case_id", case_id), ("subject_kind", subject_kind), ("subject_id", subject_id)):
+            if wanted is not None:
+                out = out.where(F.col(column) == wanted)
+        return out.orderBy("id")
+
+    def load_report(self, case_id: str) -> dict[str, DataFrame]:
+        """What a report of a case shows: assets, the last analysis of each, its findings with their reviews, evidence
+        that some finding may name, timeline and notes. Earlier analyses are left out."""
+        runs = self.table("analyses").where(F.col("case_id") == case_id)
+        last = latest(runs, ["asset_id"], ["started_at", "id"])
+        ids = last.select(F.col("id").alias("analysis_id"))
+        of = lambda df: df.join(ids, "analysis_id", "left_semi")
+        return {
+            "case": self.table("cases").where(F.col("id") == case_id), "assets": self.assets_in_case(case_id), "analyses": last.orderBy("asset_id"),
+            "findings": of(self.reviewed_findings()).orderBy(severity_rank(F.col("severity")), "rule_id", "id"), "evidence": of(self.table("evidence")).orderBy("id"),
+            "timeline": stored_timeline(of(self.table("timeline_entries")), last), "notes": self.notes_of(case_id),
+        }
+
+
+class Cache:
+    """Analyses by a key of four parts, one file each: written aside and renamed, so that no reader meets half an entry.
+
+    Files go through Hadoop's file systems, so the folder may be on storage that all share.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, key: str, end: str = ""):
+        import hashlib
+
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{hashlib.sha256(key.encode()).hexdigest()}.json{end}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def put(self, version: str, sha256: str, profile: str, rule_ids: list[str], payload: dict) -> None:
+        key = cache_key(version, sha256, profile, rule_ids)
+        files, part = self._at(key, f".{secrets.token_hex(8)}.part")
+        out = files.create(part, True)
+        out.write(bytearray(json.dumps({"key": key, "payload": payload}, sort_keys=True).encode()))
+        out.close()
+        _, at = self._at(key)
+        if files.exists(at):
+            files.delete(at, False)
+        files.rename(part, at)
+
+    def get(self, version: str, sha256: str, profile: str, rule_ids: list[str]) -> dict | None:
+        """The payload; None if there is no entry. One that cannot be read, or is of another key, is deleted."""
+        key = cache_key(version, sha256, profile, rule_ids)
+        files, at = self._at(key)
+        if not files.exists(at):
+            return None
+        raw = self.spark.read.text(at.toString(), wholetext=True).first()
+        try:
+            found = json.loads(raw[0])
+            if found["key"] == key:
+                return found["payload"]
+        except (ValueError, KeyError, TypeError):
+            pass
+        files.delete(at, False)
+        return None
+
+
+#: A case's manifest, and cached analyses, as JSON.
+MANIFEST_SCHEMA = "id string, name string, description string, schema_version int, assets array<struct<id: string, path: string, size: bigint, sha256: string>>"
+
+
+def load_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each manifest below a folder; what cannot be read is passed over."""
+    return spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where("id is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,45 @@ def jump_target(findings: DataFrame) -> DataFrame:
     return findings.withColumn("target", F.when(F.size("evidence") > 0, "evidence").when(F.col("frame_index").isNotNull(), "frame").when(F.col("stream_index").isNotNull(), "stream").when(F.col("id").isNotNull(), "findings").otherwise("nowhere"))
 
 
+def placement(entries: DataFrame) -> DataFrame:
+    """source, entries, placed, unplaced, measured (placed exactly, by ``placement``) of a timeline."""
+    measured = F.count_if(F.col("placement") == "measured") if "placement" in entries.columns else F.count("time_us")
+    return entries.groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.count("time_us").alias("placed"), F.count_if(F.col("time_us").isNull()).alias("unplaced"), measured.alias("measured"))
+
+
+def collected(sources: dict[str, DataFrame]) -> DataFrame:
+    """The timeline of several sources: each has time_us, reference and summary, and is named by its key."""
+    parts = [df.select(F.lit(name).alias("source"), F.col("time_us").cast("long").alias("time_us"), F.col("reference").cast("string").alias("reference"), "summary") for name, df in sources.items()]
+    return timeline(reduce(DataFrame.unionByName, parts))
+
+
+def timeline_duration(streams: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, duration_us: the longest measured stream; null where none was measured."""
+    return streams.groupBy(*keys).agg(F.max("measured_us").alias("duration_us"))
+
+
+def nearest_frame(probes: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """probes (keys, probe, at_us) with ``idx``, the frame nearest in time; of equally near ones the first. Null without frames."""
+    mark = F.struct(F.col("pts_us").cast("long").alias("us"), F.col("idx").cast("long").alias("idx"))
+    none = F.lit(None).cast("struct<us: bigint, idx: bigint>")
+    first = frames.groupBy(*keys, "pts_us").agg(F.min("idx").alias("idx"))
+    tagged = probes.select(*keys, "probe", "at_us", none.alias("m"), F.lit(1).alias("side")).unionByName(first.select(*keys, F.lit(None).cast(probes.schema["probe"].dataType).alias("probe"), F.col("pts_us").alias("at_us"), mark.alias("m"), F.lit(0).alias("side")))
+    ways = [Window.partitionBy(*keys).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0) for at in (F.asc("at_us"), F.desc("at_us"))]
+    before, after = (F.last("m", ignorenulls=True).over(w) for w in ways)
+    rows = tagged.withColumn("b", before).withColumn("a", after).where("side = 1")
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.us") - F.col("at_us")).alias("d"), F.col(f"{c}.idx").alias("idx")))
+    return rows.select(*keys, "probe", "at_us", F.least(far("b"), far("a"))["idx"].alias("idx"))
+
+
+#: What becomes of a file that may not be delivered.
+BLOCKING = ("FAIL", "UNREADABLE", "SKIPPED")
+
+
+def batch_verdict(files: DataFrame) -> DataFrame:
+    """One row over files (status PASS, PASS_WITH_WARNINGS, FAIL, UNREADABLE or SKIPPED): files, all_passed,
+    examined_everything, blocking. An empty batch has passed nothing and examined nothing."""
+    s = F.col("status")
+    return files.agg(
+        F.count(F.lit(1)).alias("files"), ((F.count(F.lit(1)) > 0) & (F.count_if(s == "PASS") == F.count(F.lit(1)))).alias("all_passed"),
+        ((F.count(F.lit(1)) > 0) & (F.count_if(s.isin("UNREADABLE", "SKIPPED")) == 0)).alias("examined_everything"), F.count_if(s.isin(*BLOCKING)).alias("blocking"),
+    )

@@ -5,11 +5,17 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import os
+import re
+import secrets
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.functions.media import severity_rank, timecode
+from reelscope.functions.media import safe_path, severity_rank, timecode
+from reelscope.sources.ranged import digest
 
 DISCLAIMER = "Findings are measurements, not conclusions."
 
@@ -66,8 +72,57 @@ def bundle(files: dict[str, bytes]) -> list[dict[str, object]]:
     return [{"name": k, "size": len(v), "sha256": hashlib.sha256(v).hexdigest()} for k, v in sorted(files.items())]
 
 
+def asset_hashes(assets: DataFrame) -> DataFrame:
+    """name, source_path, sha256, blake3, size_bytes as text, nulls empty: the rows of asset-hashes.csv."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return assets.select("name", "source_path", text("sha256"), text("blake3"), text("size_bytes"))
+
+
+def note_rows(notes: DataFrame) -> DataFrame:
+    """subject_kind, subject_id, body: the rows of notes.csv. A note on the whole case has no subject; the body is verbatim."""
+    text = lambda c, name: F.coalesce(F.col(c), F.lit("")).alias(name)
+    return notes.select(text("subject_kind", "subject_kind"), text("subject_id", "subject_id"), F.col("text").alias("body"))
+
+
+def store_evidence(rows: DataFrame, path: str) -> DataFrame:
+    """Write ``content`` under ``name`` (made safe) below a local or mounted folder, read it again, and return name, size,
+    sha256, verified. Each task writes aside and renames, so a task that runs again leaves one whole file."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for name, content in zip(part["safe"], part["content"], strict=True):
+                at = os.path.join(path, name)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                aside = f"{at}.{secrets.token_hex(8)}.part"
+                with open(aside, "wb") as file:
+                    file.write(content)
+                os.replace(aside, at)
+                with open(at, "rb") as file:
+                    again = file.read()
+                out.append((name, len(again), hashlib.sha256(again).hexdigest(), again == bytes(content)))
+            yield pd.DataFrame(out, columns=["name", "size", "sha256", "verified"])
+
+    return rows.where("content is not null").select(safe_path(F.col("name")).alias("safe"), "content").mapInPandas(run, "name string, size long, sha256 string, verified boolean")
+
+
 def verify_evidence(recorded: DataFrame, path: str) -> DataFrame:
-    """Re-read evidence files and compare: path, size, sha256, verified. Recorded files that are gone are not verified."""
-    now = recorded.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    now = now.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("now"))
-    return recorded.join(now, "name", "left").select("name", "sha256", F.coalesce(F.col("now") == F.col("sha256"), F.lit(False)).alias("verified"))
+    """Re-read evidence files and compare: name, size, sha256, verified. Recorded files that are gone are not verified.
+
+    ``name`` is a path below the folder, so files of one name in two folders are told apart. Digests are taken a megabyte
+    at a time; where a size is recorded it must agree too.
+    """
+    spark = recorded.sparkSession
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    root = re.sub("^file:/*", "/", path).rstrip("/") + "/"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([(p, n, digest(p)[1]) for p, n in part.itertuples(index=False)], columns=["path", "now_size", "now"])
+
+    now = listed.mapInPandas(run, "path string, now_size long, now string")
+    now = now.withColumn("name", F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit(root), F.lit(""))).drop("path")
+    if "size" not in recorded.columns:
+        recorded = recorded.withColumn("size", F.lit(None).cast("long"))
+    good = (F.col("now") == F.col("sha256")) & (F.col("size").isNull() | (F.col("size") == F.col("now_size")))
+    return recorded.join(now, "name", "left").select("name", "size", "sha256", F.coalesce(good, F.lit(False)).alias("verified"))
