@@ -35,7 +35,7 @@ rs AS (SELECT stream, idx, CASE WHEN NOT ok THEN 'failed' WHEN failed > coalesce
 LOST = """li AS (SELECT stream, min(idx) AS from_idx, count(*) AS skipped FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY idx) - row_number() OVER (PARTITION BY stream, state ORDER BY idx) AS g FROM rs)
 WHERE state = 'lost' GROUP BY stream, g)"""
 HASH = "h AS (SELECT vec_id, CAST(sum(CASE WHEN x > 0 THEN CASE WHEN i = 64 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << (i - 1)) END ELSE 0 END) AS BIGINT) AS hash FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY vec_id)"
-META = "m AS (SELECT source AS asset, CASE WHEN doc_id % 2 = 0 THEN 'container' ELSE 'track' END AS scope, lang AS key, CAST(n_chars // 1000 AS VARCHAR) AS value, doc_id AS idx FROM documents)"
+META = "m AS (SELECT doc_id % 150 AS asset, CASE WHEN (doc_id // 150) % 2 = 0 THEN 'container' ELSE 'track' END AS scope, lang AS key, CAST(n_chars // 1000 AS VARCHAR) AS value, doc_id AS idx FROM documents)"
 PAIRS = """l AS (SELECT o_custkey // 2 AS asset, o_orderstatus AS kind, row_number() OVER (PARTITION BY o_custkey // 2, o_orderstatus ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey AS left_index, o_orderpriority AS lp, CAST(floor(o_totalprice) AS BIGINT) AS lt FROM orders WHERE o_custkey % 2 = 0),
 r AS (SELECT o_custkey // 2 AS asset, o_orderstatus AS kind, row_number() OVER (PARTITION BY o_custkey // 2, o_orderstatus ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey AS right_index, o_orderpriority AS rp, CAST(floor(o_totalprice) AS BIGINT) AS rt FROM orders WHERE o_custkey % 2 = 1),
 p AS (SELECT coalesce(l.asset, r.asset) AS asset, coalesce(l.kind, r.kind) AS kind, coalesce(l.ordinal, r.ordinal) AS ordinal, left_index, right_index, lp, rp, lt, rt FROM l FULL JOIN r ON l.asset = r.asset AND l.kind = r.kind AND l.ordinal = r.ordinal)"""
@@ -135,23 +135,25 @@ SELECT b.stream, b.level, count(l.level) AS n FROM b LEFT JOIN l ON l.stream = b
     "histogram_summary": """WITH l AS (SELECT event_type AS stream, least(CAST(floor(value) AS BIGINT), 255) AS level FROM events), c AS (SELECT stream, level, count(*) AS n FROM l GROUP BY ALL)
 SELECT stream, round(sum(CASE WHEN level <= 2 THEN n ELSE 0 END) / sum(n), 6) AS black, round(sum(CASE WHEN level >= 253 THEN n ELSE 0 END) / sum(n), 6) AS white,
 min(level) AS lowest, max(level) AS highest, arg_max(level, n * 1000 - level) AS peak_level FROM c GROUP BY stream""",
-    "loudness_gate": """WITH b AS (SELECT user_id AS stream, value / 3 - 100 AS x FROM events), g AS (SELECT stream, avg(x) - 10 AS gate FROM b WHERE x > -70 GROUP BY stream),
-k AS (SELECT b.stream, avg(x) AS lufs, count(*) AS n FROM b JOIN g ON g.stream = b.stream WHERE x > -70 AND x > gate GROUP BY b.stream)
-SELECT s.stream, round(lufs, 6) AS lufs, coalesce(n, 0) AS blocks FROM (SELECT DISTINCT stream FROM b) s LEFT JOIN k ON k.stream = s.stream""",
-    "loudness_range": """SELECT user_id AS stream, round(greatest(quantile_cont(CAST(value / 3 - 100 AS DOUBLE), 0.95) - quantile_cont(CAST(value / 3 - 100 AS DOUBLE), 0.10), 0), 6) AS lra FROM events WHERE value / 3 - 100 > -70 GROUP BY user_id""",
+    "loudness_gate": """WITH b AS (SELECT user_id AS stream, CASE WHEN user_id % 7 = 0 THEN -80.0 ELSE value / 3 - 100 END AS x FROM events),
+l AS (SELECT stream, list(x) FILTER (x > -70) AS xs FROM b GROUP BY stream), g AS (SELECT stream, coalesce(xs, []) AS xs, list_avg(xs) AS mean FROM l),
+k AS (SELECT stream, xs, mean, list_filter(xs, lambda x: x > mean - 10) AS ys FROM g)
+SELECT stream, round(CASE WHEN len(xs) = 0 THEN -70 WHEN len(ys) = 0 THEN mean ELSE list_avg(ys) END, 6) AS lufs, CAST(CASE WHEN len(ys) = 0 THEN len(xs) ELSE len(ys) END AS BIGINT) AS blocks FROM k""",
+    "loudness_range": """SELECT user_id AS stream, round(greatest(quantile_cont(CAST(value / 3 - 100 AS DOUBLE), 0.95) - quantile_cont(CAST(value / 3 - 100 AS DOUBLE), 0.10), 0), 6) AS lra FROM events WHERE value / 3 - 100 > -70 AND user_id % 7 <> 0 GROUP BY user_id""",
     "block_spans": """WITH n AS (SELECT user_id AS stream, count(*) * 100 AS slots FROM events GROUP BY user_id)
 SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY s) - 1 AS block, s AS first_slot FROM (SELECT stream, unnest(range(0, slots - 1000 + 1, 250)) AS s FROM n WHERE slots >= 1000)""",
     "content_hash": "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents",
-    "integrity": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unverifiable' WHEN doc_id % 5 = 0 THEN 'hash_mismatch' ELSE 'intact' END AS state FROM documents""",
+    "integrity": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR text IS NULL THEN 'unverifiable' WHEN doc_id % 5 = 0 THEN 'modified' WHEN doc_id % 3 = 0 AND reverse(text) <> text THEN 'hash_mismatch' ELSE 'intact' END AS state FROM documents""",
     "asset_dedupe": "SELECT min(doc_id) AS id, sha256(text) AS sha256 FROM documents GROUP BY text",
     "metadata_conflicts": f"WITH {META} SELECT asset, key, count(*) AS entries, count(DISTINCT scope) AS scopes, count(DISTINCT value) AS \"values\" FROM m GROUP BY asset, key HAVING count(DISTINCT scope) >= 2 AND count(DISTINCT value) >= 2",
     "metadata_diff": f"""WITH {META}, a AS (SELECT asset, key, arg_min(value, idx) AS v FROM m WHERE scope = 'container' GROUP BY ALL), b AS (SELECT asset, key, arg_min(value, idx) AS v FROM m WHERE scope = 'track' GROUP BY ALL)
 SELECT coalesce(a.asset, b.asset) AS asset, coalesce(a.key, b.key) AS key, a.v AS left_value, b.v AS right_value, CASE WHEN b.asset IS NULL THEN 'only_left' WHEN a.asset IS NULL THEN 'only_right' WHEN a.v = b.v THEN 'equal' ELSE 'different' END AS verdict
 FROM a FULL JOIN b ON a.asset = b.asset AND a.key = b.key""",
-    "missing_creation": f"WITH {META} SELECT asset, count(*) AS entries FROM m GROUP BY asset HAVING NOT bool_or(lower(key) IN ('de', 'es'))",
-    "encoder_marks": """WITH t AS (SELECT page_id, html AS value FROM pages UNION ALL SELECT doc_id + 1000000, CASE WHEN doc_id % 4 = 0 THEN 'Lavf58 ' || source WHEN doc_id % 9 = 0 THEN 'x264 - core; HandBrake' ELSE source END FROM documents),
-n AS (SELECT * FROM (VALUES ('lavf', 'FFmpeg (libavformat)'), ('lavc', 'FFmpeg (libavcodec)'), ('ffmpeg', 'FFmpeg'), ('x264', 'x264'), ('x265', 'x265'), ('vlc', 'VLC'), ('handbrake', 'HandBrake'), ('mencoder', 'MEncoder'), ('nvenc', 'NVIDIA NVENC'), ('qsv', 'Intel Quick Sync'), ('amf', 'AMD AMF')) v(needle, encoder))
-SELECT DISTINCT page_id, needle, encoder FROM t JOIN n ON contains(lower(value), needle)""",
+    "missing_creation": f"WITH {META} SELECT asset, count(*) AS entries FROM m GROUP BY asset HAVING NOT bool_or(lower(key) = 'de')",
+    "encoder_marks": """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Lavf58 ' || source WHEN doc_id % 5 = 0 THEN 'x264 - core; HandBrake' ELSE source END AS value FROM documents WHERE doc_id % 4 IN (0, 1)),
+e AS (SELECT doc_id, unnest(CASE WHEN value LIKE 'Lavf%' THEN ['FFmpeg (libavformat)'] WHEN value LIKE 'x264%' THEN ['x264', 'HandBrake'] ELSE [] END) AS encoder, value AS observation FROM t)
+SELECT DISTINCT doc_id, encoder, observation, 'declared_tag' AS evidence, 'LOW' AS confidence FROM e
+UNION ALL SELECT doc_id, 'all-intra encoding', 'every sample in the track is a sync sample', 'structure', 'MEDIUM' FROM documents WHERE doc_id % 11 = 0""",
     "codec_families": """WITH c AS (SELECT p_partkey, ['avc1', 'HEVC', ' mp4a', 'sowt', 'vp09', 'zzz', '.mp3', 'Apch'][p_partkey % 8 + 1] AS name FROM part)
 SELECT p_partkey, name, CASE lower(trim(name)) WHEN 'avc1' THEN 'h264' WHEN 'hevc' THEN 'h265' WHEN 'mp4a' THEN 'aac' WHEN 'sowt' THEN 'pcm' WHEN 'vp09' THEN 'vp9' WHEN '.mp3' THEN 'mp3' WHEN 'apch' THEN 'prores' END AS family FROM c""",
     "stream_pairing": f"WITH {PAIRS} SELECT asset, kind, ordinal, left_index, right_index, left_index IS NOT NULL AND right_index IS NOT NULL AS matched FROM p",
@@ -226,6 +228,70 @@ SELECT p_partkey, CAST(greatest(0, least(255, floor((base + 409 * v) / 256.0)))
     "against_reference": """SELECT source AS case_id, CASE WHEN count(*) FILTER (doc_id % 45 = 0) = 1 THEN min(doc_id) FILTER (doc_id % 45 = 0) END AS reference_id, CASE WHEN count(*) FILTER (doc_id % 45 = 0) = 1 THEN min(sha256(text)) FILTER (doc_id % 45 = 0) END AS sha256,
 CASE count(*) FILTER (doc_id % 45 = 0) WHEN 0 THEN 'absent' WHEN 1 THEN 'designated' ELSE 'ambiguous' END AS state FROM documents GROUP BY source""",
     "severity_rollup": f"WITH {FINDINGS} SELECT severity, rule_id, count(*) AS findings FROM fn GROUP BY ROLLUP (severity, rule_id)",
+    "packet_damage": """SELECT l_orderkey AS stream, 'empty_sample' AS kind, CAST(l_linenumber AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS declared, CAST(NULL AS BIGINT) AS recovered, CAST(NULL AS BIGINT) AS missing FROM lineitem WHERE CAST(l_quantity AS BIGINT) % 10 = 0
+UNION ALL SELECT o_orderkey, 'declared_over_recovered', NULL, o_orderkey % 8, n, o_orderkey % 8 - n FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 5 <> 0 GROUP BY o_orderkey) WHERE n < o_orderkey % 8""",
+    "first_streams": "SELECT user_id AS asset, min(event_id) AS stream_index FROM events WHERE event_type = 'view' GROUP BY user_id",
+    "timeline_placement": f"WITH {TIMELINE} SELECT source, count(*) AS entries, count(time_us) AS placed, count(*) - count(time_us) AS unplaced, count(time_us) AS measured FROM tl GROUP BY source",
+    "metadata_lookup": f"WITH {META} SELECT asset, scope, key, value, idx FROM m WHERE key = 'de' AND scope = 'track'",
+    "shown_sizes": """SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size * 16 ELSE 1920 END AS BIGINT) AS width, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1080 ELSE 1088 END AS BIGINT) AS height,
+round(CASE WHEN p_partkey % 4 = 0 OR p_partkey % 5 = 0 THEN 1.0 ELSE CAST(p_size AS DOUBLE) / (p_partkey % 5) END, 6) AS aspect, CAST(CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS channels FROM part""",
+    "finding_ranges": """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_id * 1000 ELSE 0 END AS "first", CASE WHEN event_id % 2 = 0 THEN event_id * 2000 WHEN event_id % 3 <> 0 THEN event_id * 1000 ELSE 0 END AS "last" FROM events""",
+    "frame_infos": """WITH f AS (SELECT o_custkey AS asset, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderstatus = 'F'),
+o AS (SELECT o_custkey AS asset, o_orderpriority AS info, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderstatus = 'O')
+SELECT f.asset, o_orderkey AS stream_index, info FROM f JOIN o ON f.asset = o.asset AND f.i = o.i""",
+    "nearest_frame": """WITH e AS (SELECT user_id % 16 AS asset, event_id, epoch_us(ts) AS us, event_type FROM events), p AS (SELECT asset, event_id AS probe, us AS at_us FROM e WHERE event_type = 'purchase'),
+f AS (SELECT asset, us, min(event_id) AS idx FROM e WHERE event_type = 'view' GROUP BY ALL),
+c AS (SELECT p.*, f.idx, p.at_us - f.us AS far FROM p ASOF LEFT JOIN f ON p.asset = f.asset AND p.at_us >= f.us UNION ALL SELECT p.*, f.idx, f.us - p.at_us FROM p ASOF LEFT JOIN f ON p.asset = f.asset AND p.at_us <= f.us)
+SELECT asset, probe, at_us, idx FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY far NULLS LAST, idx) AS r FROM c) WHERE r = 1""",
+    "timeline_duration": "SELECT o_custkey AS asset, max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 40000 END) AS duration_us FROM orders GROUP BY o_custkey",
+    "unstable_axes": f"WITH {PAIRS}, {FIELDS} SELECT DISTINCT asset, axis FROM f WHERE verdict = 'different'",
+    "difference_order": f"""WITH {PAIRS}, {FIELDS} SELECT asset, kind, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN ordinal % 3 = 0 THEN 'other' ELSE axis END AS axis,
+CAST(CASE WHEN ordinal % 3 = 0 THEN 11 WHEN axis = 'codec' THEN 2 ELSE 6 END AS BIGINT) AS axis_order, field, verdict FROM f""",
+    "reorder_delays": "SELECT o_custkey AS stream, o_orderkey AS idx, o_orderkey % 3 * 50000 - 60000 AS delay_us FROM orders",
+    "reorder_summary": "SELECT o_custkey AS stream, count(*) AS frames, count(*) FILTER (o_orderkey % 3 = 2) AS reordered, max(o_orderkey % 3) * 50000 - 60000 AS longest_us FROM orders GROUP BY o_custkey",
+    "timestamp_anomalies": f"WITH {FRAMES}, {STEPS}, {MODAL}, {SCAN} SELECT * FROM scan UNION ALL SELECT stream, idx, 'non_monotonic_dts', previous, pts_us, NULL FROM st WHERE delta < 0",
+    "sync_flags": "SELECT o_orderkey, o_orderkey % 5 - 2 AS initial_us, (o_orderkey % 9 - 4) * 1000 AS drift_us, o_orderkey % 9 = 4 AS constant_offset, o_orderkey % 9 NOT IN (2, 3, 4, 5, 6) AS drifting FROM orders",
+    "chunk_levels": """WITH u AS (SELECT vec_id % 8 AS stream, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT stream, count(*) AS slots, round(max(abs(v)), 6) AS peak, round(sqrt(avg(v * v)), 6) AS rms, round(avg(v), 6) AS mean FROM u GROUP BY stream""",
+    "short_digests": "SELECT doc_id, left(sha256(text), 12) AS digest FROM documents",
+    "audio_sniff": "SELECT p_partkey, ['wav', 'unknown', 'Opus', 'vorbis', 'ogg', 'fLaC', 'unknown'][p_partkey % 7 + 1] AS codec FROM part",
+    "ycbcr_pixels": """WITH p AS (SELECT p_partkey, p_partkey * 7 % 256 AS r, p_partkey * 31 % 256 AS g, p_partkey * 101 % 256 AS b FROM part)
+SELECT p_partkey, least(greatest((19595 * r + 38470 * g + 7471 * b + 32768) >> 16, 0), 255) AS y, CAST(least(greatest(floor((-11056 * r - 21712 * g + 32768 * b + 8388608) / 65536), 0), 255) AS BIGINT) AS cb,
+CAST(least(greatest(floor((32768 * r - 27440 * g - 5328 * b + 8388608) / 65536), 0), 255) AS BIGINT) AS cr FROM p""",
+    "payload_rows": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 <> 0 AND event_id % 11 <> 0",
+    "unix_seconds": "SELECT event_id, epoch_us(ts) // 1000000 AS at FROM events",
+    "timeline_lines": f"WITH {TIMELINE} SELECT reference, CASE WHEN time_us IS NULL THEN 'unplaced' ELSE '00:00:01.500' END || ' [' || source || '] ' || summary AS line FROM tl",
+    "batch_verdict": "SELECT count(*) AS files, bool_and(c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AND c_custkey % 17 <> 0) AS all_passed, bool_and(c_custkey % 11 = 0 OR (c_custkey % 13 <> 0 AND c_custkey % 17 <> 0)) AS examined_everything, count(*) FILTER (c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 17 = 0) AS blocking FROM customer",
+    "stored_timeline": """SELECT row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR), o_orderkey) AS place, CAST(3 AS BIGINT) AS started_at, CAST(o_custkey AS VARCHAR) AS analysis_id, o_orderkey AS position, CAST(o_orderkey AS VARCHAR) AS id
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 7 = 3""",
+    "reduced_rationals": """WITH x AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_orderkey * 6 - 9000 AS n, CAST(l_linenumber AS BIGINT) * 4 - 8 AS d FROM lineitem)
+SELECT l_orderkey, line, CASE WHEN d <> 0 THEN n // gcd(n, d) * sign(d) END AS num, CASE WHEN d <> 0 THEN abs(d) // gcd(n, d) END AS den FROM x""",
+    "micros_as_ticks": "SELECT o_orderkey, CAST(trunc((o_orderkey - 7000)::HUGEINT * 1234567 * 90000 / 1000000::DECIMAL(38,0)) AS BIGINT) AS ticks FROM orders",
+    "container_names": r"""SELECT p_partkey, ['iso_bmff', 'iso_bmff', 'iso_bmff', 'matroska', 'matroska', 'wav', 'avi'][p_partkey % 7 + 1] AS family, '\(a\\b\) ' || p_name AS pdf FROM part""",
+    "checked_reference": """WITH a AS (SELECT doc_id % 100 AS case_id, count(*) FILTER (doc_id % 900 < 100) AS n, min(doc_id) FILTER (doc_id % 900 < 100) AS id FROM documents GROUP BY ALL)
+SELECT a.case_id, CASE WHEN n = 1 THEN id END AS reference_id, CASE WHEN n = 1 THEN sha256(text) END AS sha256, CASE WHEN n = 0 THEN 'absent' WHEN n > 1 THEN 'ambiguous' WHEN id % 2 = 0 THEN 'changed' ELSE 'designated' END AS state FROM a LEFT JOIN documents ON doc_id = id""",
+    "propagated_reviews": """WITH r AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderpriority, o_orderkey) AS note FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey)
+SELECT c_custkey AS id, coalesce(r.status, 'NEW') AS status, r.note FROM customer LEFT JOIN r ON o_custkey = c_custkey""",
+    "asset_hash_rows": "SELECT 'd' || doc_id AS name, '/in/' || doc_id AS source_path, CASE WHEN doc_id % 3 <> 0 THEN coalesce(sha256(text), '') ELSE '' END AS sha256, '' AS blake3, coalesce(CAST(strlen(text) AS VARCHAR), '') AS size_bytes FROM documents",
+    "every_rule": """WITH p AS (SELECT p_partkey AS k, p_size AS n FROM part), r AS (
+SELECT 'VIDEO.BITRATE_DROP' AS rule_id, 'WARNING' AS severity, 1 AS timed FROM p WHERE k % 7 = 0
+UNION ALL SELECT 'CONTAINER.TRUNCATED_MEDIA', 'CRITICAL', 1 FROM p WHERE n < 20 AND k % 4 = 0 UNION ALL SELECT 'CONTAINER.STRUCTURAL_DEFECT', 'WARNING', NULL FROM p WHERE n < 20 AND k % 4 <> 0
+UNION ALL SELECT 'CONTAINER.UNREADABLE_PACKET', 'SIGNIFICANT', NULL FROM p WHERE k % 9 = 0 UNION ALL SELECT 'VIDEO.DECODE_FAILURE', 'SIGNIFICANT', NULL FROM p WHERE k % 8 = 0
+UNION ALL SELECT 'VIDEO.GOP_LENGTH_CHANGE', 'SIGNIFICANT', 1 FROM p WHERE k % 6 = 0 UNION ALL SELECT 'VIDEO.DUPLICATE_FRAME_RUN', 'WARNING', 1 FROM p WHERE k % 5 >= 2
+UNION ALL SELECT 'TIMING.NON_MONOTONIC_PTS', 'SIGNIFICANT', 1 FROM p WHERE k % 4 = 1 UNION ALL SELECT 'TIMING.TIMESTAMP_GAP', 'WARNING', NULL FROM p WHERE k % 4 = 3
+UNION ALL SELECT 'TIMING.AV_SYNC_DRIFT', 'SIGNIFICANT', NULL FROM p WHERE abs(n - 25) * 200 >= 2000 UNION ALL SELECT 'METADATA.TIMESTAMP_CONFLICT', 'WARNING', NULL FROM p WHERE k % 11 = 0
+UNION ALL SELECT 'METADATA.DECLARED_VS_MEASURED_MISMATCH', 'WARNING', NULL FROM p WHERE k % 13 <> 0 AND abs(n * 20000 - 500000) > 100000 UNION ALL SELECT 'CONTAINER.NO_USABLE_STREAMS', 'SIGNIFICANT', NULL FROM p WHERE k % 4 = 0
+UNION ALL SELECT 'CONTAINER.MALFORMED_STRUCTURE', 'WARNING', NULL FROM p WHERE k % 10 = 0 UNION ALL SELECT 'AUDIO.CLIPPING', 'WARNING', NULL FROM p WHERE n / 50.0 >= 0.999
+UNION ALL SELECT 'AUDIO.DC_OFFSET', 'WARNING', NULL FROM p WHERE k % 9 = 0 AND n >= 1 UNION ALL SELECT 'AUDIO.SILENCE_REGION', 'WARNING', NULL FROM p WHERE n * 50 >= 1000
+UNION ALL SELECT 'CONTAINER.DECLARED_TRACK_MISMATCH', 'SIGNIFICANT', NULL FROM p WHERE CASE WHEN k % 3 = 0 THEN k % 6 - 1 ELSE 2 END <> k % 4 UNION ALL SELECT 'CONTAINER.STREAM_DURATION_MISSING', 'INFORMATIONAL', NULL FROM p WHERE k % 13 = 0
+UNION ALL SELECT 'CONTAINER.STREAM_START_OFFSET', 'INFORMATIONAL', NULL FROM p WHERE k % 17 = 0 OR k % 19 = 0 UNION ALL SELECT 'CONTAINER.PARSE_ANOMALY', 'WARNING', NULL FROM p, (VALUES (1), (2)) WHERE k % 10 = 0
+UNION ALL SELECT 'VIDEO.SINGLE_KEYFRAME', 'WARNING', NULL FROM p WHERE k % 4 = 1 UNION ALL SELECT 'VIDEO.ALL_FRAMES_KEYFRAMES', 'INFORMATIONAL', NULL FROM p WHERE k % 5 <> 0 AND k % 3 = 0
+UNION ALL SELECT 'VIDEO.FRAME_RATE_CHANGE', 'INFORMATIONAL', 1 FROM p WHERE k % 12 = 0 UNION ALL SELECT 'AUDIO.INAUDIBLE', 'WARNING', NULL FROM p WHERE n >= 35 UNION ALL SELECT 'METADATA.MISSING_CREATION_TIME', 'INFORMATIONAL', NULL FROM p WHERE k % 14 = 0
+UNION ALL SELECT 'VIDEO.SCENE_CHANGE', 'INFORMATIONAL', NULL FROM p WHERE n >= 30 UNION ALL SELECT 'VIDEO.NEAR_DUPLICATE_FRAME', 'INFORMATIONAL', NULL FROM p WHERE k % 15 = 0 UNION ALL SELECT 'VIDEO.HDR_METADATA_MISSING', 'WARNING', NULL FROM p WHERE k % 7 = 0 AND k % 2 <> 0)
+SELECT rule_id, severity, count(*) AS findings, count(*) AS ids, count(timed) AS timed FROM r GROUP BY ALL""",
+    "finding_ids": """WITH f AS (SELECT CAST(p_partkey AS VARCHAR) AS asset_id, 'CONTAINER.NO_USABLE_STREAMS' AS rule_id, 1 AS rank FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'AUDIO.INAUDIBLE', 2 FROM part WHERE p_size >= 35),
+i AS (SELECT *, left(sha256(rule_id || chr(31) || asset_id || chr(31) || chr(31) || chr(31) || '-1'), 32) AS id FROM f)
+SELECT row_number() OVER (ORDER BY rank, rule_id, id) AS place, asset_id, rule_id, id FROM i""",
 }
 
 

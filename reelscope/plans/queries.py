@@ -72,9 +72,8 @@ def sample_times(spark, d):
 
 @query
 def measured_duration(spark, d):
-    """Sum of count times step, and the step if all agree."""
     runs = A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("stream"), F.col("l_quantity").cast("long").alias("n"), F.col("l_linenumber").cast("long").alias("delta"))
-    return runs.groupBy("stream").agg(F.sum(F.col("n") * F.col("delta")).alias("duration"), F.when(F.min("delta") == F.max("delta"), F.min("delta")).alias("step"))
+    return timing.measured_duration(runs, S)
 
 
 # video
@@ -139,7 +138,7 @@ def scene_changes(spark, d):
 @query
 def largest_scene_change(spark, d):
     out = video.scene_changes(A.planes(spark, d), S, 0.25).withColumn("mean_abs", F.round("mean_abs", 6))
-    return out.groupBy("stream").agg(F.max("mean_abs").alias("mean_abs"), F.max_by("idx", F.struct("mean_abs", -F.col("idx"))).alias("idx"))
+    return video.largest_scene(out, S)
 
 
 @query
@@ -222,7 +221,8 @@ def histogram_summary(spark, d):
 
 
 def _blocks(spark, d):
-    return A.read(spark, d, "events").select(F.col("user_id").alias("stream"), (F.col("value") / 3 - 100).alias("loudness"))
+    level = F.when(F.col("user_id") % 7 == 0, F.lit(-80.0)).otherwise(F.col("value") / 3 - 100)
+    return A.read(spark, d, "events").select(F.col("user_id").alias("stream"), level.alias("loudness"))
 
 
 @query
@@ -251,12 +251,10 @@ def content_hash(spark, d):
 
 @query
 def integrity(spark, d):
-    """Recorded hashes against the texts at hand: intact, hash_mismatch, or unverifiable where nothing was recorded."""
-    now = content_hash(spark, d)
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    then = A.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.sha2(text.cast("binary"), 256)).alias("recorded"))
-    out = now.join(then, "doc_id", "left")
-    return out.select("doc_id", F.when(F.col("recorded").isNull(), "unverifiable").when(F.col("recorded") == F.col("sha256"), "intact").otherwise("hash_mismatch").alias("state"))
+    """Recorded hashes and sizes against the texts at hand."""
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).when(F.col("doc_id") % 3 == 0, F.reverse("text")).otherwise(F.col("text"))
+    then = A.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.sha2(text.cast("binary"), 256)).alias("sha256"), F.octet_length(text).cast("long").alias("size"))
+    return compare.integrity(content_hash(spark, d), then, ["doc_id"])
 
 
 @query
@@ -277,14 +275,15 @@ def metadata_diff(spark, d):
 
 @query
 def missing_creation(spark, d):
-    return metadata.missing_creation(A.metadata(spark, d), ["asset"], ("de", "es"))
+    return metadata.missing_creation(A.metadata(spark, d), ["asset"], ("de",))
 
 
 @query
 def encoder_marks(spark, d):
-    rows = A.read(spark, d, "pages").select("page_id", F.col("html").alias("value"))
-    parts = A.read(spark, d, "documents").select((F.col("doc_id") + 1_000_000).alias("page_id"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Lavf58 "), F.col("source"))).when(F.col("doc_id") % 9 == 0, F.lit("x264 - core; HandBrake")).otherwise(F.col("source")).alias("value"))
-    return metadata.encoder_marks(rows.unionByName(parts), ["page_id"])
+    key = F.element_at(F.array(*[F.lit(x) for x in ("\u00a9too", "too", "\u00a9nam", "comment")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    value = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Lavf58 "), F.col("source"))).when(F.col("doc_id") % 5 == 0, F.lit("x264 - core; HandBrake")).otherwise(F.col("source"))
+    docs = A.read(spark, d, "documents")
+    return metadata.encoder_marks(docs.select("doc_id", key.alias("key"), value.alias("value")), ["doc_id"], all_intra=docs.where("doc_id % 11 = 0").select("doc_id"))
 
 
 @query
@@ -343,11 +342,8 @@ def within_tolerance(spark, d):
 
 @query
 def packet_counts(spark, d):
-    """Declared against recovered packets of each stream."""
-    declared = A.read(spark, d, "orders").select(F.col("o_orderkey").alias("stream"), (F.col("o_orderkey") % 8).alias("declared"))
-    got = A.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("stream")).agg(F.count(F.lit(1)).alias("recovered"))
-    out = declared.join(got, "stream", "left").withColumn("recovered", F.coalesce("recovered", F.lit(0)))
-    return out.where("declared > recovered").select("stream", "declared", "recovered", (F.col("declared") - F.col("recovered")).alias("missing"))
+    declared = A.read(spark, d, "orders").select(F.col("o_orderkey").alias("stream"), (F.col("o_orderkey") % 8).alias("packet_count"))
+    return video.recovered_counts(A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("stream")), declared, S)
 
 
 # delivery
@@ -640,3 +636,229 @@ def evidence_links(spark, d):
 def against_reference(spark, d):
     a = A.read(spark, d, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 45 == 0, "reference").alias("role"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     return store.designated_reference(a)
+
+
+# further views, comparisons and scalar functions
+
+
+@query
+def packet_damage(spark, d):
+    declared = A.read(spark, d, "orders").select(F.col("o_orderkey").alias("stream"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 8).alias("packet_count"))
+    got = A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("stream"), F.col("l_linenumber").alias("idx"), (F.col("l_quantity").cast("long") % 10).alias("size"))
+    return video.packet_damage(got, declared, S)
+
+
+@query
+def first_streams(spark, d):
+    rows = A.read(spark, d, "events").select(F.col("user_id").alias("asset"), F.col("event_type").alias("kind"), F.col("event_id").alias("stream_index"))
+    return video.first_of_kind(rows, ["asset"], "view").select("asset", "stream_index")
+
+
+@query
+def timeline_placement(spark, d):
+    return views.placement(_timeline(spark, d))
+
+
+@query
+def metadata_lookup(spark, d):
+    return metadata.lookup(A.metadata(spark, d), key="de", scope="track").select("asset", "scope", "key", "value", "idx")
+
+
+@query
+def shown_sizes(spark, d):
+    cropped = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") * 16)
+    size = M.shown_size(cropped, F.when(F.col("p_partkey") % 2 == 0, F.lit(1080)), F.lit(1920), F.lit(1088))
+    aspect = M.pixel_aspect(F.when(F.col("p_partkey") % 4 != 0, F.col("p_size")), F.col("p_partkey") % 5)
+    return A.read(spark, d, "part").select("p_partkey", size.alias("x"), F.round(aspect, 6).alias("aspect"), M.channel_count(F.when(F.col("p_partkey") % 2 == 0, F.lit(2))).alias("channels")).select("p_partkey", F.col("x.width").cast("long").alias("width"), F.col("x.height").cast("long").alias("height"), "aspect", F.col("channels").cast("long").alias("channels"))
+
+
+@query
+def finding_ranges(spark, d):
+    x = M.finding_range(F.when(F.col("event_id") % 3 != 0, F.col("event_id") * 1000), F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 2000))
+    return A.read(spark, d, "events").select("event_id", x.alias("x")).select("event_id", "x.first", "x.last")
+
+
+@query
+def frame_infos(spark, d):
+    o = A.read(spark, d, "orders").select(F.col("o_custkey").alias("asset"), F.col("o_orderkey").alias("stream_index"), "o_orderstatus", "o_orderpriority")
+    infos = o.where("o_orderstatus = 'O'").select("asset", "stream_index", F.col("o_orderpriority").alias("info"))
+    return video.zip_streams(o.where("o_orderstatus = 'F'").select("asset", "stream_index"), infos, ["asset"])
+
+
+@query
+def nearest_frame(spark, d):
+    e = A.read(spark, d, "events").select((F.col("user_id") % 16).alias("asset"), F.col("event_id"), M.micros("ts").alias("us"), "event_type")
+    return views.nearest_frame(e.where("event_type = 'purchase'").select("asset", F.col("event_id").alias("probe"), F.col("us").alias("at_us")), e.where("event_type = 'view'").select("asset", F.col("event_id").alias("idx"), F.col("us").alias("pts_us")), ["asset"])
+
+
+@query
+def timeline_duration(spark, d):
+    rows = A.read(spark, d, "orders").select(F.col("o_custkey").alias("asset"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") * 40_000).alias("measured_us"))
+    return views.timeline_duration(rows, ["asset"])
+
+
+@query
+def unstable_axes(spark, d):
+    return compare.unstable_axes(field_diff(spark, d), ["asset"])
+
+
+@query
+def difference_order(spark, d):
+    fields = field_diff(spark, d).withColumn("axis", F.when(F.col("ordinal") % 3 == 0, "other").otherwise(F.col("axis")))
+    return compare.difference_order(fields).select("asset", "kind", "ordinal", "axis", F.col("axis_order").cast("long").alias("axis_order"), "field", "verdict")
+
+
+def _decoded(spark, d):
+    key = F.col("o_orderkey")
+    return A.read(spark, d, "orders").select(F.col("o_custkey").alias("stream"), key.alias("idx"), (key * 40_000 + key % 3 * 50_000).alias("pts_us"), (key * 40_000 + 60_000).alias("dts_us"))
+
+
+@query
+def reorder_delays(spark, d):
+    return video.reorder(_decoded(spark, d), S).select("stream", "idx", "delay_us")
+
+
+@query
+def reorder_summary(spark, d):
+    return video.reorder_summary(_decoded(spark, d), S)
+
+
+@query
+def timestamp_anomalies(spark, d):
+    return timing.anomalies(A.frames(spark, d), S, A.DAY * 30)
+
+
+@query
+def sync_flags(spark, d):
+    rows = A.read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 5 - 2).alias("initial_us"), ((F.col("o_orderkey") % 9 - 4) * 1000).alias("drift_us"))
+    return timing.sync_flags(rows, 2000)
+
+
+@query
+def chunk_levels(spark, d):
+    chunks = A.read(spark, d, "embeddings").select((F.col("vec_id") % 8).alias("stream"), F.col("embedding").alias("pcm"))
+    return audio.chunk_levels(chunks, S).select("stream", "slots", *[F.round(c, 6).alias(c) for c in ("peak", "rms", "mean")])
+
+
+@query
+def short_digests(spark, d):
+    return content_hash(spark, d).select("doc_id", M.short_digest(F.col("sha256")).alias("digest"))
+
+
+@query
+def audio_sniff(spark, d):
+    head = F.element_at(F.array(*[F.lit(x) for x in ("RIFF1234WAVEfmt ", "RIFF1234AVI fmt ", "OggS1234OpusHead", "OggS1234 vorbis", "OggS12345678", "fLaC1234", "ID3")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return A.read(spark, d, "part").select("p_partkey", M.sniff_audio(head.cast("binary")).alias("codec"))
+
+
+@query
+def ycbcr_pixels(spark, d):
+    at = lambda k: (F.col("p_partkey") * k % 256).cast("int")
+    return A.read(spark, d, "part").select("p_partkey", M.rgb_to_ycbcr(at(7), at(31), at(101)).alias("x")).select("p_partkey", *[F.col(f"x.{c}").cast("long").alias(c) for c in ("y", "cb", "cr")])
+
+
+@query
+def payload_rows(spark, d):
+    payload = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).when(F.col("event_id") % 11 != 0, F.col("props"))
+    return store.from_payload(A.read(spark, d, "events").select("event_id", payload.alias("payload")), "k long")
+
+
+@query
+def unix_seconds(spark, d):
+    return A.read(spark, d, "events").select("event_id", M.unix_seconds("ts").alias("at"))
+
+
+@query
+def timeline_lines(spark, d):
+    t = _timeline(spark, d).withColumn("time_us", F.when(F.col("time_us").isNotNull(), F.lit(1_500_000).cast("long")))
+    return t.select("reference", M.describe_entry(F.col("time_us"), F.col("source"), F.col("summary")).alias("line"))
+
+
+@query
+def batch_verdict(spark, d):
+    status = F.when(F.col("c_custkey") % 11 == 0, "FAIL").when(F.col("c_custkey") % 13 == 0, "SKIPPED").when(F.col("c_custkey") % 17 == 0, "UNREADABLE").otherwise("PASS")
+    return views.batch_verdict(A.read(spark, d, "customer").select(status.alias("status")))
+
+
+@query
+def stored_timeline(spark, d):
+    runs = A.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), (F.col("c_custkey") % 7).alias("started_at"))
+    entries = A.read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("analysis_id"), F.col("o_orderkey").alias("position"), F.col("o_orderkey").cast("string").alias("id"))
+    at = Window.orderBy("started_at", "analysis_id", "position", "id")
+    return store.stored_timeline(entries, runs).where("started_at = 3").withColumn("place", F.row_number().over(at).cast("long")).select("place", "started_at", "analysis_id", "position", "id")
+
+
+@query
+def reduced_rationals(spark, d):
+    x = M.reduced(F.col("l_orderkey") * 6 - 9000, F.col("l_linenumber").cast("long") * 4 - 8)
+    return A.read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), x.alias("x")).distinct().select("l_orderkey", "line", "x.num", "x.den")
+
+
+@query
+def micros_as_ticks(spark, d):
+    return A.read(spark, d, "orders").select("o_orderkey", M.micros_to_ticks((F.col("o_orderkey") - 7000) * 1_234_567, F.lit(90_000)).alias("ticks"))
+
+
+@query
+def container_names(spark, d):
+    name = F.element_at(F.array(*[F.lit(x) for x in ("MP4", "isobmff", "3g2", "mkv", "WebM", "wav", "AVI")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return A.read(spark, d, "part").select("p_partkey", M.container_family(name).alias("family"), M.pdf_escape(F.concat(F.lit("(a\\b) "), F.col("p_name"))).alias("pdf"))
+
+
+@query
+def checked_reference(spark, d):
+    now = A.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary"), 256).alias("sha256"))
+    assets = A.read(spark, d, "documents").select((F.col("doc_id") % 100).alias("case_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 900 < 100, "reference").alias("role"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return store.check_reference(store.designated_reference(assets), now)
+
+
+@query
+def propagated_reviews(spark, d):
+    cached = A.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("NEW").alias("status"), F.lit(None).cast("string").alias("note"))
+    reviews = A.read(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("finding_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("note"))
+    return store.propagate_reviews(cached, reviews)
+
+
+@query
+def asset_hash_rows(spark, d):
+    from reelscope.sinks.report import asset_hashes
+
+    rows = content_hash(spark, d).select(F.concat(F.lit("d"), "doc_id").alias("name"), F.concat(F.lit("/in/"), "doc_id").alias("source_path"), F.when(F.col("doc_id") % 3 != 0, F.col("sha256")).alias("sha256"), F.lit(None).cast("string").alias("blake3"), F.col("size").alias("size_bytes"))
+    return asset_hashes(rows)
+
+
+def _everything(spark, d):
+    """Every input of every rule, as a projection of the parts: a third to a tenth of the rows give a finding each."""
+    k, n, c = F.col("p_partkey"), F.col("p_size"), lambda x: F.lit(x).cast("long")
+    p = A.read(spark, d, "part").select("p_partkey", "p_size", k.cast("string").alias("asset_id"), F.lit(0).alias("stream_index"))
+    t = lambda *columns: p.select("asset_id", "stream_index", *columns)
+    some = lambda m: p.where(k % m == 0)
+    return {
+        "bitrate": some(7).select("asset_id", "stream_index", n.alias("idx"), c(5).alias("start_us"), c(9).alias("end_us"), (n * 1.0).alias("bits")),
+        "damage": t(n.alias("offset"), (k % 4 == 0).alias("is_missing_data"), (k * 10).alias("at_us")).where("offset < 20"),
+        "packet_damage": some(9).select("asset_id", "stream_index", F.lit("empty_sample").alias("kind"), n.alias("idx")), "decode_damage": some(8).select("asset_id", "stream_index", n.alias("idx")),
+        "gop_changes": some(6).select("asset_id", "stream_index", c(1).alias("gop"), c(12).alias("previous_length"), n.alias("length"), k.alias("start_us")),
+        "repeated_runs": t(c(3).alias("first_idx"), (k % 5).alias("length"), (k % 2 == 0).alias("all_key"), c(40_000).alias("start_us")),
+        "timestamps": t(F.element_at(F.array(*[F.lit(x) for x in ("negative", "non_monotonic", "overlap", "gap")]), (k % 4 + 1).cast("int")).alias("kind"), k.alias("idx"), n.alias("observed"), n.alias("size")),
+        "sync": p.select("asset_id", ((n - 25) * 200).alias("drift_us")), "metadata_conflicts": some(11).select("asset_id", F.lit("title").alias("key"), c(2).alias("values")),
+        "streams": t(F.when(k % 5 == 0, F.lit("audio")).otherwise("video").alias("kind"), F.when(k % 13 != 0, n * 20_000).alias("duration_us"), c(500_000).alias("measured_us"), F.when(k % 17 == 0, c(5000)).otherwise(c(0)).alias("start_us"), F.when(k % 19 == 0, c(-9000)).alias("edit_us"), (k % 3 == 0).alias("all_key"), (k % 7 == 0).alias("is_hdr"), F.when(k % 2 == 0, F.lit("mdcv")).alias("hdr_metadata")),
+        "containers": p.select("asset_id", (k % 4).alias("stream_count"), c(2).alias("declared_track_count"), F.when(k % 3 == 0, k % 6).alias("declared_next_track_id"), F.when(k % 10 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("anomalies")),
+        "levels": p.select("asset_id", (n / 50).alias("peak"), (F.when(k % 9 == 0, n / 1000).otherwise(0.0)).alias("mean")), "silence": p.select("asset_id", c(7).alias("first_slot"), (n * 50).alias("length")),
+        "gop_summary": t((k % 4).alias("gops")), "rate_changes": some(12).select("asset_id", "stream_index", n.alias("delta"), k.alias("pts_us")), "loudness": p.select("asset_id", (-n * 2.0).alias("lufs")),
+        "missing_creation": some(14).select("asset_id", c(3).alias("entries")), "scenes": t(n.alias("idx"), (n * 2.0).alias("mean_abs")), "near_duplicates": some(15).select("asset_id", "stream_index", n.alias("a"), (n + 1).alias("b")),
+    }
+
+
+@query
+def every_rule(spark, d):
+    """How many findings each of the rules gives, and the severities."""
+    return rules.evaluate(_everything(spark, d)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("id").alias("ids"), F.count("start_us").alias("timed"))
+
+
+@query
+def finding_ids(spark, d):
+    """Ids and the place in the order of findings without a time."""
+    only = [r for r in rules.RULES if r.id in ("CONTAINER.NO_USABLE_STREAMS", "AUDIO.INAUDIBLE")]
+    found = rules.evaluate(_everything(spark, d), rules=only)
+    at = Window.orderBy("severity_rank", "rule_id", F.coalesce("start_us", F.lit(0)), "id")
+    return rules.ordered(found).withColumn("place", F.row_number().over(at).cast("long")).select("place", "asset_id", "rule_id", "id")
