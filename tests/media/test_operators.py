@@ -119,13 +119,15 @@ def test_loudness_of_tones(spark):
     t = np.arange(48_000) / 48_000
     tone = np.sin(2 * np.pi * 997 * t)
     assert audio.block_loudness(tone, 1).mean() == pytest.approx(-3.01, abs=0.1)  # full-scale sine
+    slow = audio._biquad(audio._biquad(tone[:19_200], audio.STAGE_1), audio.STAGE_2)  # the filters sample by sample
+    assert audio.block_loudness(tone, 1)[0] == pytest.approx(-0.691 + 10 * np.log10((slow**2).mean()), abs=1e-9)
     assert audio.block_loudness(tone * 0.1, 1).mean() == pytest.approx(-23.01, abs=0.1)
     rows = [("tone", 48_000, 1, tone.tolist()), ("short", 48_000, 1, [0.0] * 100), ("slow", 44_100, 1, tone.tolist()), ("silent", 48_000, 2, [0.0] * 48_000)]
     df = spark.createDataFrame(rows, "asset_id string, sample_rate int, channels int, pcm array<float>")
     blocks = audio.loudness_blocks(df).cache()
     assert {r.asset_id: r.reason for r in blocks.where("reason is not null").collect()} == {"short": "too_short", "slow": "unsupported_rate"}
     out = {r.asset_id: r.lufs for r in audio.integrated_loudness(blocks.where("reason is null"), ["asset_id"]).collect()}
-    assert out["tone"] == pytest.approx(-3.01, abs=0.1) and out["silent"] is None
+    assert out["tone"] == pytest.approx(-3.01, abs=0.1) and out["silent"] == -70
     spectrum = {r.asset_id: r for r in audio.spectrum(df).collect()}
     assert abs(spectrum["tone"].peak_hz - 997) < 24 and spectrum["short"].frames == 0 and spectrum["tone"].low_ratio < 0.01
 
@@ -215,3 +217,141 @@ def test_reports_lose_no_rows_in_silence(spark):
     page = report.render_html("t", {"findings": df}, most=3)
     assert "3 of 10050 rows shown" in page and page.index("10049") < page.index("WARNING") and page.count("<tr>") == 4
     assert "rows shown" not in report.render_html("t", {"findings": df.limit(3)}, most=3)
+
+
+def test_loudness_by_hops_equals_that_of_whole_streams(spark):
+    rng = np.random.default_rng(1)
+    pcm = (rng.normal(size=2 * 60_000) * 0.1).astype(np.float32)
+    rows, at = [], 0
+    for n in (10_000, 2, 47_998, 30_000, 32_000):
+        rows.append(("a", 2, 48_000, at, pcm[at : at + n].tolist()))
+        at += n
+    rows.append(("slow", 1, 44_100, 0, [0.1] * 44_100))
+    chunks = spark.createDataFrame(rows, "asset_id string, channels int, sample_rate int, first_slot long, pcm array<float>")
+    got = {r.block: r.loudness for r in audio.hop_loudness(audio.hops(chunks)).collect()}
+    whole = audio.block_loudness(pcm, 2)
+    assert len(got) == len(whole) == 9 and [got[i] for i in range(9)] == pytest.approx(list(whole), abs=1e-9)
+    levels = audio.chunk_levels(chunks, ["asset_id"]).where("asset_id = 'a'").first()
+    assert levels.peak == pytest.approx(float(np.abs(pcm).max())) and levels.slots == len(pcm) and levels.mean == pytest.approx(float(pcm.mean()), abs=1e-7)
+    assert sorted(r.slot for r in audio.slots_of(chunks.where("asset_id = 'a'"), ["asset_id"]).collect()) == list(range(len(pcm)))
+
+
+def test_gates_of_loudness(spark):
+    rows = [("silent", -70.0), ("silent", -80.0), ("loud", -20.0), ("loud", -22.0), ("loud", -50.0), ("loud", -90.0)]
+    out = {r.k: (r.lufs, r.blocks) for r in audio.integrated_loudness(spark.createDataFrame(rows, "k string, loudness double"), ["k"]).collect()}
+    assert out == {"silent": (-70.0, 0), "loud": (-21.0, 2)}
+
+
+def test_colours(spark):
+    from pyspark.sql import functions as F
+
+    y, u, v = bytes([16, 81, 145, 235]), bytes([90]), bytes([240])
+    rows = [
+        ("p420", "yuv420p", 2, 2, y + u + v), ("p422", "yuv422p", 2, 2, y + u * 2 + v * 2), ("p444", "yuv444p", 2, 2, y + u * 4 + v * 4), ("rgb", "rgb24", 1, 2, b"abcdef"), ("bgr", "bgr24", 1, 2, b"abcdef"),
+        ("gray", "gray8", 2, 1, b"az"), ("none", "yuv420p", 0, 2, y), ("cut", "yuv420p", 2, 2, y), ("odd", "nv12", 2, 2, y), ("null", "rgb24", 1, 1, None),
+    ]
+    got = {r.id: r for r in images.to_rgb(spark.createDataFrame([(a, b, c, d, None if e is None else bytearray(e)) for a, b, c, d, e in rows], "id string, format string, width int, height int, data binary"), ["id"]).collect()}
+
+    def pixel(luma):
+        c, d, e = 298 * (luma - 16), 90 - 128, 240 - 128
+        return [min(max((x + 128) >> 8, 0), 255) for x in (c + 409 * e, c - 100 * d - 208 * e, c + 516 * d)]
+
+    expected = bytes(sum((pixel(x) for x in y), []))
+    assert bytes(got["p420"].rgb) == bytes(got["p422"].rgb) == bytes(got["p444"].rgb) == expected and got["p420"].matrix == "BT.601"
+    assert bytes(got["rgb"].rgb) == b"abcdef" and bytes(got["bgr"].rgb) == b"cbafed" and bytes(got["gray"].rgb) == b"aaazzz"
+    assert [got[k].error for k in ("none", "cut", "odd", "null")] == ["empty frame", "plane size mismatch", "unsupported format", "plane size mismatch"]
+    at = lambda x, y: images.pixel_at(F.lit(bytearray(b"abcdef")), F.lit(1), F.lit(2), F.lit(x), F.lit(y))
+    row = spark.range(1).select(at(0, 1).alias("a"), at(1, 0).alias("b"), images.pixel_at(F.lit(bytearray(b"abc")), F.lit(1), F.lit(2), F.lit(0), F.lit(0)).alias("c")).first()
+    assert tuple(row.a) == (100, 101, 102) and row.b is None and row.c is None
+
+
+def test_whole_files_are_compared(spark):
+    from reelscope.operators import compare
+
+    def side(width, title, scenes, lufs, method="ITU-R BS.1770-4"):
+        return {
+            "streams": spark.createDataFrame([("p", 0, "video", "avc1", width), ("p", 1, "audio", "mp4a", None)], "pair string, stream_index int, kind string, codec string, width int"),
+            "metadata": spark.createDataFrame([("p", "title", title, 0)], "pair string, key string, value string, idx int"), "scenes": spark.createDataFrame([("p", scenes)], "pair string, n long"),
+            "measurements": spark.createDataFrame([("p", lufs, method)], "pair string, value double, method string"),
+        }
+
+    def told(a, b):
+        out = compare.compare_files(a, b, ["pair"])
+        rows = {(r.axis, r.field): r.verdict for r in out.collect()}
+        return rows, {r.axis for r in compare.unstable_axes(out, ["pair"]).collect()}, compare.overall(out, ["pair"]).first().outcome
+
+    rows, axes, outcome = told(side(640, "a", 3, -23.0), side(640, "a", 4, -23.4))
+    assert axes == set() and outcome == "INCOMPLETE" and rows["scene_structure", "scene_changes"] == rows["loudness", "integrated_loudness"] == rows["stream_layout", "stream_layout"] == "equal"
+    rows, axes, outcome = told(side(640, "a", 3, -23.0), side(320, "b", 5, -23.0, "EBU R128 LRA"))
+    assert axes == {"video_format", "metadata", "scene_structure"} and outcome == "DIFFERENT" and rows["loudness", "integrated_loudness"] == "not_comparable"
+    with pytest.raises(ValueError):
+        compare.compare_files({}, side(1, "a", 1, 0.0), ["pair"])
+
+
+def test_reads_of_the_case_store(spark, tmp_path):
+    s = store.CaseStore(spark, str(tmp_path / "case"))
+    s.insert("cases", spark.createDataFrame([("c1", "one", None)], store.TABLES["cases"]))
+    s.insert("assets", spark.createDataFrame([("a", "c1", "p", 1, "x", None), ("b", "c1", "q", 1, "y", None)], store.TABLES["assets"]))
+    s.insert("analyses", spark.createDataFrame([("n1", "c1", "a", "done", 5, "p", "f", 6), ("n2", "c1", "a", "done", 9, "p", "f", 6)], store.TABLES["analyses"]))
+    s.insert("findings", spark.createDataFrame([("n1", "f1", "R", "WARNING", "s", "{}"), ("n2", "f2", "R", "WARNING", "s", "{}"), ("n2", "f3", "R", "CRITICAL", "s", "{}")], store.TABLES["findings"]))
+    s.insert("timeline_entries", spark.createDataFrame([("n2", 1, "t1", None, "finding", "{}"), ("n2", 0, "t2", 5, "finding", "{}"), ("n1", 0, "t3", 5, "finding", "{}")], store.TABLES["timeline_entries"]))
+    s.note("c1", "on the case")
+    s.note("c1", "on f2", "finding", "f2")
+    s.review("f2", "CONFIRMED", "first", 1)
+    s.review("f2", "DISMISSED", "second", 2)
+    assert [r.note for r in s.reviews_of("f2").collect()] == ["first", "second"] and [r.text for r in s.notes_of("c1").collect()] == ["on the case", "on f2"]
+    assert [r.text for r in s.notes_of(subject_kind="finding", subject_id="f2").collect()] == ["on f2"]
+    report_ = s.load_report("c1")
+    assert [r.id for r in report_["findings"].collect()] == ["f3", "f2"] and [r.id for r in report_["timeline"].collect()] == ["t2", "t1"]
+    assert [r.id for r in report_["analyses"].collect()] == ["n2"] and [r.id for r in report_["assets"].collect()] == ["a", "b"]
+    hits = spark.createDataFrame([("finding", str(i), "t", 0) for i in range(5)], "arm string, id string, title string, rank int")
+    assert [store.truncated(hits, n)[1] for n in (4, 5, 6)] == [True, False, False] and store.truncated(hits, 2)[0].count() == 2
+    payload = store.to_payload(spark.createDataFrame([(1, 2, "x")], "id long, n long, t string"), ["id"])
+    assert tuple(store.from_payload(payload, "n long, t string").first()) == (1, 2, "x")
+    cache = store.Cache(spark, str(tmp_path / "cache"))
+    assert cache.get("1", "sha", "p", ["b", "a"]) is None
+    cache.put("1", "sha", "p", ["b", "a"], {"x": 1})
+    cache.put("1", "sha", "p", ["a", "b"], {"x": 2})
+    assert cache.get("1", "sha", "p", ["b", "a"]) == {"x": 2} and cache.get("2", "sha", "p", ["a", "b"]) is None
+    entry = next((tmp_path / "cache").glob("*.json"))
+    entry.write_text("{half")
+    (entry.parent / f".{entry.name}.crc").unlink(missing_ok=True)
+    assert cache.get("1", "sha", "p", ["a", "b"]) is None and not entry.exists()
+    (tmp_path / "m.json").write_text('{"id": "c1", "name": "one", "schema_version": 6, "assets": [{"id": "a", "size": 3}]}')
+    assert store.load_manifests(spark, str(tmp_path / "m.json")).first().assets[0].size == 3
+
+
+def test_evidence_is_told_apart_by_folder(spark, tmp_path):
+    import hashlib
+
+    rows = [("one/frame.png", bytearray(b"first")), ("two/frame.png", bytearray(b"second")), ("../up.png", bytearray(b"third"))]
+    kept = report.store_evidence(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path)).collect()
+    assert {(r.name, r.verified) for r in kept} == {("one/frame.png", True), ("two/frame.png", True), ("up.png", True)}
+    (tmp_path / "up.png").write_bytes(b"thirst")
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    recorded = [("one/frame.png", 5, sha(b"first")), ("two/frame.png", 6, sha(b"first")), ("up.png", 6, sha(b"third")), ("gone.png", 1, sha(b"")), ("one/frame.png", 9, sha(b"first"))]
+    got = report.verify_evidence(spark.createDataFrame(recorded, "name string, size long, sha256 string"), str(tmp_path)).collect()
+    assert {(r.name, r.size, r.verified) for r in got} == {("one/frame.png", 5, True), ("two/frame.png", 6, False), ("up.png", 6, False), ("gone.png", 1, False), ("one/frame.png", 9, False)}
+    assert [tuple(r) for r in report.note_rows(spark.createDataFrame([(None, None, "a\nb"), ("finding", "f", "c")], "subject_kind string, subject_id string, text string")).collect()] == [("", "", "a\nb"), ("finding", "f", "c")]
+
+
+def test_a_stream_of_packets_resyncs_over_batches(spark, tmp_path):
+    from reelscope.streaming import intake
+
+    seen = [(1, i, i % 4 == 0, i not in (2, 8)) for i in range(12)] + [(2, i, i == 0, i != 3) for i in range(6)]
+    schema = "k long, idx long, is_key boolean, ok boolean"
+    progress = intake.Progress()
+    spark.streams.addListener(progress)
+    q = intake.resync_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k") if (tmp_path / "in").mkdir() is None else None
+    q = q.writeStream.format("memory").queryName("resynced").outputMode("append").start()
+    for part in (seen[:6] + seen[12:15], seen[6:12] + seen[15:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    spark.streams.removeListener(progress)
+    got = {(r.k, r.idx): r.state for r in spark.table("resynced").collect()}
+    expected = {(r.k, r.idx): r.state for r in video.resync(spark.createDataFrame(seen, schema), ["k"]).collect()}
+    assert got == expected and "lost" in got.values()
+    with intake.cancellable(spark, "probe") as cancel:
+        cancel()
+        assert spark.range(3).count() == 3
