@@ -1,14 +1,13 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 Counts are taken over every training text: each task sums its own n-grams, Spark sums those of all tasks by (language,
-n-gram), and a task for each language turns its counts into a model of sorted hash arrays. A text gets the language of
+n-gram), and the counts of a language at a time are turned into a model of sorted hash arrays. A text gets the language of
 the lowest cross-entropy for each symbol. It is *rejected*, besides, if that entropy lies above the ``calibration``
 quantile of texts that were kept out of training and given the same language: it is then unlike all that was learned.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +27,8 @@ EVIDENCE = 100
 def fit(docs: DataFrame, order: int = ORDER) -> list[M.KneserNey]:
     """A model of each language in ``docs`` (text, lang), by name; rows where either is null are left out.
 
-    A language has at most 64 ** order distinct n-grams, whatever the corpus; real ones have some 10^5. Its model is made
-    in a task of its own. The driver receives the finished arrays, which grow with the distinct n-grams seen.
+    A language has at most 64 ** order distinct n-grams, whatever the corpus; real ones have some 10^5. The driver takes
+    the counts of one language at a time and keeps its finished arrays, which grow with the distinct n-grams seen.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -50,14 +49,13 @@ def fit(docs: DataFrame, order: int = ORDER) -> list[M.KneserNey]:
             languages = pa.array(list(names), pa.string()).take(pa.array((keys >> np.uint64(32)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([languages, pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
-    def model(table: pa.Table) -> pa.Table:
-        lang, code, n = (table.column(c) for c in ("lang", "code", "n"))
-        made = M.kneser_ney([lang[0].as_py()], code.to_numpy().astype(np.uint32), np.zeros(len(code), dtype=np.int64), n.to_numpy(), order)
-        return pa.table({"lang": [lang[0].as_py()], "model": [pickle.dumps(made)]})
-
-    counts = docs.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("lang").applyInArrow(model, "lang string, model binary").collect()
-    return [pickle.loads(r.model) for r in sorted(rows, key=lambda r: r.lang)]
+    counts = written(docs.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "counts")
+    models = []
+    for lang in sorted(r.lang for r in counts.select("lang").distinct().collect()):
+        rows = counts.where(F.col("lang") == lang).select("code", "n").toArrow()
+        code, n = (rows.column(c).to_numpy() for c in ("code", "n"))
+        models.append(M.kneser_ney([lang], code.astype(np.uint32), np.zeros(len(code), dtype=np.int64), n, order))
+    return models
 
 
 def predict(docs: DataFrame, models: list[M.KneserNey], calibrating, calibration: float = 0.995) -> DataFrame:
