@@ -227,12 +227,10 @@ def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
-    """Train on up to ``most`` labelled documents of each class, those with the smallest hashes of their ids.
+def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """doc_id, toxic, text of up to ``most`` labelled documents of each class, those with the smallest hashes of their ids.
 
-    ``labels`` needs doc_id and toxic (0, 1, or null for unknown); of several labels of a document the largest counts.
-    The sample is drawn from the documents that have a text and a label; their texts are read whole, and of several
-    texts of a doc_id the smallest.
+    It is drawn from the documents that have a text and a label; of several texts of a doc_id the smallest counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null")
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -240,9 +238,27 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
     have = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     one, zero = (have.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (1, 0))
     # At most 2 * most rows of two numbers.
-    rows = texts.join(F.broadcast(one.unionByName(zero)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = sorted(rows.collect(), key=lambda r: r.doc_id)
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    return texts.join(F.broadcast(one.unionByName(zero)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
+    """Train on up to ``most`` labelled documents of each class (``sample``), whose texts are read whole.
+
+    ``labels`` needs doc_id and toxic (0, 1, or null for unknown); of several labels of a document the largest counts.
+    One task trains on the sample; the driver receives the finished model, 4 bytes for each bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(zip(*(sum((b.column(i).to_pylist() for b in found), []) for i in range(3)), strict=True)) if (found := list(batches)) else []
+        m = train([r[2] for r in rows], [r[1] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([m.margin.astype("<f4").tobytes()], pa.binary()), *[pa.array([float(x)]) for x in (m.bias, m.slope, m.shift)]], names=["margin", "bias", "slope", "shift"])
+
+    small_batches(docs.sparkSession)
+    rows = sample(docs, labels, most).select("doc_id", "toxic", "text").repartition(1)
+    made = [r for r in rows.mapInArrow(run, "margin binary, bias double, slope double, shift double").collect() if r.margin]
+    if not made:  # no partition at all
+        return train([], [])
+    return Model(np.frombuffer(made[0].margin, dtype="<f4"), made[0].bias, made[0].slope, made[0].shift)
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score", first_word: str = "first_word", text: str = "text") -> DataFrame:

@@ -376,10 +376,5 @@ def test_toxicity_gradients_are_those_of_the_loss():
 def test_toxicity_samples_after_the_join(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)] + [(2, "another of two"), (7, None), (8, "long " * 40_000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(2, 1)], "doc_id long, toxic int")
-    seen = {}
-    real, toxicity.train = toxicity.train, lambda texts, toxic: seen.update(zip(texts, toxic, strict=True))
-    try:
-        toxicity.fit(docs, labels, most=10)
-    finally:
-        toxicity.train = real
+    seen = {r.text: r.toxic for r in toxicity.sample(docs, labels, most=10).collect()}
     assert seen == {"text 0": 0, "text 1": 1, "another of two": 1, "text 3": 1, "text 4": 0, "text 5": 1, "long " * 40_000: 0}
