@@ -3,7 +3,8 @@
 A word stands for itself and for its runs of 3 to 6 bytes, marked at its ends, hashed into ``1 << BITS`` vectors. A passage
 of ``PASSAGE`` words is the mean of its vectors, and a softmax over two classes reads it. A document is as toxic as its
 most toxic passage: passages overlap by half, and a logistic curve, fitted on documents left out of training, turns the
-largest margin into a probability.
+largest margin into a probability. Of a word that is repeated over and over, two in a row are read: a passage of one word
+only would be judged by a handful of vectors.
 
 Labels are given to documents, not passages. So training goes in rounds: passages of clean documents are all clean; of a
 toxic document those count as toxic that the model of the last round finds most so (in the first round, any).
@@ -35,9 +36,9 @@ def _buckets(x: np.ndarray, kind: int) -> np.ndarray:
     return ((x.astype(np.uint64) * np.uint64(8) + np.uint64(kind)) * _MUL >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def features(buf: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """(first byte of each word, [(place, bucket) of each kind of subword], word starts, word ends) of a byte buffer."""
-    start, end, h = H.words(buf, _SEP, H.LOWER)
+def features(buf: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(first byte of each word, [(place, bucket) of each kind of subword], hash of each word) of a byte buffer."""
+    start, _, h = H.words(buf, _SEP, H.LOWER)
     b = np.concatenate([np.full(1, 32, np.uint8), _FOLD[buf], np.full(8, 32, np.uint8)])  # b[i + 1] is byte i
     gap = (b == 32).astype(np.int32)
     total = np.concatenate([[0], np.cumsum(gap, dtype=np.int32)])
@@ -53,7 +54,16 @@ def features(buf: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nda
         at = np.flatnonzero((inner == 0) & (gap[:n] + gap[size - 1 : size - 1 + n] < 2))
         kinds.append((at - (gap[at] == 0), _buckets(x[at], size - 2)))  # a run that opens with a gap belongs to the word after it
     kinds.append((start, (h >> np.uint64(64 - BITS)).astype(np.int64)))
-    return start, kinds, start, end
+    return start, kinds, h
+
+
+def _read(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which words are read: all but those that repeat both words before them in their row."""
+    read = np.ones(len(h), dtype=bool)
+    read[2:] = (h[2:] != h[1:-1]) | (h[2:] != h[:-2])
+    first = row[:-1][np.diff(row) > 0]
+    read[np.minimum(np.concatenate([first, first + 1]), len(h) - 1)] = True
+    return read
 
 
 def _passages(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,21 +88,23 @@ class Model:
 
     def largest(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(margin of the most toxic passage of each row, or -inf; its first word)."""
-        start, kinds, _, _ = features(buf)
+        start, kinds, h = features(buf)
         total = np.zeros(len(start), dtype=np.float64)
         count = np.zeros(len(start), dtype=np.float64)
         for at, bucket in kinds:
             word = np.maximum(np.searchsorted(start, at, side="right") - 1, 0) if at is not start else np.arange(len(start))
             total += np.bincount(word, weights=self.margin[bucket], minlength=len(start))
             count += np.bincount(word, minlength=len(start))
-        row = H.by_row(start, offsets)
+        begin = H.by_row(start, offsets)
+        read = _read(h, begin)
+        of, row = np.flatnonzero(read), H.by_row(start[read], offsets)
         s, e, first = _passages(row)
-        sums, counts = (np.concatenate([[0.0], np.cumsum(x)]) for x in (total, count))
+        sums, counts = (np.concatenate([[0.0], np.cumsum(x[read])]) for x in (total, count))
         z = (sums[e] - sums[s]) / np.maximum(counts[e] - counts[s], 1) + self.bias
         out, place = np.full(len(row) - 1, -np.inf), np.zeros(len(row) - 1, dtype=np.int64)
         for i in np.flatnonzero(np.diff(first)):
             j = first[i] + int(np.argmax(z[first[i] : first[i + 1]]))
-            out[i], place[i] = z[j], s[j] - row[i]
+            out[i], place[i] = z[j], of[s[j]] - begin[i]
         return out, place
 
     def probability(self, z: np.ndarray) -> np.ndarray:
@@ -121,11 +133,14 @@ class Bags:
 
 def bags(text: str | None) -> Bags:
     buf, offsets = H.texts(pa.array([text], pa.string()))
-    start, kinds, _, _ = features(buf)
+    start, kinds, h = features(buf)
     at, bucket = np.concatenate([k[0] for k in kinds]).astype(np.int32), np.concatenate([k[1] for k in kinds]).astype(np.int32)
     word = np.maximum(np.searchsorted(start, at, side="right") - 1, 0).astype(np.int32) if len(start) else at
+    read = _read(h, H.by_row(start, offsets))
+    of = np.cumsum(read) - 1  # index of each word among those read
+    word, bucket = (of[word][read[word]], bucket[read[word]]) if len(start) else (word, bucket)
     order = np.argsort(word, kind="stable")
-    s, e, _ = _passages(H.by_row(start, offsets))
+    s, e, _ = _passages(H.by_row(start[read], offsets))
     cut = np.searchsorted(word[order], np.concatenate([s, e])).astype(np.int32)
     return Bags(bucket[order], cut[: len(s)], cut[len(s) :])
 
