@@ -28,12 +28,6 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.array_remove(F.split(F.translate(F.col(text), UPPER, LOWER), GAP), ""), F.array().cast("array<string>"))
 
 
-def _grams(w: Column, k: int) -> Column:
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-    return F.when(F.size(w) >= k, let(hashes, each)).otherwise(F.array().cast("array<bigint>"))
-
-
 def _places(grams: Column, span: int) -> Column:
     """Places of the grams that are smallest in any ``span`` consecutive ones, ties included."""
     if span == 1:
@@ -52,17 +46,26 @@ def _places(grams: Column, span: int) -> Column:
     return F.when(F.size(grams) >= span, let(lows, chosen)).otherwise(F.array().cast("array<int>"))
 
 
-def _fingerprinted(df: DataFrame, k: int, span: int) -> DataFrame:
-    """Adds ``w`` (words), ``g`` (gram hashes) and ``places``; each is computed once for a row."""
-    df = df.withColumn("w", words())
-    df = df.withColumn("both", let(_grams(F.col("w"), k), lambda g: F.struct(g.alias("g"), _places(g, span).alias("places"))))
-    return df.withColumn("g", F.col("both.g")).withColumn("places", F.col("both.places")).drop("both", "text")
+def _prints(w: Column, kinds: list[tuple[int, int]]) -> Column:
+    """(want, k, p, h) of each fingerprint: for windows of ``want`` words, the hash and place of a ``k``-word gram."""
+    none = F.array().cast("array<bigint>")
+
+    def of(hashes: Column) -> Column:
+        found = []
+        for want, k in kinds:
+            grams = F.transform(F.sequence(F.lit(0), F.size(hashes) - k), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))  # noqa: B023
+            one = lambda g, p: F.struct(F.lit(want).alias("want"), F.lit(k).alias("k"), p.alias("p"), F.get(g, p).alias("h"))  # noqa: E731, B023
+            found.append(let(F.when(F.size(hashes) >= k, grams).otherwise(none), lambda g: F.transform(_places(g, want - k + 1), lambda p: one(g, p))))  # noqa: B023
+        return F.concat(*found)
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), of)
 
 
-def _beside(span: int, k: int, p: Column) -> list[Column]:
-    """The gram at ``p`` and up to span - 1 words to its left (nearest first) and right."""
-    w, left = F.col("w"), F.least(p, F.lit(span - 1))
-    return [F.slice(w, p + 1, k).alias("gram"), F.reverse(F.slice(w, p - left + 1, left)).alias("left"), F.slice(w, p + k + 1, F.lit(span - 1)).alias("right")]
+def _beside() -> list[Column]:
+    """The gram at ``p`` and up to ``want - k`` words to its left (nearest first) and right."""
+    w, p, k, reach = F.col("w"), F.col("p"), F.col("k"), F.col("want") - F.col("k")
+    left = F.least(p, reach)
+    return [F.slice(w, p + 1, k).alias("gram"), F.reverse(F.slice(w, p - left + 1, left)).alias("left"), F.slice(w, p + k + 1, reach).alias("right")]
 
 
 def _alike(a: str, b: str, most: int) -> Column:
@@ -73,31 +76,35 @@ def _alike(a: str, b: str, most: int) -> Column:
     return n
 
 
-def _hits(docs: DataFrame, items: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, part, first, past, context) for each match of ``window`` words or more, and (context, item_id)."""
-    span = window - k + 1
-    marks = _fingerprinted(items, k, span).select("item_id", "w", F.col("g"), F.explode("places").alias("p"))
-    marks = marks.select("item_id", F.expr("g[p]").alias("h"), *_beside(span, k, F.col("p")))
-    marks = written(marks.groupBy("h", "gram", "left", "right").agg(F.collect_set("item_id").alias("items")).withColumn("context", F.monotonically_increasing_id()), "marks")
+def _hits(docs: DataFrame, items: DataFrame, window: int, gram: int, kinds: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, part, first, past, context) for each match that fills a window, and (context, item_id).
+
+    An item has windows of one kind, by its own length; a document is read once for all kinds.
+    """
+    marks = items.withColumn("w", words()).select("item_id", "w", F.explode(_prints(F.col("w"), kinds)).alias("x")).select("item_id", "w", "x.*")
+    marks = marks.where(F.col("want") == F.least(F.size("w"), F.lit(window))).select("item_id", "want", "h", *_beside())
+    marks = written(marks.groupBy("want", "h", "gram", "left", "right").agg(F.collect_set("item_id").alias("items")).withColumn("context", F.monotonically_increasing_id()), "marks")
     few = marks.count() <= BROADCAST_ROWS
-    sides = marks.select("h", F.col("gram").alias("its_gram"), F.col("left").alias("its_left"), F.col("right").alias("its_right"), "context")
-    found = _fingerprinted(docs, k, span)
+    sides = marks.select("h", F.col("want").alias("its_want"), F.col("gram").alias("its_gram"), F.col("left").alias("its_left"), F.col("right").alias("its_right"), "context")
+    found = docs.withColumn("w", words()).drop("text")
     if few:
         sides = F.broadcast(sides)
+        found = found.withColumn("prints", _prints(F.col("w"), kinds))
     else:
-        rows = found.select("doc_id", "part", "g", F.explode("places").alias("p")).select("doc_id", "part", "p", F.expr("g[p]").alias("h"))
-        rows = rows.join(marks.select("h").distinct(), "h").groupBy("doc_id", "part").agg(F.collect_set("p").alias("places"))
+        rows = found.select("doc_id", "part", F.explode(_prints(F.col("w"), kinds)).alias("x")).select("doc_id", "part", "x.*")
+        rows = rows.join(marks.select("h").distinct(), "h").groupBy("doc_id", "part").agg(F.collect_set(F.struct("want", "k", "p", "h")).alias("prints"))
         rows = written(rows, "places").withColumnsRenamed({"doc_id": "_doc", "part": "_part"})
-        found = found.drop("places").join(rows, F.expr("doc_id <=> _doc and part = _part"))
-    at = found.select("doc_id", "part", "w", "g", F.explode("places").alias("p")).withColumn("h", F.expr("g[p]"))
-    if not few:
-        at = at.select("doc_id", "part", "p", "h", *_beside(span, k, F.col("p")))
-    at = at.join(sides, "h")
+        found = found.join(rows, F.expr("doc_id <=> _doc and part = _part"))
+    at = found.select("doc_id", "part", "w", F.explode("prints").alias("x")).select("doc_id", "part", "w", "x.*")
+    its = ["its_want", "its_gram", "its_left", "its_right", "context"]
     if few:
-        at = at.select("doc_id", "part", "p", *_beside(span, k, F.col("p")), "its_gram", "its_left", "its_right", "context")
-    at = at.where(F.col("gram") == F.col("its_gram")).withColumn("l", _alike("left", "its_left", span - 1)).withColumn("r", _alike("right", "its_right", span - 1))
-    at = at.where(F.col("l") + F.col("r") + k >= window)
-    return at.select("doc_id", "part", (F.col("p") - F.col("l")).alias("first"), (F.col("p") + k + F.col("r")).alias("past"), "context"), marks.select("context", F.explode("items").alias("item_id"))
+        at = at.join(sides, "h").select("doc_id", "part", "want", "k", "p", *_beside(), *its)
+    else:
+        at = at.select("doc_id", "part", "want", "k", "p", "h", *_beside()).join(sides, "h")
+    at = at.where((F.col("want") == F.col("its_want")) & (F.col("gram") == F.col("its_gram")))
+    at = at.withColumn("l", _alike("left", "its_left", window - gram)).withColumn("r", _alike("right", "its_right", window - gram))
+    at = at.where(F.col("l") + F.col("r") + F.col("k") >= F.col("want"))
+    return at.select("doc_id", "part", (F.col("p") - F.col("l")).alias("first"), (F.col("p") + F.col("k") + F.col("r")).alias("past"), "context"), marks.select("context", F.explode("items").alias("item_id"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, gram: int = 5) -> DataFrame:
@@ -115,20 +122,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, gram:
     sized = items.withColumn("n", F.size(words())).where("n > 0")
     # At most window - 1 values come to the driver: the lengths of items shorter than a window.
     short = sorted(r.n for r in sized.where(F.col("n") < window).select("n").distinct().collect())
-    parts = [_hits(docs, sized.where(F.col("n") >= window).drop("n"), window, gram)]
-    parts += [_hits(docs, sized.where(F.col("n") == m).drop("n"), m, m) for m in short]
     keys = ["doc_id", "part"]
-    hits = of = None
-    for kind, (found, names) in enumerate(parts):
-        found = found.groupBy(*keys).agg(F.collect_set(F.struct("first", "past")).alias("runs"), F.collect_set("context").alias("contexts")).withColumn("kind", F.lit(kind))
-        names = names.withColumn("kind", F.lit(kind))
-        hits, of = (found, names) if hits is None else (hits.unionByName(found), of.unionByName(names))
-    hits = written(hits, "hits")
-    runs = hits.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
-    named = hits.select(*keys, "kind", F.explode("contexts").alias("context")).join(of, ["kind", "context"]).select(*keys, F.col("item_id").cast("string").alias("item_id"))
+    hits, of = _hits(docs, sized.select("item_id", "text"), window, gram, [(window, gram), *((m, m) for m in short)])
+    hits = written(hits.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("first", "past"))).alias("runs"), F.collect_set("context").alias("contexts")), "hits")
+    named = hits.select(*keys, F.explode("contexts").alias("context")).join(of, "context").select(*keys, F.col("item_id").cast("string").alias("item_id"))
     named = named.groupBy(*keys).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    out = runs.withColumnsRenamed({"doc_id": "_d", "part": "_p"}).join(named, F.expr("doc_id <=> _d and part = _p")).drop("_d", "_p")
-    out = out.withColumnsRenamed({"doc_id": "_d", "part": "_p"})
+    out = hits.select(F.col("doc_id").alias("_d"), F.col("part").alias("_p"), "runs").join(named, F.expr("doc_id <=> _d and part = _p")).drop(*keys)
     base = docs.select(*keys, F.size(words()).cast("long").alias("n_words"))
     merged = F.aggregate(
         "runs",
