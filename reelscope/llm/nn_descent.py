@@ -136,8 +136,8 @@ def build(nodes: DataFrame, k: int = 24, sample: int = 24, rounds: int = 4, tabl
     forms = written(nodes.select("node", "v").mapInArrow(_formed(list(range(1, tables + 1)), bits, narrow), "node long, form binary, marks array<bigint>"), "forms")
     marks = forms.select("node", "form", F.posexplode("marks").alias("table", "mark"))
     # A crowded block is dealt out by hash into blocks of about BLOCK nodes.
-    counts = marks.groupBy("table", "mark").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).alias("parts"))
-    dealt = marks.join(counts, ["table", "mark"]).withColumn("part", F.pmod(F.xxhash64("node", "table"), F.col("parts")))
+    counts = written(marks.groupBy("table", "mark").agg(F.count(F.lit(1)).alias("n")), "blocks").withColumn("parts", F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)))
+    dealt = dealt_join(marks, counts, ["table", "mark"], n * tables, by=["node"]).withColumn("part", F.pmod(F.xxhash64("node", "table"), F.col("parts")))
     member = lambda x: F.struct(F.col(x).alias("x"), "form", F.lit(float("inf")).alias("worst"))
     blocks = dealt.groupBy("table", "mark", "part").agg(F.collect_list(member("node")).alias("group")).select("group")
     graph = written(_nearest(blocks.mapInArrow(_compared(k, narrow), _PAIRS), k), "graph")
