@@ -46,8 +46,8 @@ def modal_delta(spark, d):
 @query
 def frame_rate_changes(spark, d):
     rows = A.read(spark, d, "events").select(F.col("event_type").alias("stream"), F.col("event_id").alias("idx"))
-    step = F.row_number().over(Window.partitionBy("stream").orderBy("idx"))
-    rows = rows.select("stream", "idx", (step * 40_000 + F.when(step % 97 == 0, 7_000).otherwise(0)).cast("long").alias("pts_us"))
+    step = F.row_number().over(Window.partitionBy("stream").orderBy("idx")).cast("long")
+    rows = rows.select("stream", "idx", (step * 40_000 + F.when(step % 97 == 0, 7_000).otherwise(0)).alias("pts_us"))
     return timing.rate_changes(rows, S, 2_000)
 
 
