@@ -67,18 +67,22 @@ def histogram_summary(bins: DataFrame, keys: list[str], value: str = "level") ->
     )
 
 
-def integrated_loudness(blocks: DataFrame, keys: list[str]) -> DataFrame:
+def integrated_loudness(blocks: DataFrame, keys: list[str], order: str = "loudness") -> DataFrame:
     """keys, lufs, blocks: mean of block loudness in the log domain, behind an absolute gate and one 10 LU under the mean of what passes it.
 
     ``blocks`` has ``loudness``. This mean of levels is not that of BS.1770, which averages power. If no block passes the
     absolute gate, the loudness is that gate, from no block; if none passes the relative one, the mean that set it.
+    Both means are added up block by block along ``order``: a block on the relative gate itself is kept or not by the last
+    bit of the sum, which must not hang on how rows are dealt out.
     """
-    loud = F.col("loudness") > ABSOLUTE_GATE
-    means = blocks.groupBy(*keys).agg(F.avg(F.when(loud, F.col("loudness"))).alias("mean"), F.count(F.when(loud, 1)).alias("loud"))
-    kept = blocks.where(loud).join(means, keys).where(F.col("loudness") > F.col("mean") + RELATIVE_GATE)
-    kept = kept.groupBy(*keys).agg(F.avg("loudness").alias("lufs"), F.count(F.lit(1)).alias("n"))
-    out = means.join(kept, keys, "left")
-    return out.select(*keys, F.coalesce("lufs", "mean", F.lit(ABSOLUTE_GATE)).alias("lufs"), F.coalesce("n", "loud").alias("blocks"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    growing, whole = (w.rowsBetween(Window.unboundedPreceding, end) for end in (0, Window.unboundedFollowing))
+    mean = lambda c, total: F.last(total).over(whole) / F.nullif(F.count(c).over(whole), F.lit(0))
+    rows = blocks.withColumn("_loud", F.when(F.col("loudness") > ABSOLUTE_GATE, F.col("loudness")))
+    rows = rows.withColumn("_sum", F.sum("_loud").over(growing)).withColumn("_mean", mean("_loud", "_sum"))
+    rows = rows.withColumn("_kept", F.when(F.col("_loud") > F.col("_mean") + RELATIVE_GATE, F.col("_loud"))).withColumn("_sum", F.sum("_kept").over(growing)).withColumn("_lufs", mean("_kept", "_sum"))
+    out = rows.groupBy(*keys).agg(F.max("_lufs").alias("lufs"), F.max("_mean").alias("mean"), F.count("_kept").alias("n"), F.count("_loud").alias("loud"))
+    return out.select(*keys, F.coalesce("lufs", "mean", F.lit(ABSOLUTE_GATE)).alias("lufs"), F.when(F.col("n") > 0, F.col("n")).otherwise(F.col("loud")).alias("blocks"))
 
 
 def loudness_range(blocks: DataFrame, keys: list[str]) -> DataFrame:

@@ -222,12 +222,12 @@ def histogram_summary(spark, d):
 
 def _blocks(spark, d):
     level = F.when(F.col("user_id") % 7 == 0, F.lit(-80.0)).otherwise(F.col("value") / 3 - 100)
-    return A.read(spark, d, "events").select(F.col("user_id").alias("stream"), level.alias("loudness"))
+    return A.read(spark, d, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("block"), level.alias("loudness"))
 
 
 @query
 def loudness_gate(spark, d):
-    return audio.integrated_loudness(_blocks(spark, d), S).select("stream", F.round("lufs", 6).alias("lufs"), "blocks")
+    return audio.integrated_loudness(_blocks(spark, d), S, "block").select("stream", F.round("lufs", 6).alias("lufs"), "blocks")
 
 
 @query

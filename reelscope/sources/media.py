@@ -518,7 +518,7 @@ def analyse(inspections: DataFrame, profile=None, found: DataFrame | None = None
         "metadata_conflicts": metadata.conflicts(tags, ["asset_id"]), "missing_creation": metadata.missing_creation(tags, ["asset_id"]),
         "sync": timing.sync_report(timed.select("asset_id", "idx", "pts_us"), every.where("kind = 'audio'").select("asset_id", "idx", "pts_us"), ["asset_id"]),
         "levels": audio.chunk_levels(pcm, ["asset_id"]), "silence": audio.silence_regions(audio.slots_of(pcm, ["asset_id"]), ["asset_id"], profile.silence_threshold, profile.min_silence_frames),
-        "loudness": audio.integrated_loudness(audio.hop_loudness(audio.hops(pcm)), ["asset_id"]),
+        "loudness": audio.integrated_loudness(audio.hop_loudness(audio.hops(pcm)), ["asset_id"], "block"),
         "scenes": video.scene_changes(planes, keys, 16), "near_duplicates": video.near_duplicates(hashes, keys, profile.near_duplicate_window),
     }
 

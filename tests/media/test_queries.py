@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import random
 
 import pytest
 
@@ -70,6 +71,20 @@ def test_navigation_where_ids_fall_while_times_rise(spark, tmp_path):
     assert differences(spark, tmp_path, "frame_navigation") == (set(), set())
 
 
+def test_a_block_on_the_relative_gate_does_not_hang_on_the_order_of_rows(spark, tmp_path):
+    """The fourth block is 10 LU under the mean, to the last bit of the sum: in the order of events it passes. SQL sees that order, Spark others."""
+    levels = [115.48, 97.76, 94.95, 90.98, 103.4, 98.76, 148.18, 105.21, 269.83]
+    rows = [(i, user, value) for i, value in enumerate(levels) for user in range(1, 7)]
+    ordered = duckdb.connect(config={"threads": 1})
+    ordered.execute("create table events (event_id bigint, user_id bigint, value double)")
+    ordered.executemany("insert into events values (?, ?, ?)", rows)
+    expected = set(ordered.execute(entry.oracle_sql()["loudness_gate"]).fetchall())
+    assert {r[2] for r in expected} == {8}
+    spark.createDataFrame(random.Random(2).sample(rows, len(rows)), "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.stream, r.lufs, r.blocks) for r in entry.queries()["loudness_gate"](spark, str(tmp_path)).collect()}
+    assert {tuple(map(plain, r)) for r in got} == {tuple(map(plain, r)) for r in expected}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
