@@ -2,9 +2,11 @@
 
 The model counts runs of ``ORDER`` symbols (see ``charmodel``) of all trusted documents, and stays in Spark, sharded by
 n-gram: counts, continuation counts of the lower orders and sums for each context are tables. Documents are gathered, as
-they are read, into blocks of some MB, kept as compressed symbols. A block asks for each distinct n-gram it holds, once;
-the requests are joined with the model's shards, order by order, and the answers go back to the block, which then reads
-off the perplexity of each of its documents. So what is shuffled is distinct n-grams of large blocks, not those of texts.
+they are read, into blocks of some MB, kept as pieces of compressed symbols. A block asks for each distinct n-gram it
+holds, once; the requests are joined with the model's shards, order by order, and the answers go back to the block, which
+then reads off the perplexity of each of its documents. So what is shuffled is distinct n-grams of large blocks, not
+those of texts. No row holds a whole block: its answers, then its pieces stream through the task that reads them off,
+which keeps the answers of one block and one piece.
 
 Thresholds are quantiles of perplexity over trusted documents of each language that the model has not learned from: one
 in ``APART`` of them, by a hash of the text.
@@ -25,8 +27,10 @@ from reelscope.llm import hashing as H
 from reelscope.llm.shared import small_batches, written
 
 ORDER = 5
-#: Bytes of symbols in a block, at most, but for a single longer text.
-BLOCK = 32 << 20
+#: A block ends once it has so many bytes of symbols, or so many distinct n-grams; only a single longer text has far more.
+BLOCK, DISTINCT = 32 << 20, 1 << 20
+#: n-grams in a row of requests, at most.
+ROW = 1 << 14
 #: Trusted ids are thinned out beforehand by a hash of so many values: the set that is broadcast has no more.
 RESIDUES = 1 << 20
 #: One in so many trusted texts is kept out of the model and sets the thresholds.
@@ -83,89 +87,79 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["code", "n"])
 
 
-BLOCKS = "docs array<struct<doc_id: bigint, lang: string, apart: boolean>>, sizes array<bigint>, symbols binary"
+BLOCKS = "block long, n int, docs array<struct<doc_id: bigint, lang: string, apart: boolean, size: bigint>>, symbols binary, codes array<int>"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: what names each, how long it is, and all symbols compressed."""
+    """Rows of blocks, numbered within the task: pieces of some documents with all their symbols, compressed, and at the
+    end of a block its distinct n-grams."""
     packer = zstandard.ZstdCompressor(level=3)
-    docs: list = []
-    parts: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    held = 0
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("apart", pa.bool_())]))
-
-    def block() -> pa.RecordBatch:
-        nonlocal held
-        raw = packer.compress(np.concatenate(parts).tobytes())
-        size = np.concatenate(sizes)
-        out = pa.RecordBatch.from_arrays([pa.array([docs[:]], kind), pa.array([size.tolist()], pa.list_(pa.int64())), pa.array([raw], pa.binary())], names=["docs", "sizes", "symbols"])
-        docs.clear()
-        parts.clear()
-        sizes.clear()
-        held = 0
-        return out
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("apart", pa.bool_()), ("size", pa.int64())]))
+    block = n = held = waiting = 0
+    known, some = np.zeros(0, dtype=np.uint32), []
+
+    def row(docs: pa.Array, symbols: bytes | None, codes: pa.Array) -> pa.RecordBatch:
+        columns = [pa.array([block], pa.int64()), pa.array([n], pa.int32()), docs, pa.array([symbols], pa.binary()), codes]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "n", "docs", "symbols", "codes"])
+
+    def asked() -> Iterator[pa.RecordBatch]:
+        every = np.unique(np.concatenate([known, *some])).astype(np.int32)
+        for a in range(0, len(every), ROW):
+            part = pa.array(every[a : a + ROW])
+            yield row(pa.nulls(1, kind), None, pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part))
 
     for whole in batches:
         for batch in H.blocks(whole):
             s, at = _symbols(*H.texts(batch.column(1)))
-            docs.extend({"doc_id": d, "lang": x, "apart": a} for d, x, a in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True))
-            parts.append(s)
-            sizes.append(np.diff(at))
+            docs = pa.StructArray.from_arrays([*(batch.column(c) for c in (0, 2, 3)), pa.array(np.diff(at))], fields=list(kind.value_type))
+            yield row(pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), packer.compress(s.tobytes()), pa.nulls(1, pa.list_(pa.int32())))
+            some.append(np.unique(_grams(s, at)[0]))
+            waiting += len(some[-1])
+            if waiting > max(len(known), DISTINCT >> 2):
+                known, some, waiting = np.unique(np.concatenate([known, *some])), [], 0
+            n += 1
             held += len(s)
-            if held >= BLOCK:
-                yield block()
-    if docs:
-        yield block()
-
-
-def _pieces(symbols: bytes, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first document, symbols, where each document begins) of parts of a block."""
-    s = np.frombuffer(zstandard.ZstdDecompressor().decompress(symbols), dtype=np.uint8)
-    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    i = 0
-    while i < len(sizes):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), side="right")) - 1)
-        yield i, s[at[i] : at[j]], at[i : j + 1] - at[i]
-        i = j
-
-
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, sizes, symbols in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            held = np.zeros(0, dtype=np.uint32)
-            some: list[np.ndarray] = []
-            for _, s, at in _pieces(symbols, sizes):
-                some.append(np.unique(_grams(s, at)[0]))
-                if len(some) == 8:
-                    held, some = np.unique(np.concatenate([held, *some])), []
-            held = np.unique(np.concatenate([held, *some]))
-            for a in range(0, len(held), 1 << 16):
-                part = held[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name, dtype=np.int64)), pa.array(part.astype(np.int64))], names=["block", "code"])
+            if held >= BLOCK or len(known) >= DISTINCT:
+                yield from asked()
+                block, n, held, waiting = block + 1, 0, 0, 0
+                known, some = np.zeros(0, dtype=np.uint32), []
+    if n:
+        yield from asked()
 
 
 def _read_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Perplexities from rows in the order of blocks, a block's answers (``n`` is -1) before its pieces."""
+    opener = zstandard.ZstdDecompressor()
+    block = None
+    some: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for i in range(batch.num_rows):
-            docs, sizes, symbols = (batch.column(c)[i].as_py() for c in range(3))
-            answers = batch.column(3)[i].values
-            keys, logp = (np.zeros(0, dtype=np.uint32), np.zeros(0)) if answers is None else (answers.field(0).to_numpy().astype(np.uint32), answers.field(1).to_numpy())
-            order = np.argsort(keys)
-            keys, logp = keys[order], logp[order]
-            n, total = np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs))
-            for first, s, at in _pieces(symbols, sizes):
-                code, row = _grams(s, at)
-                if len(code):
-                    n[first : first + len(at) - 1] += np.bincount(row, minlength=len(at) - 1)
-                    total[first : first + len(at) - 1] += np.bincount(row, weights=logp[np.searchsorted(keys, code)], minlength=len(at) - 1)
-            perplexity = np.exp(-total / np.maximum(n, 1))
-            named = [pa.array([d[c] for d in docs], t) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("apart", pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*named, pa.array(perplexity, mask=n == 0), pa.array(n)], names=["doc_id", "lang", "apart", "perplexity", "n_grams"])
+        blocks, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(n < 0) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if a == b:
+                continue
+            if blocks[a] != block:
+                block, some = blocks[a], []
+                keys, logp = np.zeros(0, dtype=np.uint32), np.zeros(0)
+            if n[a] < 0:
+                some.append((batch.column(2).slice(a, b - a).to_numpy().astype(np.uint32), batch.column(3).slice(a, b - a).to_numpy().copy()))
+                continue
+            if some:
+                keys, logp = (np.concatenate(x) for x in zip(*some, strict=True))
+                order = np.argsort(keys)
+                keys, logp, some = keys[order], logp[order], []
+            for i in range(a, b):
+                docs = batch.column(4)[i].values
+                s = np.frombuffer(opener.decompress(batch.column(5)[i].as_buffer()), dtype=np.uint8)
+                code, row = _grams(s, np.concatenate([[0], np.cumsum(docs.field(3).to_numpy())]))
+                count = np.bincount(row, minlength=len(docs))
+                total = np.bincount(row, weights=logp[np.searchsorted(keys, code)], minlength=len(docs))
+                perplexity = np.exp(-total / np.maximum(count, 1))
+                yield pa.RecordBatch.from_arrays([*(docs.field(c) for c in range(3)), pa.array(perplexity, mask=count == 0), pa.array(count)], names=["doc_id", "lang", "apart", "perplexity", "n_grams"])
 
 
 def _model(counts: DataFrame, asked: DataFrame) -> DataFrame:
-    """(code, logp) for each asked n-gram, by joins with the counts, from the lowest order up."""
+    """(code, logp) for each of the distinct n-grams ``asked``, by joins with the counts, from the lowest order up."""
     tables = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
         tables[n] = tables[n + 1].groupBy(F.col("code").bitwiseAND((1 << M.WIDTH * n) - 1).alias("code")).agg(F.count(F.lit(1)).alias("n"))
@@ -207,11 +201,15 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.95) -> Data
     near = rows.where("not apart").withColumn("residue", residue).join(F.broadcast(ids.select(residue).distinct()), "residue", "left_semi").select("doc_id", "text")
     mine = near.mapInArrow(_small, "doc_id long, symbols binary").join(ids, "doc_id", "left_semi").select("symbols")
     counts = written(mine.mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "counts")
-    blocks = written(rows.mapInArrow(_gather, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    asked = written(blocks.select("block", "sizes", "symbols").mapInArrow(_ask, "block long, code long"), "asked")
-    logp = _model(counts, asked.select("code").distinct())
-    answers = asked.join(logp, "code").groupBy("block").agg(F.collect_list(F.struct("code", "logp")).alias("answers"))
-    scored = blocks.join(answers, "block", "left").select("docs", "sizes", "symbols", "answers").mapInArrow(_read_off, "doc_id long, lang string, apart boolean, perplexity double, n_grams long")
+    # The blocks of all tasks get numbers of their own.
+    block = F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("block")
+    blocks = written(rows.mapInArrow(_gather, BLOCKS).withColumn("block", block), "blocks")
+    asked = blocks.where("codes is not null").select("block", F.explode(F.col("codes").cast("array<bigint>")).alias("code"))
+    logp = _model(counts, written(asked.select("code").distinct(), "asked"))
+    pieces = blocks.where("symbols is not null").select("block", "n", F.lit(0).cast("long").alias("code"), F.lit(0.0).alias("logp"), "docs", "symbols")
+    answers = asked.join(logp, "code").select("block", F.lit(-1).alias("n"), "code", "logp", *(F.lit(None).cast(pieces.schema[c].dataType).alias(c) for c in ("docs", "symbols")))
+    stream = answers.unionByName(pieces).repartition("block").sortWithinPartitions("block", "n")
+    scored = stream.mapInArrow(_read_off, "doc_id long, lang string, apart boolean, perplexity double, n_grams long")
     out = written(scored, "perplexity")
     limits = out.where("apart and perplexity is not null").join(ids, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold")).withColumnRenamed("lang", "_lang")
     out = out.join(limits, F.expr("lang <=> _lang"), "left")

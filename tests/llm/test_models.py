@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from reelscope.llm import charmodel, language_id, quality, toxicity
 from reelscope.llm.nn_descent import search
@@ -276,6 +277,57 @@ def test_quality_equals_the_model_in_memory(spark):
     assert quality.quality(df.where("false"), trusted).count() == 0
 
 
+def test_quality_streams_the_pieces_and_answers_of_blocks(monkeypatch):
+    rng = random.Random(8)
+    wide = ["".join(rng.choices("abcdef ", k=rng.randint(50_000, 150_000))) for _ in range(25)]
+    rows = [(i, t, rng.choice(["en", None]), i % 3 == 0) for i, t in enumerate([*wide, None, "", "ab", "x" * 300_000, *texts(40, 2, "abcdefg"), "y" * 1_500_000])] + [(None, "no id here", "en", False)]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
+    whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "text", "lang", "apart"])
+    sizes = sorted(len(zstandard.decompress(x)) for batch in quality._gather(iter([whole])) for x in batch.column("symbols").to_pylist() if x)
+    assert len(sizes) > 2 and sizes[-2] <= 1 << 20  # no row has more than a piece, but for the longest text alone
+    own = {}
+    for i, (_, text, _, _) in enumerate(rows):
+        s, at = quality._symbols(*quality.H.texts(pa.array([text], pa.string())))
+        own[i] = (quality._grams(s, at)[0], len(s))
+
+    def answer(code):
+        return -(code % 97 + 1.0) / 20
+
+    one = {}
+    for block, distinct in ((quality.BLOCK, quality.DISTINCT), (1 << 20, quality.DISTINCT), (quality.BLOCK, 1 << 13)):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        monkeypatch.setattr(quality, "DISTINCT", distinct)
+        out = [r for batch in quality._gather(quality.H.blocks(whole, most=2 << 20)) for r in batch.to_pylist()]
+        pieces, asks = ([r for r in out if (r["symbols"] is None) == x] for x in (False, True))
+        assert max(sum(d["size"] for d in r["docs"]) for r in pieces) <= 1_500_001  # the longest text alone
+        assert all(sum(d["size"] for d in r["docs"]) <= 1 << 20 or len(r["docs"]) == 1 for r in pieces)
+        assert all(len(r["codes"]) <= quality.ROW for r in asks)
+        assert len({r["block"] for r in pieces}) > 1 or (block, distinct) == (32 << 20, 1 << 20)
+        stream, at = [], 0
+        for b in sorted({r["block"] for r in out}):
+            mine = [r for r in pieces if r["block"] == b]
+            past = at + sum(len(r["docs"]) for r in mine)
+            held = set(np.concatenate([own[i][0] for i in range(at, past)]).tolist())
+            at = past
+            codes = [c for r in asks if r["block"] == b for c in r["codes"]]
+            assert sorted(held) == codes and [r["n"] for r in mine] == list(range(len(mine)))
+            rng.shuffle(codes)
+            stream += [(b, -1, c, answer(c), None, None) for c in codes] + [(b, r["n"], 0, 0.0, r["docs"], r["symbols"]) for r in mine]
+        assert at == len(rows)
+        docs = pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("apart", pa.bool_()), ("size", pa.int64())]))
+        columns = [pa.array(c, k) for c, k in zip(zip(*stream, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.float64(), docs, pa.binary()), strict=True)]
+        sent = pa.RecordBatch.from_arrays(columns, names=["block", "n", "code", "logp", "docs", "symbols"])
+        size = 4999
+        got = [r for x in quality._read_off(sent.slice(a, size) for a in range(0, len(stream), size)) for r in x.to_pylist()]
+        assert [(r["doc_id"], r["lang"], r["apart"]) for r in got] == [(i, lang, apart) for i, _, lang, apart in rows]
+        for i, r in enumerate(got):
+            code = own[i][0].astype(np.int64)
+            assert r["n_grams"] == len(code)
+            assert r["perplexity"] == (pytest.approx(float(np.exp(-answer(code).mean()))) if len(code) else None)
+        one.setdefault("rows", got)
+        assert [r["n_grams"] for r in got] == [r["n_grams"] for r in one["rows"]]
+
+
 def test_toxicity(spark):
     bad = ["idiot", "moron", "scumbag"]
     clean, toxic = texts(200, 5, "abcdefghi"), texts(60, 5, "abcdefghi", bad)
